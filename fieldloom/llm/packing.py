@@ -16,59 +16,90 @@ read. The order of the line is that of the tasks that read the table.
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import save
+from fieldloom.llm.token_count import byte_symbols
 
 #: Entries of a worker's table of words and their ids, and the longest word kept there.
-KEPT, KEPT_LENGTH = 400_000, 64
+KEPT, KEPT_LENGTH = 500_000, 64
 #: Blocks up to which their offsets are sent to every executor (16 bytes each).
 SENT_BLOCKS = 200_000
+ID_TYPE = "I"  # four bytes wherever Spark runs; little-endian is made sure of below
+assert array(ID_TYPE).itemsize == 4 and sys.byteorder == "little"
+#: Words of these characters are normal as they are, and lowered letter by letter.
+PLAIN = regex.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
 CONTROLS = [chr(c) for c in range(0x1C, 0x20)]
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of texts under a vocabulary that never joins characters across white space: each
-    word's ids are looked up in a table, and the library is asked for those not there."""
+    word's ids are looked up in this table, and the library is asked for those not there."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = regex.compile(pattern).findall
+        self.shown = byte_symbols()
+        self.parts: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word. Where normalising is lowering letter by letter, the word is cut by the
+        file's own pattern and its parts, of which most are known, go to the library's model."""
+        if not word.isascii() and PLAIN.fullmatch(word) is None or len(word) > KEPT_LENGTH or "<|" in word:
+            return self.whole(word)
+        low = word.lower()
+        if low.isalpha():
+            return self.part(low)
+        if low[-1] in ".,!?;:" and low[:-1].isalpha():
+            return self.part(low[:-1]) + self.part(low[-1])
+        return b"".join(map(self.part, self.cut(low)))
+
+    def part(self, part: str) -> bytes:
+        if (ids := self.parts.get(part)) is None:
+            shown = "".join([self.shown[b] for b in part.encode("utf-8")])
+            ids = array(ID_TYPE, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
+            if len(self.parts) >= KEPT:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.word(word)
+        if len(word) <= KEPT_LENGTH:
+            self[word] = ids
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned little-endian 32-bit numbers."""
-        cut = [None if any(c in t for c in CONTROLS) else t.split() for t in texts]  # the library has another view of these four
-        known = self.known
-        missing = {w for words in cut if words for w in words if w not in known}
-        kept = {w for w in missing if len(w) <= KEPT_LENGTH}
-        if len(known) + len(kept) > KEPT:
-            known.clear()
-            missing = {w for words in cut if words for w in words}
-        extra = {}
-        asked = list(missing)
-        for begin in range(0, len(asked), 20_000):
-            part = asked[begin : begin + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= KEPT_LENGTH else extra)[w] = np.array(e.ids, "<u4").tobytes()
         out = []
-        for words, text in zip(cut, texts, strict=True):
-            if words is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            elif extra:
-                out.append(b"".join([known[w] if w in known else extra[w] for w in words]))
+        for text in texts:
+            if len(self) > KEPT:
+                self.clear()
+            if any(c in text for c in CONTROLS):  # the library has another view of these four
+                out.append(self.whole(text))
             else:
-                out.append(b"".join(map(known.__getitem__, words)))
+                out.append(b"".join(map(self.__getitem__, text.split())))
         return out
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+
+from fieldloom.plans.tables import new_path, remove, save, shared_dir  # noqa: F401
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,31 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session's settings.
-
-    Only where neither ``spark.checkpoint.dir`` nor a checkpoint folder is set (tests on one
-    machine) a temporary one is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="fieldloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there, and a lost
-    executor costs no more than the rows' second reading."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each slice holds about ``limit`` bytes of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -70,3 +45,27 @@ def words_of(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarra
         before = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
         offsets, codes = before[offsets], codes[keep]
     return offsets, codes, distinct
+
+
+def hashes_of(distinct: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def odd_numbers(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def chained(h: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Hash of every ``n`` consecutive entries of ``h``."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for factor, k in zip(odd_numbers(seed, n), range(n), strict=True):
+        out += h[k : len(h) - n + 1 + k] * factor
+    return mixed(out)

@@ -32,7 +32,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -
 def words_of(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The words of each text: ``(offsets, codes, distinct)``; the words of row ``i`` are
     ``distinct[c] for c in codes[offsets[i]:offsets[i+1]]``. Null texts have none."""
-    text = pc.fill_null(text.cast(pa.large_string()), "")
+    text = pc.fill_null(text.cast(pa.large_string()), "").take(pa.array(np.arange(len(text))))  # a slice, copied: kernels below misread offsets
     if lower:
         text = pc.ascii_lower(text)
     parts = pc.ascii_split_whitespace(text)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import fingerprint, mixing, near_dup, packing, sharding, token_count
+from fieldloom.llm import embed_dup, fingerprint, lattice, mixing, near_dup, packing, sharding, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), shingle=2, threshold=0.8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_fingerprints, op4_mixing, op6_sharding, op7_near_duplicates)}
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_fingerprints, op4_mixing, op6_sharding, op7_near_duplicates, op9_near_vectors, op10_lattice_scores)}
 
 ORACLE_SQL: dict[str, str] = {}

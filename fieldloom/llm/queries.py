@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import embed_dup, fingerprint, lattice, mixing, near_dup, packing, sharding, token_count
+from fieldloom.llm import embed_dup, fingerprint, lattice, mixing, near_dup, packing, sharding, substring, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op5_substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -47,6 +51,6 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_fingerprints, op4_mixing, op6_sharding, op7_near_duplicates, op9_near_vectors, op10_lattice_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_fingerprints, op4_mixing, op5_substring_removal, op6_sharding, op7_near_duplicates, op9_near_vectors, op10_lattice_scores)}
 
 ORACLE_SQL: dict[str, str] = {}

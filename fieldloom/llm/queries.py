@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import embed_dup, fingerprint, lattice, mixing, near_dup, packing, sharding, substring, token_count
+import corpus_pipeline
+from fieldloom.llm import embed_dup, fingerprint, lattice, mixing, near_dup, packing, quality, sharding, substring, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+    return substring.remove_repeats(documents(spark, sf_dir)).drop("kept_text", "rest")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), shingle=2, threshold=0.8)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(documents(spark, sf_dir), quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -51,6 +56,8 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_fingerprints, op4_mixing, op5_substring_removal, op6_sharding, op7_near_duplicates, op9_near_vectors, op10_lattice_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_fingerprints, op4_mixing, op5_substring_removal, op6_sharding, op7_near_duplicates, op8_quality, op9_near_vectors, op10_lattice_scores)}
+
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL: dict[str, str] = {}

@@ -223,7 +223,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int, gram: int, batches: int, fanout: int) -> tuple[DataFrame, DataFrame]:
-    """The texts as a table by id, and their covered windows as ``id, spans``."""
+    """The rows (``doc_id, text, rest``) as a table by id, and their covered windows as ``id, spans``."""
     spark = docs.sparkSession
     tables = Tables(spark)
 
@@ -232,10 +232,10 @@ def repeats(docs: DataFrame, window: int, gram: int, batches: int, fanout: int)
         for whole in parts:
             for batch in slices(whole):
                 text = [None if t is None else press.compress(t.encode("utf-8")) for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary())], ["id", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary()), batch.column(3)], ["id", "doc_id", "text", "rest"])
 
-    rows = numbered(docs).select("id", "doc_id", "text")
-    texts = tables.write(rows.mapInArrow(pressed, "id long, doc_id long, text binary"), "id", ["id"])
+    rows = numbered(docs).select("id", "doc_id", "text", "rest")
+    texts = tables.write(rows.mapInArrow(pressed, f"id long, doc_id long, text binary, rest {docs.schema['rest'].dataType.simpleString()}"), "id", ["id"])
     cuts = sorted({int(x) for x in texts.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
     index = WindowIndex(spark, texts, tables, window, gram, fanout)
     covered = None
@@ -248,11 +248,12 @@ def repeats(docs: DataFrame, window: int, gram: int, batches: int, fanout: int)
     return texts, spans
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 2, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept_text`` of every row. ``kept_sha256`` is of the
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 2, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256, kept_text, rest`` of every row. ``kept_sha256`` is of the
     kept words joined by a space; ``kept_text`` is the text without the removed words and the
-    white space after them."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    white space after them; ``rest`` has the ``carried`` columns as they were."""
+    rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("boolean")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
     texts, spans = repeats(docs, window, gram, batches, fanout)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +277,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: in
                     for column, value in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode("utf-8")).hexdigest(), left), strict=True):
                         column.append(value)
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)], batch.column(4)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"])
 
-    rows = texts.join(spans, "id", "left").select("doc_id", "text", "spans.start", "spans.n")
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    rows = texts.join(spans, "id", "left").select("doc_id", "text", "spans.start", "spans.n", "rest")
+    return rows.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {docs.schema['rest'].dataType.simpleString()}")

@@ -6,11 +6,12 @@ parities: two bitmaps differ in about 256 (1 - exp(-d / 256)) of their 512 bits
 values differ, so the count of differing bits tells apart at a few instructions a pair what the
 bands let through. What passes is confirmed on the full sets.
 
-No bucket is expanded into pairs. First every member is compared with the bucket's leader, of
-each member's leaders the likeliest first; what these links join is then one component, and
-only members outside the leader's component are compared with the others, across components.
-So a large group of copies costs a few comparisons a member, and every candidate pair is either
-confirmed, refused, or already joined.
+No bucket is expanded into pairs. Every member is compared with the bucket's leader; pairs that
+pass make families. Members whose leader is of another family are compared across families, and
+what passes merges them, so every pair that shares a band and passes lies inside one family. A
+family's full sets then meet in blocks: one set is marked and counted in all sets of the other
+block at once, and only a spanning forest of the confirmed links leaves. A document's set is
+sent once for each block of its family, and no pair is written.
 
 With 28 bands of 4, a pair at similarity 0.8 shares no band with probability 4e-7; the bound on
 differing bits lies six deviations beyond that similarity.
@@ -39,6 +40,8 @@ SAMPLES = BANDS * PER_BAND
 MOST_BITS = 84
 FACTORS = odd_numbers(71, SAMPLES)[:, None]
 BLOCK = 4096
+#: Sets in a block of a family.
+BLOCK_SETS = 512
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -98,11 +101,42 @@ def alike(a: str, b: str, threshold: float) -> Column:
     return sizes & (bits <= MOST_BITS)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough. Only texts in a pair are read on."""
+def linked(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, same: bool, hundredths: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets ``first`` and ``second`` (indices; one block twice
+    if ``same``). Each set of the first is marked and counted in all sets of the second at once."""
+    root = np.arange(len(sets))
+    size = np.array([len(s) for s in sets])
+    if not len(first) or not len(second):
+        return []
+    line = np.concatenate([sets[j] for j in second])
+    order = np.unique(line)
+    line, starts = np.searchsorted(order, line), np.cumsum(size[second]) - size[second]
+    mark, out = np.zeros(len(order), np.int64), []
+    for k, i in enumerate(first):
+        at = np.searchsorted(order, sets[i])
+        at = at[(at < len(order)) & (order[np.minimum(at, len(order) - 1)] == sets[i])]
+        mark[at] = 1
+        from_ = k + 1 if same else 0
+        if from_ < len(second):
+            common = np.add.reduceat(mark[line[starts[from_] :]], starts[from_:] - starts[from_])
+            near = second[from_:][100 * common >= hundredths * (size[i] + size[second[from_:]] - common)]
+            for j in near[root[near] != root[i]]:
+                if root[j] != root[i]:
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+        mark[at] = 0
+    return out
+
+
+def links_within(families: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links ``a, b`` that connect all pairs of similar full sets within each family (``id, family``).
+    A family's sets meet in pairs of blocks of BLOCK_SETS; each block pair is one group."""
     hundredths = round(threshold * 100)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    placed = families.join(save(blocks, "near-blocks"), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = placed.withColumn("pairs", F.transform(other, lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"))))
+    texts = docs.join(placed.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "family", "block", "pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -110,22 +144,19 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -
                 offsets, codes, distinct = words_of(batch.column(1), lower=True)
                 h = hashes_of(distinct)[codes]
                 out = [shingle_set(h[a:b], shingle).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *batch.columns[2:]], ["id", "shingles", "family", "block", "pairs"])
+
+    found = texts.mapInArrow(sets, "id long, shingles binary, family long, block int, pairs array<struct<p:int,q:int>>")
+    found = found.select("id", "shingles", "family", "block", F.explode("pairs").alias("pair")).select("id", "shingles", "family", "block", "pair.p", "pair.q")
 
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((p, q))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= hundredths * (len(both) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def compared(group: pa.Table) -> pa.Table:
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
+        pairs = linked([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], np.flatnonzero(block == p), np.flatnonzero(block == q), p == q, hundredths)
+        ends = [[int(ids[k]) for k in side] for side in ([i for i, _ in pairs], [j for _, j in pairs])]
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
 
-    found = save(texts.mapInArrow(sets, "doc_id long, shingles binary"), "near-sets")
-    left, right = (found.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(confirmed, "a long, b long")
+    return found.groupBy("family", "p", "q").applyInArrow(compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,36 +181,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, i
         .join(sketches.alias("q").withColumnRenamed("id", "qid"), F.col("leader") == F.col("qid"))
         .where(alike("p", "q", threshold))
     )
-    bits = sum((F.bit_count(F.col("p.sketch")[i].bitwiseXOR(F.col("q.sketch")[i])) for i in range(BITS // 64)), F.lit(0))
-    passed = save(passed.select("id", "leader", bits.alias("bits")), "near-leaders")
-    best = passed.groupBy("id").agg(F.min_by("leader", F.struct("bits", "leader")).alias("leader"))
-    pair = [F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")]
-    links = save(confirm(save(best.select(*pair).distinct(), "near-pairs"), docs, shingle, threshold), "near-links")
-    joined = save(components(links), "near-joined")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        ca, cb = (joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        both = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    rest = passed.select(*pair).distinct().join(links, ["a", "b"], "left_anti")
-    rest = save(apart(rest.join(best.select(*pair).distinct(), ["a", "b"], "left_anti")), "near-pairs")
-    links = save(links.unionByName(confirm(rest, docs, shingle, threshold)), "near-links")
-    joined = save(components(links), "near-joined")
+    passed = save(passed.select(F.col("id").alias("a"), F.col("leader").alias("b")), "near-passed")
+    family = save(components(passed), "near-families")
 
-    # members outside their leader's component, against all others of the bucket
-    of = members.where("members > 2 and id != leader").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    of = of.join(joined.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left")
-    of = of.select("band", "id", F.coalesce("component", "id").alias("c"), F.coalesce("lc", "leader").alias("lc"))
-    of = save(of, "near-open")
+    # likely pairs of a bucket that its leader doesn't bring into one family
+    of = members.where("members > 2 and id != leader").join(family.withColumnRenamed("node", "id"), "id", "left")
+    of = of.join(family.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left")
+    of = save(of.select("band", "id", F.coalesce("component", "id").alias("c"), F.coalesce("lc", "leader").alias("lc")), "near-open")
     outside = of.where("c != lc")
     inside = of.join(outside.select("band").distinct(), "band", "left_semi")
     p, q = (x.join(sketches, "id").alias(name) for x, name in ((outside, "p"), (inside, "q")))
-    apart_now = (F.col("p.c") != F.col("q.c")) & ((F.col("q.c") == F.col("q.lc")) | (F.col("p.id") < F.col("q.id")))
-    crossed = p.join(q, (F.col("p.band") == F.col("q.band")) & apart_now & alike("p", "q", threshold))
-    crossed = crossed.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    crossed = save(crossed.join(passed.select(*pair).distinct(), ["a", "b"], "left_anti"), "near-pairs")
-    links = save(links.unionByName(confirm(crossed, docs, shingle, threshold)), "near-links")
+    apart = (F.col("p.c") != F.col("q.c")) & ((F.col("q.c") == F.col("q.lc")) | (F.col("p.id") < F.col("q.id")))
+    crossed = p.join(q, (F.col("p.band") == F.col("q.band")) & apart & alike("p", "q", threshold))
+    crossed = save(crossed.select(F.col("p.c").alias("a"), F.col("q.c").alias("b")).distinct(), "near-crossed")
+    if not crossed.isEmpty():
+        family = save(components(passed.unionByName(crossed)), "near-families")
+    links = save(links_within(family.select(F.col("node").alias("id"), F.col("component").alias("family")), docs, shingle, threshold), "near-links")
     joined = save(components(links), "near-joined")
 
     of_key = save(nodes.select("k1", "k2", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component")), "near-keys")

@@ -69,35 +69,40 @@ class Pieces:
         return np.log(w / w.sum())
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """``(begin, end, piece, times, place)`` of all arcs; nodes are numbered through all words,
-        ``place`` is an arc's end within its word. And the last node of each word."""
-        begin, end, piece, times, place, last = [], [], [], [], [], []
-        number, node = self.number, 0
+        """``(begin, end, piece, times)`` of all arcs, nodes numbered through all words, and the last
+        node of each word."""
+        place, piece, letters, last = [], [], [], []
+        number, node = self.number.get, 0
+        add, put = place.append, piece.append
         for word in words:
             s = MARK + word
-            for i in range(len(s)):
-                single = False
-                for j in range(i + 1, len(s) + 1):
-                    k = number.get(s[i:j])
+            n = len(s)
+            for i in range(n):
+                k = number(s[i])
+                if k is None or k < 0:
+                    letters.append((len(place), len(s[i].encode("utf-8"))))
+                    add((node + i) * 128 + 1)
+                    put(self.byte)
+                    if k is None:
+                        continue
+                else:
+                    add((node + i) * 128 + 1)
+                    put(k)
+                for j in range(i + 2, n + 1):
+                    k = number(s[i:j])
                     if k is None:
                         break
                     if k >= 0:
-                        single |= j == i + 1
-                        begin.append(node + i)
-                        end.append(node + j)
-                        piece.append(k)
-                        times.append(1)
-                        place.append(j)
-                if not single:
-                    begin.append(node + i)
-                    end.append(node + i + 1)
-                    piece.append(self.byte)
-                    times.append(len(s[i].encode("utf-8")))
-                    place.append(i + 1)
-            node += len(s)
+                        add((node + i) * 128 + j - i)
+                        put(k)
+            node += n
             last.append(node)
             node += 1
-        return tuple(np.array(x, np.int64) for x in (begin, end, piece, times, place, last))
+        begin, length = np.divmod(np.array(place, np.int64), 128)
+        times = np.ones(len(place), np.int64)
+        if letters:
+            times[[x for x, _ in letters]] = [x for _, x in letters]
+        return begin, begin + length, np.array(piece, np.int64), times, np.array(last, np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -123,18 +128,18 @@ def word_scores(words: list[str], pieces: Pieces, logs: np.ndarray, counts: np.n
     scores, expected = np.zeros(len(words)), None if counts is None else np.zeros(pieces.size + 2)
     for at in range(0, len(words), STEP_WORDS):
         part = words[at : at + STEP_WORDS]
-        begin, end, piece, times, place, last = pieces.arcs(part)
+        begin, end, piece, times, last = pieces.arcs(part)
         value = logs[piece] * times - np.where(piece == pieces.byte, times * math.log(256), 0.0)
         first = np.concatenate(([0], last[:-1] + 1))
         forward = np.full(last[-1] + 1, -np.inf)
         forward[first] = 0.0
-        recursion(begin, end, value, place, forward)
+        of_word = np.searchsorted(last, begin)
+        recursion(begin, end, value, end - first[of_word], forward)
         scores[at : at + len(part)] = forward[last]
         if expected is not None:
             backward = np.full(last[-1] + 1, -np.inf)
             backward[last] = 0.0
-            of_word = np.searchsorted(last, begin)
-            recursion(end, begin, value, place.max() - (begin - first[of_word]), backward)
+            recursion(end, begin, value, last[of_word] - begin, backward)
             share = np.exp(forward[begin] + value + backward[end] - forward[last][of_word]) * counts[at : at + len(part)][of_word]
             expected += np.bincount(piece, share * times, minlength=len(expected))
     return scores, expected
@@ -201,7 +206,7 @@ def class_number(docs: DataFrame, class_col: str | None, most: int) -> tuple[lis
     return [r["n"] for r in top], number
 
 
-def score(docs: DataFrame, vocabulary: str, rounds: int = 3, class_col: str | None = "lang", most_classes: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, rounds: int = 2, class_col: str | None = "lang", most_classes: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; logs are decimal."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     sizes, number = class_number(docs.where(~held), class_col, most_classes)

@@ -33,7 +33,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(documents(spark, sf_dir)).drop("kept_text", "rest")
+    return substring.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept_text", "rest")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

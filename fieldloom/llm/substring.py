@@ -9,9 +9,10 @@ hashed from the texts and compared, so a shared seed alone removes nothing; of e
 all but the first (smaller id, then earlier start) are covered. Runs of a level are merged into
 one of the next when there are ``fanout`` of them.
 
-A seed that occurs more than HOT times is dealt out by salt: each salt finds its own first
-windows, and these few meet again. A window's identity is its seed's hash and a 64-bit hash of
-its words.
+A seed that occurs more than HOT times is dealt out by its windows' hashes, so that a common line
+in many contexts is many keys; and of windows that meet in one step of a task only the first goes
+on, so that a large group of copies sends few rows. A window's identity is its seed's hash and
+a 64-bit hash of its words.
 
 Cases: null texts and those shorter than a window keep all words; a window that repeats inside
 one document is covered from its second start on; equal rows of one id are the same document,
@@ -26,6 +27,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from fieldloom.llm.common import WORD, chained, hashes_of, new_path, remove, sav
 
 #: Occurrences of a seed from which it is dealt out by salt, and about as many in each part.
 HOT = 2000
-WORDS = re.compile(WORD)
+WORDS = re.compile(WORD.encode())
 
 
 def seeds_of(h: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -85,7 +87,7 @@ class WindowIndex:
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpress = zstandard.ZstdDecompressor()
             for whole in batches:
-                for batch in slices(whole, limit=2 << 20):
+                for batch in slices(whole, limit=4 << 20):
                     offsets, codes, distinct = words_of(opened(batch.column(1), unpress))
                     h = hashes_of(distinct)[codes]
                     values, places, rows = [], [], []
@@ -121,14 +123,9 @@ class WindowIndex:
             part = part.join(shared, "h").select("id", "pos", F.greatest(F.lit(1), F.ceil(F.col("n") / HOT)).cast("int").alias("salts"))
             places = part if places is None else places.unionByName(part)
         places = places.groupBy("id").agg(F.collect_list(F.struct("pos", "salts")).alias("places"))
-        rows = self.texts.where(upto).join(places, "id").select("id", "text", "places.pos", "places.salts").mapInArrow(self.hashed(), "h long, salt int, salted boolean, id long, start int, windows binary")
+        rows = self.texts.where(upto).join(places, "id").select("id", "text", "places.pos", "places.salts").mapInArrow(self.hashed(), "h long, salt int, id long, start int, n int, windows binary")
         rows = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "id", "start")
-        kinds = "h long, id long, start int, n int, windows binary"
-        judged = save(rows.mapInArrow(judge, kinds), "substring-judged")
-        met = judged.where("windows is not null").select("h", F.lit(0).alias("salt"), F.lit(False).alias("salted"), "id", "start", "windows")
-        met = met.repartition("h").sortWithinPartitions("h", "id", "start").mapInArrow(judge, kinds)
-        covered = save(judged.where("windows is null").unionByName(met).where(inside).select("id", "start", "n"), "substring-covered")
-        remove(judged)
+        covered = save(rows.mapInArrow(judge, "id long, start int, n int").where(inside), "substring-covered")
         self.push(run)
         release(self.spark)
         return covered
@@ -139,25 +136,28 @@ class WindowIndex:
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpress = zstandard.ZstdDecompressor()
             for whole in batches:
-                for batch in slices(whole, limit=1 << 20):
+                for batch in slices(whole, limit=4 << 20):
                     offsets, codes, distinct = words_of(opened(batch.column(1), unpress))
                     h = hashes_of(distinct)[codes]
-                    out = [[] for _ in range(6)]
-                    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                        doc = batch.column(0)[i].as_py()
-                        pos, salts = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()
+                    out, met = [[] for _ in range(6)], set()
+                    ids, places, spread = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                    for doc, a, b, pos, salts in zip(ids, offsets[:-1], offsets[1:], places, spread, strict=True):
+                        pos = np.array(pos)
                         seeds = seeds_of(h[a:b], window, gram)
-                        grams, hashes = chained(h[a:b], gram, 51).view(np.int64), chained(h[a:b], window, 52)
-                        first, last = np.searchsorted(seeds, pos), np.searchsorted(seeds, pos, side="right")
-                        spread = (doc * 0x9E3779B97F4A7C15 >> 20) & 0xFFFFFFF
-                        out[0] += grams[pos].tolist()
-                        out[1] += (spread % salts).tolist()
-                        out[2] += (salts > 1).tolist()
-                        out[3] += [doc] * len(pos)
-                        out[4] += first.tolist()
-                        out[5] += [hashes[p:q].tobytes() for p, q in zip(first, last, strict=True)]
-                    types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["h", "salt", "salted", "id", "start", "windows"])
+                        grams, hashes = chained(h[a:b], gram, 51).view(np.int64)[pos].tolist(), chained(h[a:b], window, 52)
+                        first, last = np.searchsorted(seeds, pos).tolist(), np.searchsorted(seeds, pos, side="right").tolist()
+                        whole_bytes = hashes.tobytes()
+                        for g, parts, p, q in zip(grams, salts, first, last, strict=True):
+                            if parts == 1:
+                                add(out, g, 0, doc, p, q - p, whole_bytes[8 * p : 8 * q])
+                                continue
+                            for k in range(p, q):  # dealt by the window's own hash; here, rows come in the order of ids
+                                one = whole_bytes[8 * k : 8 * k + 8]
+                                old = (g, one) in met
+                                met.add((g, one))
+                                add(out, g, doc % parts if old else int(hashes[k]) % parts, doc, k, 1, None if old else one)
+                    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["h", "salt", "id", "start", "n", "windows"])
 
         return windows
 
@@ -182,32 +182,39 @@ class WindowIndex:
 
 
 def opened(packed: pa.Array, unpress: zstandard.ZstdDecompressor) -> pa.Array:
-    return pa.array([None if t is None else unpress.decompress(t).decode("utf-8") for t in packed.to_pylist()], pa.string())
+    return pa.array([None if t is None else unpress.decompress(t) for t in packed.to_pylist()], pa.binary()).cast(pa.string())
+
+
+def add(columns: list[list], *values) -> None:
+    for column, value in zip(columns, values, strict=True):
+        column.append(value)
 
 
 def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows in the order of seed, salt, id and start. Windows met before under their seed are put
-    out as covered; those met first are put out with their hashes where the seed is salted."""
-    key, seen = None, set()
+    """Reads rows in the order of seed, salt, id and start, and puts out the windows met before under
+    their seed, with those that come without hashes, as they were met before elsewhere."""
+    key, seen, wholes = None, set(), set()
     for batch in batches:
-        out = [[] for _ in range(5)]
-        for h, salt, salted, doc, start, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        out = [[] for _ in range(3)]
+        for h, salt, doc, start, n, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if windows is None:
+                add(out, doc, start, n)
+                continue
             if (h, salt) != key:
-                key, seen = (h, salt), set()
+                key, seen, wholes = (h, salt), set(), set()
+            if windows in wholes:
+                add(out, doc, start, n)
+                continue
+            wholes.add(windows)
             parts = [windows[i : i + 8] for i in range(0, len(windows), 8)]
-            old = [w in seen for w in parts]
-            seen.update(parts)
-            i = 0
-            while i < len(parts):
-                j = i
-                while j < len(parts) and old[j] == old[i]:
-                    j += 1
-                if old[i] or salted:
-                    for column, value in zip(out, (h, doc, start + i, j - i, None if old[i] else b"".join(parts[i:j])), strict=True):
-                        column.append(value)
-                i = j
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["h", "id", "start", "n", "windows"])
+            if seen.isdisjoint(parts) and len(set(parts)) == len(parts):
+                seen.update(parts)
+                continue
+            for k, part in enumerate(parts):
+                if part in seen:
+                    add(out, doc, start + k, 1)
+                seen.add(part)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "start", "n"])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -248,10 +255,10 @@ def repeats(docs: DataFrame, window: int, gram: int, batches: int, fanout: int)
     return texts, spans
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 2, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 2, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text, rest`` of every row. ``kept_sha256`` is of the
     kept words joined by a space; ``kept_text`` is the text without the removed words and the
-    white space after them; ``rest`` has the ``carried`` columns as they were."""
+    white space after them; ``rest`` has the ``carried`` columns as they were. Without ``with_text``, ``kept_text`` is null."""
     rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("boolean")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
     texts, spans = repeats(docs, window, gram, batches, fanout)
@@ -262,22 +269,24 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: in
             for begin in range(0, whole.num_rows, 200):
                 batch = whole.slice(begin, 200)
                 out = [[] for _ in range(4)]
-                for text, starts, n in zip(opened(batch.column(1), unpress).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    words = WORDS.findall(text or "")
-                    kept, left = words, text
+                for packed, starts, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    text = None if packed is None else unpress.decompress(packed)
+                    words = (text or b"").split()  # at the six white-space bytes
+                    kept, left = words, text if with_text else None
                     if starts:
                         edge = np.zeros(len(words) + 1, np.int64)
                         np.add.at(edge, np.array(starts), 1)
                         np.add.at(edge, np.array(starts) + np.array(n) + window - 1, -1)
-                        keep = np.cumsum(edge)[:-1] == 0
-                        kept = [w for w, k in zip(words, keep, strict=True) if k]
-                        spans = [m.span() for m in WORDS.finditer(text)]
-                        ends = [s for s, _ in spans[1:]] + [len(text)]
-                        left = text[: spans[0][0]] + "".join(text[s:e] for (s, _), e, k in zip(spans, ends, keep, strict=True) if k)
-                    for column, value in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode("utf-8")).hexdigest(), left), strict=True):
-                        column.append(value)
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)], batch.column(4)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"])
+                        keep = (np.cumsum(edge)[:-1] == 0).tolist()
+                        kept = [*compress(words, keep)]
+                        if with_text:
+                            spans = [m.span() for m in WORDS.finditer(text)]
+                            ends = [s for s, _ in spans[1:]] + [len(text)]
+                            left = text[: spans[0][0]] + b"".join([text[s:e] for (s, _), e, k in zip(spans, ends, keep, strict=True) if k])
+                    add(out, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), left)
+                types = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns[:3], columns[3].cast(pa.string()), batch.column(4)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"])
 
     rows = texts.join(spans, "id", "left").select("doc_id", "text", "spans.start", "spans.n", "rest")
     return rows.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {docs.schema['rest'].dataType.simpleString()}")

@@ -1,0 +1 @@
+"""Operators on grids, frames and graphs."""

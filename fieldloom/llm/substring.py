@@ -147,6 +147,14 @@ class WindowIndex:
                         grams, hashes = chained(h[a:b], gram, 51).view(np.int64)[pos].tolist(), chained(h[a:b], window, 52)
                         first, last = np.searchsorted(seeds, pos).tolist(), np.searchsorted(seeds, pos, side="right").tolist()
                         whole_bytes = hashes.tobytes()
+                        if max(salts) == 1:
+                            out[0] += grams
+                            out[1] += [0] * len(pos)
+                            out[2] += [doc] * len(pos)
+                            out[3] += first
+                            out[4] += [q - p for p, q in zip(first, last, strict=True)]
+                            out[5] += [whole_bytes[8 * p : 8 * q] for p, q in zip(first, last, strict=True)]
+                            continue
                         for g, parts, p, q in zip(grams, salts, first, last, strict=True):
                             if parts == 1:
                                 add(out, g, 0, doc, p, q - p, whole_bytes[8 * p : 8 * q])
@@ -195,7 +203,7 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     their seed, with those that come without hashes, as they were met before elsewhere."""
     key, seen, wholes = None, set(), set()
     for batch in batches:
-        out = [[] for _ in range(3)]
+        ids, starts, lengths = out = [[] for _ in range(3)]
         for h, salt, doc, start, n, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if windows is None:
                 add(out, doc, start, n)
@@ -203,7 +211,9 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (h, salt) != key:
                 key, seen, wholes = (h, salt), set(), set()
             if windows in wholes:
-                add(out, doc, start, n)
+                ids.append(doc)
+                starts.append(start)
+                lengths.append(n)
                 continue
             wholes.add(windows)
             parts = [windows[i : i + 8] for i in range(0, len(windows), 8)]
@@ -229,7 +239,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.join(order, docs["doc_id"].eqNullSafe(order["d"]) & (docs["t"] == order["u"])).drop("d", "t", "u")
 
 
-def repeats(docs: DataFrame, window: int, gram: int, batches: int, fanout: int) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, window: int, gram: int, batches: int, growth: float, fanout: int) -> tuple[DataFrame, DataFrame]:
     """The rows (``doc_id, text, rest``) as a table by id, and their covered windows as ``id, spans``."""
     spark = docs.sparkSession
     tables = Tables(spark)
@@ -243,7 +253,7 @@ def repeats(docs: DataFrame, window: int, gram: int, batches: int, fanout: int)
 
     rows = numbered(docs).select("id", "doc_id", "text", "rest")
     texts = tables.write(rows.mapInArrow(pressed, f"id long, doc_id long, text binary, rest {docs.schema['rest'].dataType.simpleString()}"), "id", ["id"])
-    cuts = sorted({int(x) for x in texts.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
+    cuts = sorted({int(x) for x in texts.approxQuantile("id", [(1 + growth) ** -k for k in range(1, batches)], 0.01)}) if batches > 1 else []
     index = WindowIndex(spark, texts, tables, window, gram, fanout)
     covered = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
@@ -255,13 +265,14 @@ def repeats(docs: DataFrame, window: int, gram: int, batches: int, fanout: int)
     return texts, spans
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 2, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 2, growth: float = 9.0, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text, rest`` of every row. ``kept_sha256`` is of the
-    kept words joined by a space; ``kept_text`` is the text without the removed words and the
+    kept words joined by a space. The table is taken in ``batches`` by ascending id, each ``growth``
+    times as large as what is indexed before it; ``kept_text`` is the text without the removed words and the
     white space after them; ``rest`` has the ``carried`` columns as they were. Without ``with_text``, ``kept_text`` is null."""
     rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("boolean")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
-    texts, spans = repeats(docs, window, gram, batches, fanout)
+    texts, spans = repeats(docs, window, gram, batches, growth, fanout)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()

@@ -31,6 +31,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,12 +138,14 @@ class WindowIndex:
             unpress = zstandard.ZstdDecompressor()
             for whole in batches:
                 for batch in slices(whole, limit=4 << 20):
+                    batch = batch.take(pc.sort_indices(batch.column(0)))
                     offsets, codes, distinct = words_of(opened(batch.column(1), unpress))
                     h = hashes_of(distinct)[codes]
                     out, met = [[] for _ in range(6)], set()
                     ids, places, spread = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
                     for doc, a, b, pos, salts in zip(ids, offsets[:-1], offsets[1:], places, spread, strict=True):
-                        pos = np.array(pos)
+                        order = np.argsort(pos)
+                        pos, salts = np.array(pos)[order], np.array(salts)[order].tolist()
                         seeds = seeds_of(h[a:b], window, gram)
                         grams, hashes = chained(h[a:b], gram, 51).view(np.int64)[pos].tolist(), chained(h[a:b], window, 52)
                         first, last = np.searchsorted(seeds, pos).tolist(), np.searchsorted(seeds, pos, side="right").tolist()
@@ -159,7 +162,7 @@ class WindowIndex:
                             if parts == 1:
                                 add(out, g, 0, doc, p, q - p, whole_bytes[8 * p : 8 * q])
                                 continue
-                            for k in range(p, q):  # dealt by the window's own hash; here, rows come in the order of ids
+                            for k in range(p, q):  # dealt by the window's own hash; rows are in the order of ids here
                                 one = whole_bytes[8 * k : 8 * k + 8]
                                 old = (g, one) in met
                                 met.add((g, one))

@@ -21,9 +21,8 @@ PASSAGE = 50
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects rows that the ordinal classifier takes for toxic or poor."""
     ship(spark)
-    rated = quality.rate(docs, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    rejected = rated.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rated = quality.rate(docs, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), carried=tuple(docs.columns))
+    return rated.where("kept").select("rest.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ BEGINNINGS = (5, 7)
 SHAPE, DECAY = 8.0, 6.0
 #: Entries of a worker's table of words.
 KEPT = 300_000
+#: Entries of the sample that one step of the fit handles, so that its arrays stay small.
+STEP = 1 << 19
 
 
 def place(feature: str) -> int:
@@ -66,7 +69,8 @@ def shapes(kinds: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``doc_id, words, shapes``: places of features as 32-bit numbers, a place as often as it occurs."""
+    """``doc_id, places, values`` of each row: its distinct places, ascending, as 32-bit numbers, and
+    how often each occurs, shapes' counted SHAPE times, as 32-bit floats."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -74,19 +78,30 @@ def features(docs: DataFrame) -> DataFrame:
                 offsets, codes, distinct = words_of(batch.column(1))
                 info = [word_features(w) for w in distinct]
                 kinds = np.array([k for _, k in info], np.int64)
-                out = []
+                places, values = [], []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                    words = [x for c in np.unique(codes[a:b]) for x in info[c][0]]
-                    out.append((np.array(words, "<u4").tobytes(), shapes(kinds, codes[a:b]).astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in ([w for w, _ in out], [s for _, s in out]))], ["doc_id", "words", "shapes"])
+                    words = np.array([x for c in np.unique(codes[a:b]) for x in info[c][0]], np.int64)
+                    forms = shapes(kinds, codes[a:b])
+                    at, of = np.unique(np.concatenate((words, forms)), return_inverse=True)
+                    places.append(at.astype("<u4").tobytes())
+                    values.append(np.bincount(of, np.repeat([1.0, SHAPE], [len(words), len(forms)])).astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "places", "values"])
 
-    return docs.mapInArrow(found, "doc_id long, words binary, shapes binary")
+    return docs.mapInArrow(found, "doc_id long, places binary, values binary")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
+def summed(by: np.ndarray, values, n: int) -> np.ndarray:
+    """Sums of ``values(begin, end)`` by ``by``, in steps of STEP entries."""
+    out = np.zeros(n)
+    for a in range(0, len(by), STEP):
+        out += np.bincount(by[a : a + STEP], values(a, a + STEP), minlength=n)
+    return out
+
+
 def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of most likelihood less decay, by Adam steps that shrink."""
     n = len(grade)
@@ -97,13 +112,14 @@ def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray,
     for step in range(1, rounds + 1):
         w, t = at[:SIZE], at[SIZE:]
         above = np.ones((n, grades + 1))  # P(grade >= k), with 1 and 0 at the ends
-        above[:, 1:grades] = sigmoid(np.bincount(row, w[col] * value, minlength=n)[:, None] - t[None, :])
+        above[:, 1:grades] = sigmoid(summed(row, lambda a, b, w=w: w[col[a:b]] * value[a:b], n)[:, None] - t[None, :])
         above[:, grades] = 0
         slope = above * (1 - above)
         high, low = above[each, grade], above[each, grade + 1]
         p = np.maximum(high - low, 1e-9)
         up, down = slope[each, grade] / p, slope[each, grade + 1] / p
-        gradient = np.concatenate((np.bincount(col, (up - down)[row] * value, minlength=SIZE) - DECAY * w, np.zeros(grades - 1)))
+        pull = up - down
+        gradient = np.concatenate((summed(col, lambda a, b, pull=pull: pull[row[a:b]] * value[a:b], SIZE) - DECAY * w, np.zeros(grades - 1)))
         for k in range(grades - 1):
             gradient[SIZE + k] = down[grade == k].sum() - up[grade == k + 1].sum()
         one += 0.1 * (gradient - one)
@@ -118,28 +134,37 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, least_row
     """Weights (shapes' value within) and thresholds from ``labels`` (``doc_id, grade``)."""
     picked = labels.where("doc_id is not null and grade is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample_rows).select(F.col("doc_id").alias("of"), "grade")
     rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("of"))  # sample_rows rows at most
-    rows = features(rows.select("doc_id", "text")).join(F.broadcast(picked), F.col("doc_id") == F.col("of")).orderBy("doc_id", "grade", "words").toArrow()
+    rows = features(rows.select("doc_id", "text")).join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", "grade", "places", "values").toArrow()
     if not rows.num_rows:
         return None
+    rows = rows.combine_chunks().sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("places", "ascending")])  # 8 bytes a place
     grade = rows.column("grade").to_numpy().astype(np.int64)
-    words, forms = ([np.frombuffer(x, "<u4") for x in rows.column(c).to_pylist()] for c in ("words", "shapes"))
-    row = np.repeat(np.tile(np.arange(len(grade)), 2), [len(x) for x in words] + [len(x) for x in forms])
-    col = np.concatenate([*words, *forms]).astype(np.int64)
-    value = np.where(np.arange(len(col)) < sum(map(len, words)), 1.0, SHAPE)
-    pairs = np.unique(col * len(grade) + row) // len(grade)
-    keep = np.bincount(pairs, minlength=SIZE)[col] >= least_rows
+    col, value = flat(rows.column("places"), "<u4").astype(np.int32), flat(rows.column("values"), "<f4")
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), pc.binary_length(rows.column("places")).to_numpy() // 4)
+    del rows
+    keep = (summed(col, lambda a, b: None, SIZE) >= least_rows)[col]
     return fit(row[keep], col[keep], value[keep], grade, grades)
 
 
-def rate(docs: DataFrame, labels: DataFrame, keep_above: int = 1, least: float = 0.5, sample_rows: int = 8000, grades: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, expected_grade, tails, kept``: ``tails[k]`` is P(grade > k); kept are rows whose
-    ``tails[keep_above]`` is ``least`` or more."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def flat(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The numbers of all rows of a binary column."""
+    parts = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    return np.concatenate(parts)
+
+
+def rate(docs: DataFrame, labels: DataFrame, keep_above: int = 1, least: float = 0.5, sample_rows: int = 8000, grades: int = 3, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, expected_grade, tails, kept`` and, if columns are ``carried``, ``rest`` with them:
+    ``tails[k]`` is P(grade > k); kept are rows whose ``tails[keep_above]`` is ``least`` or more."""
+    rest = [F.struct(*[F.col(c) for c in carried]).alias("rest")] if carried else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
     model = train(docs, labels, sample_rows, grades=grades)
     if model is None:
         tails = F.array(*[F.lit(1.0)] * (grades - 1))
-        return docs.select("doc_id", F.lit(float(grades - 1)).alias("expected_grade"), tails.alias("tails"), F.lit(True).alias("kept"))
-    weights, thresholds = model[0].astype(np.float32), model[1]
+        return docs.select("doc_id", F.lit(float(grades - 1)).alias("expected_grade"), tails.alias("tails"), *docs.columns[2:], F.lit(True).alias("kept"))
+    weights, thresholds, others = model[0].astype(np.float32), model[1], docs.columns[2:]
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[float, int]] = {}
@@ -160,9 +185,10 @@ def rate(docs: DataFrame, labels: DataFrame, keep_above: int = 1, least: float =
                 score = np.array([values[np.unique(codes[a:b])].sum() + SHAPE * weights[shapes(kinds, codes[a:b])].sum(dtype=np.float64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
                 tails = sigmoid(score.reshape(-1, 1) - thresholds[None, :])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1, dtype=np.int32) * (grades - 1)), pa.array(tails.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), lists], ["doc_id", "expected_grade", "tails"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), lists, *batch.columns[2:]], ["doc_id", "expected_grade", "tails", *others])
 
-    return docs.mapInArrow(rated, "doc_id long, expected_grade double, tails array<double>").withColumn("kept", F.col("tails")[keep_above] >= least)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    return docs.mapInArrow(rated, f"doc_id long, expected_grade double, tails array<double>{kinds}").withColumn("kept", F.col("tails")[keep_above] >= least)
 
 
 def graded(labels: DataFrame) -> DataFrame:

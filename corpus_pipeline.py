@@ -16,25 +16,33 @@ from fieldloom.session import ship
 
 #: Words of a passage that is removed where it repeats.
 PASSAGE = 50
+#: Rows that Spark hands to a Python worker at a time; whole rows with long texts are sent here.
+BATCH_ROWS = 2000
+
+
+def ready(spark: SparkSession) -> None:
+    """Sends the package to the workers and bounds their batches, in this session from here on."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects rows that the ordinal classifier takes for toxic or poor."""
-    ship(spark)
+    ready(spark)
     rated = quality.rate(docs, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), carried=tuple(docs.columns))
     return rated.where("kept").select("rest.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, 0.8 or more)."""
-    ship(spark)
+    ready(spark)
     copies = near_dup.near_duplicates(docs, shingle=5, threshold=0.8).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of PASSAGE words or more that occur earlier; what is left empty by that goes."""
-    ship(spark)
+    ready(spark)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = substring.remove_repeats(docs, window=PASSAGE, carried=rest).where("n_removed = 0 or n_removed < n_words")
     fresh = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
@@ -43,13 +51,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each row as often as its source's target asks for, at most twice."""
-    ship(spark)
+    ready(spark)
     return mixing.mixed_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all rows into sequences of 4096 tokens."""
-    ship(spark)
+    ready(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -159,12 +159,16 @@ def rate(docs: DataFrame, labels: DataFrame, keep_above: int = 1, least: float =
     """``doc_id, expected_grade, tails, kept`` and, if columns are ``carried``, ``rest`` with them:
     ``tails[k]`` is P(grade > k); kept are rows whose ``tails[keep_above]`` is ``least`` or more."""
     rest = [F.struct(*[F.col(c) for c in carried]).alias("rest")] if carried else []
+    inside = carried.index(text_col) if text_col in carried else None  # a carried text is sent to the workers once
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
     model = train(docs, labels, sample_rows, grades=grades)
     if model is None:
         tails = F.array(*[F.lit(1.0)] * (grades - 1))
         return docs.select("doc_id", F.lit(float(grades - 1)).alias("expected_grade"), tails.alias("tails"), *docs.columns[2:], F.lit(True).alias("kept"))
-    weights, thresholds, others = model[0].astype(np.float32), model[1], docs.columns[2:]
+    weights, thresholds, others = model[0].astype(np.float32), model[1], ["rest"] if carried else []
+
+    if inside is not None:
+        docs = docs.select("doc_id", "rest")
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[float, int]] = {}
@@ -176,6 +180,8 @@ def rate(docs: DataFrame, labels: DataFrame, keep_above: int = 1, least: float =
             return out
 
         for whole in batches:
+            if inside is not None:
+                whole = whole.add_column(1, "text", pc.struct_field(whole.column(1), inside))
             for batch in slices(whole):
                 if len(known) > KEPT:
                     known.clear()
@@ -187,7 +193,7 @@ def rate(docs: DataFrame, labels: DataFrame, keep_above: int = 1, least: float =
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1, dtype=np.int32) * (grades - 1)), pa.array(tails.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), lists, *batch.columns[2:]], ["doc_id", "expected_grade", "tails", *others])
 
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name == "rest")
     return docs.mapInArrow(rated, f"doc_id long, expected_grade double, tails array<double>{kinds}").withColumn("kept", F.col("tails")[keep_above] >= least)
 
 

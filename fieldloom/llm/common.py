@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,28 @@ def words_of(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return offsets, codes, distinct
 
 
+@functools.cache
+def trimmer() -> Callable[[int], int]:
+    """The C library's function that gives free memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f``, and after it the worker, which serves the next tasks too, gives its free memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trimmer()(0)
+
+    return run
+
+
 def hashes_of(distinct: list[str]) -> np.ndarray:
     """A 64-bit hash of each word."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))

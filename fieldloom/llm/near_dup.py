@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import chained, hashes_of, mixed, odd_numbers, save, slices, words_of
+from fieldloom.llm.common import chained, hashes_of, lean, mixed, odd_numbers, save, slices, words_of
 from fieldloom.plans.components import components
 
 BANDS, PER_BAND, BITS = 28, 4, 512
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     ["doc_id", "n", "k1", "k2", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(signed, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(lean(signed), "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def alike(a: str, b: str, threshold: float) -> Column:
@@ -146,7 +146,7 @@ def links_within(families: DataFrame, docs: DataFrame, shingle: int, threshold:
                 out = [shingle_set(h[a:b], shingle).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *batch.columns[2:]], ["id", "shingles", "family", "block", "pairs"])
 
-    found = texts.mapInArrow(sets, "id long, shingles binary, family long, block int, pairs array<struct<p:int,q:int>>")
+    found = texts.mapInArrow(lean(sets), "id long, shingles binary, family long, block int, pairs array<struct<p:int,q:int>>")
     found = found.select("id", "shingles", "family", "block", F.explode("pairs").alias("pair")).select("id", "shingles", "family", "block", "pair.p", "pair.q")
 
     def compared(group: pa.Table) -> pa.Table:

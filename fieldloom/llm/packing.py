@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import save
+from fieldloom.llm.common import lean, save
 from fieldloom.llm.token_count import byte_symbols
 
 #: Entries of a worker's table of words and their ids, and the longest word kept there.
@@ -128,7 +128,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id"
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, f"doc_id {kind}, block long, place long, n_ids long, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(encoded), f"doc_id {kind}, block long, place long, n_ids long, ids binary")
 
 
 def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], NAMES)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return placed.mapInArrow(pieces, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in NAMES[1:-1]) + ", ids binary")
+    return placed.mapInArrow(lean(pieces), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in NAMES[1:-1]) + ", ids binary")
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import slices, words_of
+from fieldloom.llm.common import lean, slices, words_of
 
 SIZE, KINDS = 1 << 18, 24
 SIGNS = ".,!?;:|\"'()%&$#*"
@@ -87,7 +87,7 @@ def features(docs: DataFrame) -> DataFrame:
                     values.append(np.bincount(of, np.repeat([1.0, SHAPE], [len(words), len(forms)])).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "places", "values"])
 
-    return docs.mapInArrow(found, "doc_id long, places binary, values binary")
+    return docs.mapInArrow(lean(found), "doc_id long, places binary, values binary")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def rate(docs: DataFrame, labels: DataFrame, keep_above: int = 1, least: float =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), lists, *batch.columns[2:]], ["doc_id", "expected_grade", "tails", *others])
 
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name == "rest")
-    return docs.mapInArrow(rated, f"doc_id long, expected_grade double, tails array<double>{kinds}").withColumn("kept", F.col("tails")[keep_above] >= least)
+    return docs.mapInArrow(lean(rated), f"doc_id long, expected_grade double, tails array<double>{kinds}").withColumn("kept", F.col("tails")[keep_above] >= least)
 
 
 def graded(labels: DataFrame) -> DataFrame:

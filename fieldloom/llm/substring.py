@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, chained, hashes_of, new_path, remove, save, slices, words_of
+from fieldloom.llm.common import WORD, chained, hashes_of, lean, new_path, remove, save, slices, words_of
 
 #: Occurrences of a seed from which it is dealt out by salt, and about as many in each part.
 HOT = 2000
@@ -103,7 +103,7 @@ class WindowIndex:
                         ids = batch.column(0).take(pa.array(np.concatenate(rows)))
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), ids, pa.array(np.concatenate(places).astype(np.int32))], ["h", "id", "pos"])
 
-        return texts.select("id", "text").mapInArrow(found, "h long, id long, pos int")
+        return texts.select("id", "text").mapInArrow(lean(found), "h long, id long, pos int")
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -124,9 +124,9 @@ class WindowIndex:
             part = part.join(shared, "h").select("id", "pos", F.greatest(F.lit(1), F.ceil(F.col("n") / HOT)).cast("int").alias("salts"))
             places = part if places is None else places.unionByName(part)
         places = places.groupBy("id").agg(F.collect_list(F.struct("pos", "salts")).alias("places"))
-        rows = self.texts.where(upto).join(places, "id").select("id", "text", "places.pos", "places.salts").mapInArrow(self.hashed(), "h long, salt int, id long, start int, n int, windows binary")
+        rows = self.texts.where(upto).join(places, "id").select("id", "text", "places.pos", "places.salts").mapInArrow(lean(self.hashed()), "h long, salt int, id long, start int, n int, windows binary")
         rows = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "id", "start")
-        covered = save(rows.mapInArrow(judge, "id long, start int, n int").where(inside), "substring-covered")
+        covered = save(rows.mapInArrow(lean(judge), "id long, start int, n int").where(inside), "substring-covered")
         self.push(run)
         release(self.spark)
         return covered
@@ -255,7 +255,7 @@ def repeats(docs: DataFrame, window: int, gram: int, batches: int, growth: float
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary()), batch.column(3)], ["id", "doc_id", "text", "rest"])
 
     rows = numbered(docs).select("id", "doc_id", "text", "rest")
-    texts = tables.write(rows.mapInArrow(pressed, f"id long, doc_id long, text binary, rest {docs.schema['rest'].dataType.simpleString()}"), "id", ["id"])
+    texts = tables.write(rows.mapInArrow(lean(pressed), f"id long, doc_id long, text binary, rest {docs.schema['rest'].dataType.simpleString()}"), "id", ["id"])
     cuts = sorted({int(x) for x in texts.approxQuantile("id", [(1 + growth) ** -k for k in range(1, batches)], 0.01)}) if batches > 1 else []
     index = WindowIndex(spark, texts, tables, window, gram, fanout)
     covered = None
@@ -303,4 +303,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: in
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns[:3], columns[3].cast(pa.string()), batch.column(4)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"])
 
     rows = texts.join(spans, "id", "left").select("doc_id", "text", "spans.start", "spans.n", "rest")
-    return rows.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {docs.schema['rest'].dataType.simpleString()}")
+    return rows.mapInArrow(lean(cut), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {docs.schema['rest'].dataType.simpleString()}")

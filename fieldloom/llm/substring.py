@@ -11,7 +11,7 @@ one of the next when there are ``fanout`` of them.
 
 A seed that occurs more than HOT times is dealt out by its windows' hashes, so that a common line
 in many contexts is many keys; and of windows that meet in one step of a task only the first goes
-on, so that a large group of copies sends few rows. A window's identity is its seed's hash and
+on, the others as one row for each stretch, so that a large group of copies sends few rows. A window's identity is its seed's hash and
 a 64-bit hash of its words.
 
 Cases: null texts and those shorter than a window keep all words; a window that repeats inside
@@ -158,15 +158,22 @@ class WindowIndex:
                             out[4] += [q - p for p, q in zip(first, last, strict=True)]
                             out[5] += [whole_bytes[8 * p : 8 * q] for p, q in zip(first, last, strict=True)]
                             continue
+                        again = []  # stretches of windows met before in this step: h, salt, start, n
                         for g, parts, p, q in zip(grams, salts, first, last, strict=True):
                             if parts == 1:
                                 add(out, g, 0, doc, p, q - p, whole_bytes[8 * p : 8 * q])
                                 continue
                             for k in range(p, q):  # dealt by the window's own hash; rows are in the order of ids here
                                 one = whole_bytes[8 * k : 8 * k + 8]
-                                old = (g, one) in met
-                                met.add((g, one))
-                                add(out, g, doc % parts if old else int(hashes[k]) % parts, doc, k, 1, None if old else one)
+                                if (g, one) not in met:
+                                    met.add((g, one))
+                                    add(out, g, int(hashes[k]) % parts, doc, k, 1, one)
+                                elif again and again[-1][2] + again[-1][3] == k:
+                                    again[-1][3] += 1
+                                else:
+                                    again.append([g, doc % parts, k, 1])
+                        for g, salt, start, n in again:
+                            add(out, g, salt, doc, start, n, None)
                     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["h", "salt", "id", "start", "n", "windows"])
 

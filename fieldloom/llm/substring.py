@@ -16,6 +16,7 @@ a 64-bit hash of its words.
 
 Cases: null texts and those shorter than a window keep all words; a window that repeats inside
 one document is covered from its second start on; equal rows of one id are the same document,
+which is indexed once, and all keep the same words;
 different texts of one id are judged in the order of their hash, null ids come first; an empty
 table gives no rows; other columns are not read.
 """
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import WORD, chained, hashes_of, lean, new_path, remove, save, slices, words_of
@@ -238,15 +239,17 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``id`` in place of ``doc_id``: the same where ids are unique, else a number for each id and text."""
+    """``id`` in place of ``doc_id``: the same where ids are unique, else a number for each id and text.
+    ``first`` marks one row of each ``id``."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not ids:
-        return docs.withColumn("id", F.col("doc_id"))
+        return docs.withColumn("id", F.col("doc_id")).withColumn("first", F.lit(True))
     docs = docs.withColumn("t", F.coalesce(F.sha2("text", 256), F.lit("")))
     keys = docs.select("doc_id", "t").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "t")
     order = save(keys.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF("doc_id long, t string, id long"), "substring-ids")
     order = order.withColumnsRenamed({"doc_id": "d", "t": "u"})
-    return docs.join(order, docs["doc_id"].eqNullSafe(order["d"]) & (docs["t"] == order["u"])).drop("d", "t", "u")
+    docs = docs.join(order, docs["doc_id"].eqNullSafe(order["d"]) & (docs["t"] == order["u"])).drop("d", "t", "u")
+    return docs.withColumn("first", F.row_number().over(Window.partitionBy("id").orderBy("id")) == 1)
 
 
 def repeats(docs: DataFrame, window: int, gram: int, batches: int, growth: float, fanout: int) -> tuple[DataFrame, DataFrame]:
@@ -259,12 +262,12 @@ def repeats(docs: DataFrame, window: int, gram: int, batches: int, growth: float
         for whole in parts:
             for batch in slices(whole):
                 text = [None if t is None else press.compress(t.encode("utf-8")) for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary()), batch.column(3)], ["id", "doc_id", "text", "rest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary()), batch.column(3), batch.column(4)], ["id", "doc_id", "text", "rest", "first"])
 
-    rows = numbered(docs).select("id", "doc_id", "text", "rest")
-    texts = tables.write(rows.mapInArrow(lean(pressed), f"id long, doc_id long, text binary, rest {docs.schema['rest'].dataType.simpleString()}"), "id", ["id"])
+    rows = numbered(docs).select("id", "doc_id", "text", "rest", "first")
+    texts = tables.write(rows.mapInArrow(lean(pressed), f"id long, doc_id long, text binary, rest {docs.schema['rest'].dataType.simpleString()}, first boolean"), "id", ["id"])
     cuts = sorted({int(x) for x in texts.approxQuantile("id", [(1 + growth) ** -k for k in range(1, batches)], 0.01)}) if batches > 1 else []
-    index = WindowIndex(spark, texts, tables, window, gram, fanout)
+    index = WindowIndex(spark, texts.where("first"), tables, window, gram, fanout)  # equal rows are one document
     covered = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = index.add(low, high)

@@ -59,6 +59,30 @@ def test_substring_batches_salts_and_cases(spark, monkeypatch):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substring_repeated_rows(spark, monkeypatch):
+    """Equal rows of one id are one document: none of them loses its own only occurrence."""
+    rows = [*{r[0]: r for r in awkward(9) if r[0] is not None}.values()]
+    rows.append((3000, " ".join(f"only{i}" for i in range(300)), "en", "s", 1, "", ""))
+    want = brute_repeats([(r[0], r[1] or "") for r in rows], 6)
+    assert want[3000][1] == 0
+    repeated = [*rows, rows[3], rows[3], rows[5], rows[-1], *[r for r in rows if r[0] == 1004]]
+    for hot in (substring.HOT, 3):
+        monkeypatch.setattr(substring, "HOT", hot)
+        for batches in (1, 3):
+            got = substring.remove_repeats(frame(spark, repeated), window=6, gram=3, batches=batches, growth=1.5).collect()
+            assert Counter(r.doc_id for r in got) == Counter(r[0] for r in repeated)
+            assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
+
+
+def test_pipeline_keeps_one_text_of_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    docs = docs.unionByName(docs.orderBy("doc_id").limit(3))
+    want = brute_repeats([(r.doc_id, r.text or "") for r in docs.distinct().collect()], corpus_pipeline.PASSAGE)
+    kept = corpus_pipeline.without_repeats(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in docs.collect() if not want[r.doc_id][1] or want[r.doc_id][1] < want[r.doc_id][0])
+    assert all(hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest() == want[r.doc_id][2] for r in kept)
+
+
 def brute_components(sets, hundredths=80):
     ids = sorted(sets)
     root = {i: i for i in ids}

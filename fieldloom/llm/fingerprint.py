@@ -7,8 +7,8 @@ sample is the term, with its t, of the least ln c - r (t - b) - r. Two texts hav
 common with the probability of their generalised Jaccard similarity (sum of the smaller
 weights over sum of the larger), so the share of equal samples estimates it.
 
-The gamma numbers come from a fixed pool; a term's hash picks its row anew for each sample,
-and terms that meet in a row are ordered by hash, so any term is as likely to be least.
+The numbers are drawn for each term and sample on their own, by scrambling the term's hash: a
+gamma number is -ln of a product of two uniforms. Terms of equal score are ordered by hash.
 
 ``compare_with_next`` also fingerprints an edited text for each document, its last half
 replaced by the beginning of the next document. Documents are dealt by id ranges whose
@@ -36,25 +36,82 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import hashes_of, mixed, odd_numbers, slices, words_of
 
 SAMPLES = 64
-POOL_BITS = 14
 #: Terms of a text that are handled at a time.
-BLOCK = 4096
+BLOCK = 512
+#: Weighted terms whose scores are held.
+MOST_TERMS = 1 << 18
 EMPTY = np.uint32(0xFFFFFFFF)
 BEGIN, END = np.array([0x9AE16A3B2F90404F], np.uint64), np.array([0xC949C7DEFA83D2F5], np.uint64)
 LEFT, RIGHT = odd_numbers(31, 2)
 
 
-@lru_cache(maxsize=1)
-def pool() -> tuple[np.ndarray, ...]:
-    rng = np.random.default_rng(8191)
-    shape = (SAMPLES, 1 << POOL_BITS)
-    r, c, b = rng.gamma(2.0, 1.0, shape), rng.gamma(2.0, 1.0, shape), rng.random(shape)
-    c = np.log(c)
-    return tuple(x.astype(np.float32).ravel() for x in (c + r * b - r, r, c, b))
+FACTORS = odd_numbers(32, SAMPLES)
+SECOND = np.uint64(0x9E3779B97F4A7C15)
+
+
+def part(x: np.ndarray, low: int, bits: int) -> np.ndarray:
+    """Some bits of 64-bit numbers, as a uniform number above 0 and at most 1."""
+    whole = (x >> np.uint64(low)).astype(np.uint32) & np.uint32((1 << bits) - 1)
+    u = whole.astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2.0**-bits)
+    return u
+
+
+def draws(x: np.ndarray, factors: np.ndarray = FACTORS[:, None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``r, ln c, b`` of each sample (rows) and term: all of the term's own hash, none shared."""
+    one = mixed(x * factors)
+    two = mixed(one + SECOND)
+    r = part(one, 32, 32)
+    r *= part(one, 0, 32)
+    np.negative(np.log(r, out=r), out=r)
+    np.maximum(r, np.float32(1e-9), out=r)
+    c = part(two, 43, 21)
+    c *= part(two, 22, 21)
+    np.log(np.negative(np.log(c, out=c), out=c), out=c)
+    return r, c, part(two, 0, 22)
+
+
+def levels(w: np.ndarray, r: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(w.astype(np.float32)) / r + b)
+
 
+def scores(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The score of each sample (rows) and weighted term."""
+    r, c, b = draws(x)
+    b -= levels(w, r, b) if (w > 1).any() else np.float32(0)
+    b -= np.float32(1)
+    b *= r
+    b += c
+    return b
 
-FACTORS = odd_numbers(32, SAMPLES)[:, None]
-ROWS = (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(POOL_BITS))[:, None]
+
+class Scores:
+    """Scores of weighted terms met lately, as neighbours and edited texts share many; one row each."""
+
+    def __init__(self):
+        self.keys, self.place, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.empty((MOST_TERMS, SAMPLES), np.float32)
+
+    def of(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The row of each of at most MOST_TERMS terms."""
+        keys, first, back = np.unique(mixed(x + w.astype(np.uint64) * SECOND), return_index=True, return_inverse=True)
+        known = np.isin(keys, self.keys, assume_unique=True)
+        if len(self.keys) + len(keys) - known.sum() > MOST_TERMS:
+            self.keys, self.place, known = self.keys[:0], self.place[:0], np.zeros(len(keys), bool)
+        new, size = first[~known], len(self.keys)
+        new = new[np.argsort(w[new], kind="stable")]  # single terms in blocks of their own
+        for at in range(0, len(new), BLOCK):
+            some = new[at : at + BLOCK]
+            self.rows[size + at : size + at + len(some)] = scores(x[some], w[some]).T
+        found = np.concatenate((self.keys, mixed(x[new] + w[new].astype(np.uint64) * SECOND)))
+        order = np.argsort(found)
+        self.keys, self.place = found[order], np.concatenate((self.place, np.arange(size, size + len(new))))[order]
+        return self.place[np.searchsorted(self.keys, keys)][back]
+
+
+@lru_cache(maxsize=1)
+def lately() -> Scores:
+    return Scores()
 
 
 def terms(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,35 +126,56 @@ def sample(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The samples of a weighted set as 32-bit numbers."""
     if not len(h):
         return np.full(SAMPLES, EMPTY)
-    of_one, r, c, b = pool()
-    best, term, level = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int64)
+    best, k = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64)
     each = np.arange(SAMPLES)
-    for single in (True, False):
-        chosen = w == 1 if single else w > 1
-        part, weights = h[chosen], w[chosen]
-        for at in range(0, len(part), BLOCK):
-            x = part[at : at + BLOCK]
-            place = ((x[None, :] * FACTORS) >> np.uint64(64 - POOL_BITS)) + ROWS
-            if single:
-                score, t = of_one[place], None
-            else:
-                rr, bb = r[place], b[place]
-                t = np.floor(np.log(weights[at : at + BLOCK].astype(np.float32))[None, :] / rr + bb)
-                score = c[place] - rr * (t - bb) - rr
-            k = score.argmin(axis=1)
-            low = score[each, k]
-            better = (low < best) | (low == best) & (x[k] < term)
-            best, term = np.where(better, low, best), np.where(better, x[k], term)
-            level = np.where(better, 0 if t is None else t[each, k].astype(np.int64), level)
-    return np.minimum((mixed(term + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32), EMPTY - np.uint32(1))
+    for at in range(0, len(h), BLOCK):
+        score = scores(h[at : at + BLOCK], w[at : at + BLOCK])
+        i = score.argmin(axis=1)
+        better = score[each, i] < best
+        best, k = np.where(better, score[each, i], best), np.where(better, at + i, k)
+    return numbers(h[k], w[k])
+
+
+def numbers(term: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The chosen terms, one for each sample, with their levels."""
+    r, _, b = draws(term, FACTORS)
+    level = levels(w, r, b).astype(np.int64).astype(np.uint64)
+    return np.minimum((mixed(term + level * SECOND) >> np.uint64(32)).astype(np.uint32), EMPTY - np.uint32(1))
 
 
 def fingerprints(texts: list[str | None]) -> np.ndarray:
     """Samples of each text, one row each."""
     offsets, codes, distinct = words_of(pa.array(texts, pa.string()))
     h = hashes_of(distinct)[codes]
-    out = [sample(*terms(h[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return np.array(out, np.uint32).reshape(len(texts), SAMPLES)
+    out = np.full((len(texts), SAMPLES), EMPTY, np.uint32)
+    group, size = [], 0  # texts whose terms are looked up together
+    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        if b - a >= MOST_TERMS // 8:
+            out[i] = sample(*terms(h[a:b]))
+        elif b > a:
+            group.append((i, *terms(h[a:b])))
+            size += len(group[-1][1])
+        if size > MOST_TERMS // 4:
+            shared(group, out)
+            group, size = [], 0
+    shared(group, out)
+    return out
+
+
+def shared(group: list[tuple], out: np.ndarray) -> None:
+    """``sample`` of each set of a group, by ``lately``'s scores."""
+    if not group:
+        return
+    held = lately()
+    places = np.split(held.of(np.concatenate([x for _, x, _ in group]), np.concatenate([w for _, _, w in group])), np.cumsum([len(x) for _, x, _ in group])[:-1])
+    chosen, weights = np.empty((len(group), SAMPLES), np.uint64), np.empty((len(group), SAMPLES), np.int64)
+    for n, ((_, x, w), place) in enumerate(zip(group, places, strict=True)):
+        rows = held.rows[place]
+        term, which = np.nonzero(rows == rows.min(axis=0))
+        k = np.empty(SAMPLES, np.int64)
+        k[which[::-1]] = term[::-1]  # of equal scores the first, as in ``sample``
+        chosen[n], weights[n] = x[k], w[k]
+    out[[i for i, _, _ in group]] = numbers(chosen, weights)
 
 
 def shown(samples: np.ndarray) -> str:
@@ -133,7 +211,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         unpress = zstandard.ZstdDecompressor()
         first = last = None  # (range, guest, id, text, samples)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 1 << 18):
                 texts = [unpress.decompress(x).decode("utf-8") for x in batch.column(3).to_pylist()]
                 own = fingerprints(texts)
                 rows = [*zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts, own, strict=True)]

@@ -175,6 +175,34 @@ def test_samples_agree_as_weighted_sets_do():
     assert abs(np.mean(shares) - np.mean(truth)) < 0.03
 
 
+def frequent_and_rare(words, seed):
+    """Two texts of about as many words: a third of them frequent shared pairs, the others rare ones of their own."""
+    rng = np.random.default_rng(seed)
+    common = " ".join(f"f{i % 20}" for i in range(words // 3))
+    return [common + " " + " ".join(f"{x}" for x in rng.integers(0, 2**60, words * 2 // 3 // 2)) for _ in range(2)]
+
+
+@pytest.mark.parametrize(("words", "rounds", "most"), [(2000, 12, 0.06), (20_000, 12, 0.06), (500_000, 3, 0.11)])
+def test_samples_of_long_texts(words, rounds, most):
+    shares, truth = [], []
+    for k in range(rounds):
+        a, b = frequent_and_rare(words, k)
+        found = fingerprint.fingerprints([a, b])
+        shares.append(np.mean(found[0] == found[1]))
+        p, q = (Counter(zip(["", *t.split()], [*t.split(), ""], strict=True)) for t in (a, b))
+        truth.append((p & q).total() / (p | q).total())
+    assert abs(np.mean(shares) - np.mean(truth)) < most
+
+
+def test_held_scores_change_nothing(monkeypatch):
+    monkeypatch.setattr(fingerprint, "MOST_TERMS", 4096)
+    monkeypatch.setattr(fingerprint, "lately", lambda held=fingerprint.Scores(): held)
+    found = [r[1] for r in awkward(10)] * 2 + frequent_and_rare(300, 1)
+    for text, samples in zip(found, fingerprint.fingerprints(found), strict=True):
+        words = fingerprint.hashes_of(WORD.findall(text or ""))
+        assert (fingerprint.sample(*fingerprint.terms(words)) == samples).all()
+
+
 def test_fingerprint_cases(spark):
     rows = awkward(6)
     got = fingerprint.compare_with_next(frame(spark, [*rows, (None, "x", None, None, None, None, None)])).collect()

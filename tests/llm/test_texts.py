@@ -259,6 +259,28 @@ def test_near_vectors(spark):
     assert embed_dup.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("spread", "rows_per_cell"), [(2, 20), (3, 100), (8, 50), (64, 100)])
+def test_near_vectors_are_exact_over_cells(spark, spread, rows_per_cell):
+    """Vectors whose variance lies in few directions (most pairs near borders), in many cells."""
+    rng = np.random.default_rng(spread)
+    x = rng.normal(size=(1000, 64)) * np.where(np.arange(64) < spread, 1.0, 0.03)
+    x[500:] = x[:500] + rng.normal(size=(500, 64)) * 0.3 * np.where(np.arange(64) < spread, 1.0, 0.03)
+    unit = x.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embed_dup.near_vectors(table, rows_per_cell=rows_per_cell, block_rows=64).collect()}
+    assert [got[i].n_links for i in range(1000)] == near.sum(axis=1).tolist()
+    label = np.arange(1000)
+    while True:
+        new = np.array([min(label[i], label[near[i]].min(initial=label[i])) for i in range(1000)])
+        if (new == label).all():
+            break
+        label = new
+    assert [(got[i].component_id, got[i].kept) for i in range(1000)] == [(k, k == i) for i, k in enumerate(label.tolist())]
+
+
 def test_lattice_sums_over_segmentations():
     pieces = lattice.Pieces.__new__(lattice.Pieces)
     names = [lattice.MARK, "a", "b", "ab", lattice.MARK + "a"]

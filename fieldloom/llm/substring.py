@@ -1,33 +1,42 @@
 """Operator 5: incremental substring removal with a log-structured index of window hashes.
 
 A window of ``window`` words is found by its seed: the least hash among the ``gram``-word runs
-inside it, so equal windows have equal seeds and about one run in seven is a seed. A batch of
-documents becomes a run of the index: its seeds, sorted by hash and never changed after. The
-new run is merge-joined with the runs of all earlier batches (same layout, so nothing moves),
-which gives the places whose seed occurs more than once. There the windows themselves are
-hashed from the texts and compared, so a shared seed alone removes nothing; of equal windows
-all but the first (smaller id, then earlier start) are covered. Runs of a level are merged into
-one of the next when there are ``fanout`` of them.
-
-A seed that occurs more than HOT times is dealt out by its windows' hashes, so that a common line
-in many contexts is many keys; and of windows that meet in one step of a task only the first goes
-on, the others as one row for each stretch, so that a large group of copies sends few rows. A window's identity is its seed's hash and
-a 64-bit hash of its words.
+inside it. Neighbouring windows share a seed, so about one run in seven is one. For every seed
+the index holds a digest of all words that its windows cover, which makes equal stretches meet
+as one row. A batch of documents becomes a run: its rows, dealt out and sorted by key, never
+changed after. The new run is merge-joined with every run of earlier batches (same layout, so
+nothing moves). Where all digests of a seed agree, all of its windows are equal and all but the
+first are covered. Where they differ, the windows themselves are hashed from the texts and
+verified one by one. Of equal windows all but the first (earlier batch, then smaller id, then
+earlier start) are covered. A level of ``fanout`` runs is compacted into one run of the next
+level, with one row for equal ones; later batches read that run.
+
+Hot seeds are dealt out when they are written. Windows that repeat in a slice of the input are
+settled there, so a large group of copies sends one row for each slice; a seed with more than
+MANY digests in a slice (a common line in many contexts) is written as its single windows,
+each with a key of its own, and a mark under the seed's key says so.
+
+A window's identity is a 64-bit hash of its words, under its seed's 64-bit hash unless the seed
+is hot.
+
+``WindowIndex`` keeps an index in a folder, to which batches can be added at any later time;
+``remove_repeats`` feeds a whole table to one in batches of equal size.
 
 Cases: null texts and those shorter than a window keep all words; a window that repeats inside
 one document is covered from its second start on; equal rows of one id are the same document,
-which is indexed once, and all keep the same words;
-different texts of one id are judged in the order of their hash, null ids come first; an empty
-table gives no rows; other columns are not read.
+which is indexed once, and all keep the same words; different texts of one id are judged in the
+order of their hash, null ids come first; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -37,169 +46,307 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, chained, hashes_of, lean, new_path, remove, save, slices, words_of
+from fieldloom.llm.common import WORD, chained, hashes_of, lean, mixed, new_path, odd_numbers, save, slices, words_of
+from fieldloom.plans.tables import delete, read_text, write_text
 
-#: Occurrences of a seed from which it is dealt out by salt, and about as many in each part.
+#: Rows of one seed from which its windows get keys of their own.
 HOT = 2000
+#: Digests of one seed in a slice of the input from which it is written as windows.
+MANY = 32
+#: Bytes of text in a slice.
+SLICE = 4 << 20
+#: Kinds of a run's rows: a seed, the mark of a hot seed, a hot seed's window, windows settled in their slice.
+SEED, MARK, WINDOW, SETTLED = range(4)
+RUN = "k long, kind int, d long, id long, start int, n int"
 WORDS = re.compile(WORD.encode())
+FACTOR = odd_numbers(52, 1)[0]
+SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def seeds_of(h: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """For each window, the place of its seed."""
+@lru_cache(maxsize=2)
+def powers(factor: int, n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, factor, np.uint64))))
+
+
+class Stretches:
+    """Hashes of stretches of a line of words, from sums of the words' hashes times powers."""
+
+    def __init__(self, h: np.ndarray):
+        n = 1 << max(10, len(h).bit_length())
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(int(FACTOR), n)[: len(h)], dtype=np.uint64)))
+        self.back = powers(pow(int(FACTOR), -1, 1 << 64), n)
+
+    def of(self, begin: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return mixed((self.sums[begin + length] - self.sums[begin]) * self.back[begin] + np.asarray(length).astype(np.uint64) * SCRAMBLE)
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least value among every ``width`` consecutive ones."""
+    place, reach = np.arange(len(values)), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        a, b = place[:-step], place[step:]
+        place = np.where(values[b] < values[a], b, a)
+        reach += step
+    return place
+
+
+def seeds_of(h: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the documents ``h[offsets[i]:offsets[i+1]]``: each seed's document, hash, digest, first window
+    (counted through all documents) and number of windows, in order."""
     if len(h) < window:
-        return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(chained(h, gram, 51), window - gram + 1)
-    return view.argmin(axis=1) + np.arange(len(view))
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+    grams = chained(h, gram, 51)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    starts = np.arange(len(h) - window + 1)
+    starts = starts[starts + window <= offsets[1:][of[starts]]]
+    seed = least(grams, window - gram + 1)[starts]
+    new = np.flatnonzero(np.diff(seed, prepend=-1))
+    first, n = starts[new], np.diff(np.append(new, len(starts)))
+    return of[first], grams[seed[new]], Stretches(h).of(first, n + window - 1), first, n
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All of ``first[i], first[i] + 1, ... first[i] + n[i] - 1``."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(n) else 0) + np.repeat(first - (ends - n), n)
+
+
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Which entries are the first of their value."""
+    out = np.zeros(len(values), bool)
+    out[np.unique(values, return_index=True)[1]] = True
+    return out
+
+
+def stretches(first: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first, n, of`` with neighbours that follow on each other in one document made one."""
+    if not len(first):
+        return first, n, of
+    new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1] + n[:-1]) | (of[1:] != of[:-1]))))
+    return first[new], np.add.reduceat(n, new), of[new]
+
+
+def rows_of_run(h: np.ndarray, offsets: np.ndarray, ids: np.ndarray, window: int, gram: int, many: int = MANY) -> pa.RecordBatch:
+    """A slice's rows of its run; documents come in the order of their ids."""
+    of, seed, digest, first, n = seeds_of(h, offsets, window, gram)
+    new = firsts(digest)
+    again = [(first[~new], n[~new], of[~new])]
+    of, seed, digest, first, n = (x[new] for x in (of, seed, digest, first, n))
+    keys, back, counts = np.unique(seed, return_inverse=True, return_counts=True)
+    hot = counts[back] > many
+    parts = [(seed[~hot].view(np.int64), SEED, digest[~hot].view(np.int64), of[~hot], first[~hot], n[~hot])]
+    if hot.any():
+        marks = keys[counts > many].view(np.int64)
+        zero = np.zeros(len(marks), np.int64)
+        at, doc = spread(first[hot], n[hot]), np.repeat(of[hot], n[hot])
+        w = Stretches(h).of(at, window).view(np.int64)
+        new, one = firsts(w), np.ones(len(at), np.int64)
+        again.append((at[~new], one[~new], doc[~new]))
+        parts += [(marks, MARK, zero, zero, zero + offsets[0], zero), (w[new], WINDOW, w[new], doc[new], at[new], one[new])]
+    for place, m, doc in (stretches(*x) for x in again):
+        parts.append((ids[doc], SETTLED, np.zeros(len(doc), np.int64), doc, place, m))
+    k, d, doc, place, m = (np.concatenate([p[c] for p in parts]) for c in (0, 2, 3, 4, 5))
+    kind = np.repeat(np.array([p[1] for p in parts], np.int32), [len(p[0]) for p in parts])
+    columns = [k, kind, d, ids[doc] if len(ids) else k, (place - offsets[doc]).astype(np.int32), m.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "kind", "d", "id", "start", "n"])
 
 
 class Tables:
-    """Tables of one run of the operator, hashed and sorted by a column, so that joins and groups on
-    it need no exchange. They are dropped from the catalogue with ``drop``."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.names = spark, {}
-        self.parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def write(self, df: DataFrame, by: str, sort: list[str]) -> DataFrame:
-        name, path = f"fieldloom_{uuid.uuid4().hex}", new_path(self.spark, "substring")
-        df.repartition(self.parts, by).write.bucketBy(self.parts, by).sortBy(*sort).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-        table = self.spark.table(name)
-        self.names[id(table)] = name
+    """Tables hashed and sorted by a column, so that joins and groups on it need no exchange."""
+
+    def __init__(self, spark: SparkSession, folder: str, parts: int | None = None):
+        self.spark, self.folder, self.names = spark, folder, []
+        self.parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def write(self, df: DataFrame, by: str, sort: list[str], name: str | None = None) -> tuple[str, DataFrame]:
+        """The table's name below the folder, and the table."""
+        name = name or f"{by}-{uuid.uuid4().hex}"
+        writer = df.repartition(self.parts, by).write.bucketBy(self.parts, by).sortBy(*sort).option("compression", "zstd").format("parquet")
+        writer.option("path", f"{self.folder}/{name}").saveAsTable(self.registered(name))
+        return name, self.spark.table(self.registered(name))
+
+    def open(self, name: str, schema: str, by: str, sort: list[str]) -> DataFrame:
+        """A table that an earlier session wrote."""
+        self.spark.sql(f"create table {self.registered(name)} ({schema}) using parquet options (path '{self.folder}/{name}') clustered by ({by}) sorted by ({', '.join(sort)}) into {self.parts} buckets")
+        return self.spark.table(self.registered(name))
+
+    def registered(self, name: str) -> str:
+        table = f"fieldloom_{name.replace('-', '_')}"
+        if table not in self.names:
+            self.names.append(table)
         return table
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def drop(self) -> None:
+        """Takes the tables out of the catalogue; their files stay, and tables already read can still be."""
+        for name in self.names:
+            self.spark.sql(f"drop table if exists {name}")
+        self.names = []
 
 
 class WindowIndex:
-    """Runs of seeds (``h, id, pos``) of all documents added so far, and their texts."""
+    """Runs of all batches added so far, and their texts, in a folder.
+
+    A folder that holds an index is opened with the settings that it was made with. Every ``add``
+    writes new files and then names them in the manifest, so a batch that fails leaves the index
+    as it was. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, texts: DataFrame, tables: Tables, window: int = 20, gram: int = 5, fanout: int = 4):
+    def __init__(self, spark: SparkSession, folder: str, window: int = 20, gram: int = 5, fanout: int = 2, parts: int | None = None, hot: int = HOT, many: int = MANY):
         if not 0 < gram <= window:
             raise ValueError("a window holds at least one run of words")
-        self.spark, self.texts, self.tables, self.window, self.gram, self.fanout = spark, texts, tables, window, gram, fanout
-        self.levels: list[list[DataFrame]] = []
+        self.spark, self.folder, self.hot, self.many = spark, folder.rstrip("/"), hot, many
+        found = read_text(spark, f"{self.folder}/manifest.json")
+        told = json.loads(found) if found else {"window": window, "gram": gram, "fanout": fanout, "parts": parts, "levels": [], "texts": []}
+        self.window, self.gram, self.fanout = (told[x] for x in ("window", "gram", "fanout"))
+        self.tables = Tables(spark, self.folder, told["parts"])
+        self.levels = [[(n, self.tables.open(n, RUN, "k", ["kind", "k"])) for n in level] for level in told["levels"]]
+        self.texts = [(n, self.tables.open(n, "id long, text binary", "id", ["id"])) for n in told["texts"]]
+        self.old: list[str] = []  # files that are read no more
+        self.spent: list[str] = []  # files that the batches' results are read from
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Adds a batch and returns its covered windows: ``id, start, n`` for ``n`` windows from the word
+        ``start`` on. Ids are whole numbers and name one text each, in this batch and earlier ones."""
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        texts = self.tables.write(rows.mapInArrow(lean(pressed), "id long, text binary"), "id", ["id"])
+        self.texts.append(texts)
+        found = save(self.merge(texts[1]), "substring-added")
+        self.compact()
+        self.old, self.spent = self.old + self.spent, []
+        self.close()
+        return found
+
+    def close(self) -> None:
+        """Writes the manifest; files that it no longer names go."""
+        told = {"window": self.window, "gram": self.gram, "fanout": self.fanout, "parts": self.tables.parts, "levels": [[n for n, _ in level] for level in self.levels], "texts": [n for n, _ in self.texts]}
+        write_text(self.spark, f"{self.folder}/manifest.json", json.dumps(told))
+        for name in self.old:
+            delete(self.spark, f"{self.folder}/{name}")
+        self.old = []
+
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for _, run in level]
 
     def seeds(self, texts: DataFrame) -> DataFrame:
-        window, gram = self.window, self.gram
+        window, gram, many = self.window, self.gram, self.many
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpress = zstandard.ZstdDecompressor()
             for whole in batches:
-                for batch in slices(whole, limit=4 << 20):
+                for batch in slices(whole, limit=SLICE):
+                    batch = batch.take(pc.sort_indices(batch.column(0)))
                     offsets, codes, distinct = words_of(opened(batch.column(1), unpress))
-                    h = hashes_of(distinct)[codes]
-                    values, places, rows = [], [], []
-                    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                        pos = seeds_of(h[a:b], window, gram)
-                        if len(pos):
-                            pos = pos[np.flatnonzero(np.diff(pos, prepend=-1))]
-                            values.append(chained(h[a:b], gram, 51)[pos])
-                            places.append(pos)
-                            rows.append(np.full(len(pos), i))
-                    if values:
-                        ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), ids, pa.array(np.concatenate(places).astype(np.int32))], ["h", "id", "pos"])
-
-        return texts.select("id", "text").mapInArrow(lean(found), "h long, id long, pos int")
-
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
-
-    def add(self, low: int | None, high: int | None) -> DataFrame:
-        """Indexes the documents with ``low < id <= high`` and returns their covered windows: ``id,
-        start, n`` for ``n`` windows from ``start`` on. Batches come in ascending order."""
-        inside = F.lit(True) if low is None else F.col("id") > low
-        upto = F.lit(True) if high is None else F.col("id") <= high
-        run = self.tables.write(self.seeds(self.texts.where(inside & upto)), "h", ["h"])
-        shared = run.groupBy("h").agg(F.count("*").alias("n"))
-        for k, old in enumerate(self.runs()):
-            shared = shared.join(old.groupBy("h").agg(F.count("*").alias(f"m{k}")), "h", "left")
-        m = sum((F.coalesce(f"m{k}", F.lit(0)) for k in range(len(self.runs()))), F.lit(0))
-        shared = shared.select("h", (F.col("n") + m).alias("n")).where("n > 1")
-        places = None
-        for part in [run, *self.runs()]:
-            part = part.join(shared, "h").select("id", "pos", F.greatest(F.lit(1), F.ceil(F.col("n") / HOT)).cast("int").alias("salts"))
-            places = part if places is None else places.unionByName(part)
-        places = places.groupBy("id").agg(F.collect_list(F.struct("pos", "salts")).alias("places"))
-        rows = self.texts.where(upto).join(places, "id").select("id", "text", "places.pos", "places.salts").mapInArrow(lean(self.hashed()), "h long, salt int, id long, start int, n int, windows binary")
-        rows = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "id", "start")
-        covered = save(rows.mapInArrow(lean(judge), "id long, start int, n int").where(inside), "substring-covered")
-        self.push(run)
-        release(self.spark)
-        return covered
+                    yield rows_of_run(hashes_of(distinct)[codes], offsets, batch.column(0).to_numpy(), window, gram, many)
+
+        return texts.select("id", "text").mapInArrow(lean(found), RUN)
+
+    def merge(self, texts: DataFrame) -> DataFrame:
+        """Writes the run of ``texts`` (``id, text``, pressed) and returns its covered windows. The texts are
+        among ``self.texts`` already."""
+        named = self.tables.write(self.seeds(texts), "k", ["kind", "k"])
+        run, history = named[1], self.runs()
+
+        def told(r: DataFrame, tag: str) -> DataFrame:
+            rows, seed = r.where(F.col("kind") <= MARK), F.col("kind") == SEED
+            return rows.groupBy("k").agg(F.min(F.when(seed, F.col("d"))).alias(f"lo{tag}"), F.max(F.when(seed, F.col("d"))).alias(f"hi{tag}"), F.count("*").alias(f"n{tag}"), F.max("kind").alias(f"mark{tag}"))
+
+        flags = told(run, "")
+        for i, old in enumerate(history):
+            flags = flags.join(told(old, str(i)), "k", "left")
+        tags = ["", *[str(i) for i in range(len(history))]]
+
+        def over(f, name: str):
+            return f(*[F.col(f"{name}{t}") for t in tags]) if history else F.col(name)
+
+        total = sum((F.coalesce(f"n{t}", F.lit(0)) for t in tags), F.lit(0))
+        seen = total > F.col("n")
+        flags = flags.select("k", (over(F.greatest, "mark") == MARK).alias("mark"), (over(F.least, "lo") != over(F.greatest, "hi")).alias("differ"), seen.alias("seen"), total.alias("total")).where("total > 1")
+        flags = flags.select("k", "seen", (F.col("mark") | F.coalesce("differ", F.lit(False))).alias("open"), (F.col("mark") | (F.col("total") > self.hot)).alias("hot"))
+        flags = self.tables.write(flags, "k", ["k"])
+        nth = F.row_number().over(Window.partitionBy("k", "d").orderBy("id", "start"))
+        new = run.where(F.col("kind") == SEED).join(flags[1], "k").withColumn("nth", nth)
+        state = F.when((F.col("nth") > 1) | (F.col("seen") & ~F.col("open")), 0).when(F.col("open"), 1)
+        places = new.select("id", "k", "start", "n", "hot", state.alias("state")).where("state is not null")
+        places = places.unionByName(run.where(F.col("kind") == SETTLED).select("id", "k", "start", "n", F.lit(False).alias("hot"), F.lit(0).alias("state")))
+        for old in history:
+            places = places.unionByName(old.where(F.col("kind") == SEED).join(flags[1].where("open"), "k").select("id", "k", "start", "n", "hot", F.lit(2).alias("state")))
+        placed = self.tables.write(places, "id", ["id"])
+        delete(self.spark, f"{self.folder}/{flags[0]}")
+        self.spent.append(placed[0])
+        wanted = placed[1].where("state > 0").groupBy("id").agg(F.collect_list(F.struct("k", "start", "n", "hot", "state")).alias("p"))
+        rows = None
+        for _, part in self.texts:
+            found = part.select("id", "text").join(wanted, "id").select("id", "text", "p.k", "p.start", "p.n", "p.hot", "p.state").mapInArrow(lean(self.hashed()), "k long, old boolean, id long, start int, n int, windows binary")
+            rows = found if rows is None else rows.unionByName(found)
+        for r, old in [(run, False), *[(r, True) for r in history]]:
+            held = r.where(F.col("kind") == WINDOW).select("k", F.lit(old).alias("old"), "id", "start", "n", F.lit(None).cast("binary").alias("windows"))
+            rows = rows.unionByName(held)
+        rows = rows.repartition(self.tables.parts, "k").sortWithinPartitions("k", F.col("old").desc(), "id", "start")
+        judged = save(rows.mapInArrow(lean(judge), "id long, start int, n int"), "substring-covered")
+        self.levels = [[*(self.levels[0] if self.levels else []), named], *self.levels[1:]]
+        return placed[1].where("state = 0").select("id", "start", "n").unionByName(judged)
 
     def hashed(self):
-        window, gram = self.window, self.gram
+        window = self.window
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpress = zstandard.ZstdDecompressor()
             for whole in batches:
-                for batch in slices(whole, limit=4 << 20):
-                    batch = batch.take(pc.sort_indices(batch.column(0)))
+                for batch in slices(whole, limit=SLICE):
                     offsets, codes, distinct = words_of(opened(batch.column(1), unpress))
-                    h = hashes_of(distinct)[codes]
-                    out, met = [[] for _ in range(6)], set()
-                    ids, places, spread = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                    for doc, a, b, pos, salts in zip(ids, offsets[:-1], offsets[1:], places, spread, strict=True):
-                        order = np.argsort(pos)
-                        pos, salts = np.array(pos)[order], np.array(salts)[order].tolist()
-                        seeds = seeds_of(h[a:b], window, gram)
-                        grams, hashes = chained(h[a:b], gram, 51).view(np.int64)[pos].tolist(), chained(h[a:b], window, 52)
-                        first, last = np.searchsorted(seeds, pos).tolist(), np.searchsorted(seeds, pos, side="right").tolist()
-                        whole_bytes = hashes.tobytes()
-                        if max(salts) == 1:
-                            out[0] += grams
-                            out[1] += [0] * len(pos)
-                            out[2] += [doc] * len(pos)
-                            out[3] += first
-                            out[4] += [q - p for p, q in zip(first, last, strict=True)]
-                            out[5] += [whole_bytes[8 * p : 8 * q] for p, q in zip(first, last, strict=True)]
-                            continue
-                        again = []  # stretches of windows met before in this step: h, salt, start, n
-                        for g, parts, p, q in zip(grams, salts, first, last, strict=True):
-                            if parts == 1:
-                                add(out, g, 0, doc, p, q - p, whole_bytes[8 * p : 8 * q])
-                                continue
-                            for k in range(p, q):  # dealt by the window's own hash; rows are in the order of ids here
-                                one = whole_bytes[8 * k : 8 * k + 8]
-                                if (g, one) not in met:
-                                    met.add((g, one))
-                                    add(out, g, int(hashes[k]) % parts, doc, k, 1, one)
-                                elif again and again[-1][2] + again[-1][3] == k:
-                                    again[-1][3] += 1
-                                else:
-                                    again.append([g, doc % parts, k, 1])
-                        for g, salt, start, n in again:
-                            add(out, g, salt, doc, start, n, None)
-                    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["h", "salt", "id", "start", "n", "windows"])
+                    counts = pc.list_value_length(batch.column(2)).to_numpy()
+                    k, start, n, hot, state = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[2:])
+                    ids, first = np.repeat(batch.column(0).to_numpy(), counts), np.repeat(offsets[:-1], counts) + start
+                    n = n.astype(np.int64)
+                    line = Stretches(hashes_of(distinct)[codes])
+                    yield batch_of(k[~hot], state[~hot], ids[~hot], start[~hot], n[~hot], line.of(spread(first[~hot], n[~hot]), window))
+                    if hot.any():
+                        m, w = n[hot], line.of(spread(first[hot], n[hot]), window)
+                        at = spread(start[hot].astype(np.int64), m)
+                        yield batch_of(w.view(np.int64), np.repeat(state[hot], m), np.repeat(ids[hot], m), at, np.ones(len(at), np.int64), None)
 
         return windows
 
-    def push(self, run: DataFrame) -> None:
-        """Adds a run; a full level is merged into one run of the next."""
+    def compact(self) -> None:
+        """Merges every full level into one run of the next, with one row for equal digests and windows."""
         level = 0
-        while True:
-            if len(self.levels) == level:
-                self.levels.append([])
-            self.levels[level].append(run)
-            if len(self.levels[level]) < self.fanout:
-                return
-            merged = self.levels[level]
-            whole = merged[0]
-            for other in merged[1:]:
-                whole = whole.unionByName(other)
-            run = self.tables.write(whole, "h", ["h"])
-            for old in merged:
-                remove(old)
+        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+            whole = None
+            for _, run in self.levels[level]:
+                rows = run.where(F.col("kind") != SETTLED)
+                whole = rows if whole is None else whole.unionByName(rows)
+            place = F.min(F.struct("id", "start", "n"))
+            whole = whole.groupBy("k", "kind", "d").agg(place.alias("p")).select("k", "kind", "d", "p.id", "p.start", "p.n")
+            self.old += [n for n, _ in self.levels[level]]
+            merged = self.tables.write(whole, "k", ["kind", "k"])
             self.levels[level] = []
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(merged)
             level += 1
 
 
+def batch_of(k, state, ids, start, n, w: np.ndarray | None) -> pa.RecordBatch:
+    if w is None:
+        windows = pa.nulls(len(k), pa.binary())
+    else:
+        ends = np.concatenate(([0], np.cumsum(n * 8))).astype(np.int32)
+        windows = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(w))])
+    columns = [pa.array(k), pa.array(state == 2), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), windows]
+    return pa.RecordBatch.from_arrays(columns, ["k", "old", "id", "start", "n", "windows"])
+
+
+def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts, in the column ``text``, pressed."""
+    press = zstandard.ZstdCompressor(level=3)
+    for whole in batches:
+        at = whole.schema.get_field_index("text")
+        for batch in slices(whole):
+            text = pa.array([None if t is None else press.compress(t.encode("utf-8")) for t in batch.column(at).to_pylist()], pa.binary())
+            yield batch.set_column(at, "text", text)
+
+
 def opened(packed: pa.Array, unpress: zstandard.ZstdDecompressor) -> pa.Array:
     return pa.array([None if t is None else unpress.decompress(t) for t in packed.to_pylist()], pa.binary()).cast(pa.string())
 
@@ -210,82 +357,80 @@ def add(columns: list[list], *values) -> None:
 
 
 def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows in the order of seed, salt, id and start, and puts out the windows met before under
-    their seed, with those that come without hashes, as they were met before elsewhere."""
+    """Reads rows in the order of key, earlier batches first, id and start, and puts out the windows of
+    this batch that were met before under their key. Without hashes, the key is the window."""
     key, seen, wholes = None, set(), set()
     for batch in batches:
-        ids, starts, lengths = out = [[] for _ in range(3)]
-        for h, salt, doc, start, n, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if windows is None:
-                add(out, doc, start, n)
-                continue
-            if (h, salt) != key:
-                key, seen, wholes = (h, salt), set(), set()
+        out = [[] for _ in range(3)]
+        for k, old, doc, start, n, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key:
+                key, seen, wholes = k, set(), set()
             if windows in wholes:
-                ids.append(doc)
-                starts.append(start)
-                lengths.append(n)
+                if not old:
+                    add(out, doc, start, n)
                 continue
             wholes.add(windows)
+            if windows is None:
+                continue
             parts = [windows[i : i + 8] for i in range(0, len(windows), 8)]
-            if seen.isdisjoint(parts) and len(set(parts)) == len(parts):
+            if old or seen.isdisjoint(parts) and len(set(parts)) == len(parts):
                 seen.update(parts)
                 continue
-            for k, part in enumerate(parts):
+            for i, part in enumerate(parts):
                 if part in seen:
-                    add(out, doc, start + k, 1)
+                    add(out, doc, start + i, 1)
                 seen.add(part)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "start", "n"])
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``id`` in place of ``doc_id``: the same where ids are unique, else a number for each id and text.
-    ``first`` marks one row of each ``id``."""
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows with an ``id``: ``doc_id`` where that is unique, else a number for each id and text, ascending
+    with the id (null first) and the text's hash; and whether several rows may have the same."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not ids:
-        return docs.withColumn("id", F.col("doc_id")).withColumn("first", F.lit(True))
+        return docs.withColumn("id", F.col("doc_id")), False
     docs = docs.withColumn("t", F.coalesce(F.sha2("text", 256), F.lit("")))
     keys = docs.select("doc_id", "t").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "t")
-    order = save(keys.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF("doc_id long, t string, id long"), "substring-ids")
+    order = save(keys.withColumn("id", F.monotonically_increasing_id()), "substring-ids")  # ascends through the sorted partitions
     order = order.withColumnsRenamed({"doc_id": "d", "t": "u"})
-    docs = docs.join(order, docs["doc_id"].eqNullSafe(order["d"]) & (docs["t"] == order["u"])).drop("d", "t", "u")
-    return docs.withColumn("first", F.row_number().over(Window.partitionBy("id").orderBy("id")) == 1)
+    return docs.join(order, docs["doc_id"].eqNullSafe(order["d"]) & (docs["t"] == order["u"])).drop("d", "t", "u"), True
 
 
-def repeats(docs: DataFrame, window: int, gram: int, batches: int, growth: float, fanout: int) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, window: int, gram: int, batches: int, fanout: int, hot: int, many: int) -> tuple[DataFrame, DataFrame]:
     """The rows (``doc_id, text, rest``) as a table by id, and their covered windows as ``id, spans``."""
     spark = docs.sparkSession
-    tables = Tables(spark)
-
-    def pressed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for whole in parts:
-            for batch in slices(whole):
-                text = [None if t is None else press.compress(t.encode("utf-8")) for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary()), batch.column(3), batch.column(4)], ["id", "doc_id", "text", "rest", "first"])
-
-    rows = numbered(docs).select("id", "doc_id", "text", "rest", "first")
-    texts = tables.write(rows.mapInArrow(lean(pressed), f"id long, doc_id long, text binary, rest {docs.schema['rest'].dataType.simpleString()}, first boolean"), "id", ["id"])
-    cuts = sorted({int(x) for x in texts.approxQuantile("id", [(1 + growth) ** -k for k in range(1, batches)], 0.01)}) if batches > 1 else []
-    index = WindowIndex(spark, texts.where("first"), tables, window, gram, fanout)  # equal rows are one document
+    index = WindowIndex(spark, new_path(spark, "substring"), window, gram, fanout, hot=hot, many=many)
+    rows, twice = numbered(docs)
+    rest = docs.schema["rest"].dataType.simpleString()
+    name, table = index.tables.write(rows.select("id", "doc_id", "text", "rest").mapInArrow(lean(pressed), f"id long, doc_id long, text binary, rest {rest}"), "id", ["id"])
+    texts = table.select("id", "text")
+    if twice:  # equal rows are one document; the table is dealt by id, so nothing moves
+        texts = texts.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("id"))).where("nth = 1").select("id", "text")
+    cuts = sorted({int(x) for x in table.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
     covered = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = index.add(low, high)
-        covered = part if covered is None else covered.unionByName(part)
-    for run in index.runs():
-        remove(run)
-    spans = covered.distinct().groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return texts, spans
-
-
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 2, growth: float = 9.0, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
+        part = texts if low is None else texts.where(F.col("id") > low)
+        part = part if high is None else part.where(F.col("id") <= high)
+        index.texts.append((name, part))
+        found = index.merge(part)
+        covered = found if covered is None else covered.unionByName(found)
+        if high is not None:
+            index.compact()
+    spans = covered.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    index.tables.drop()
+    for run in index.old + [n for level in index.levels for n, _ in level]:
+        delete(spark, f"{index.folder}/{run}")
+    return table, spans
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = (), with_text: bool = True, hot: int = HOT, many: int = MANY) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text, rest`` of every row. ``kept_sha256`` is of the
-    kept words joined by a space. The table is taken in ``batches`` by ascending id, each ``growth``
-    times as large as what is indexed before it; ``kept_text`` is the text without the removed words and the
-    white space after them; ``rest`` has the ``carried`` columns as they were. Without ``with_text``, ``kept_text`` is null."""
+    kept words joined by a space. The table is taken in ``batches`` of about equal size by ascending
+    id; ``kept_text`` is the text without the removed words and the white space after them; ``rest``
+    has the ``carried`` columns as they were. Without ``with_text``, ``kept_text`` is null."""
     rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("boolean")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
-    texts, spans = repeats(docs, window, gram, batches, growth, fanout)
+    texts, spans = repeats(docs, window, gram, batches, fanout, hot, many)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()

@@ -37,41 +37,73 @@ def brute_repeats(rows, window):
     return out
 
 
+def covered_words(rows, window):
+    """The words of each row that a window met before covers."""
+    seen, out = set(), []
+    for _, text in rows:
+        words, covered = WORD.findall(text), set()
+        for s in range(len(words) - window + 1):
+            w = tuple(words[s : s + window])
+            if w in seen:
+                covered |= set(range(s, s + window))
+            seen.add(w)
+        out.append(covered)
+    return out
+
+
 def test_substring_removal(spark):
     want = brute_repeats(texts(spark).items(), 20)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op5_substring_removal(spark, SF).collect()} == want
 
 
-def test_substring_batches_salts_and_cases(spark, monkeypatch):
-    monkeypatch.setattr(substring, "HOT", 3)
-    rows = [r for r in awkward(3) if r[0] is not None]
-    rows = [*{r[0]: r for r in rows}.values()]
+def with_common_lines():
+    rows = [*{r[0]: r for r in awkward(3) if r[0] is not None}.values()]
     line = " ".join(f"common{i}" for i in range(9))
-    rows += [(2000 + i, f"a{i} b{i} {line} c{i} d{i} {line}", "en", "s", 1, "", "") for i in range(12)]
+    return rows + [(2000 + i, f"a{i} b{i} {line} c{i} d{i} {line}", "en", "s", 1, "", "") for i in range(12)]
+
+
+@pytest.mark.parametrize(("batches", "hot", "many"), [(1, substring.HOT, substring.MANY), (4, substring.HOT, substring.MANY), (4, 3, 2)])
+def test_substring_batches_hot_seeds_and_cases(spark, batches, hot, many):
+    rows = with_common_lines()
     want = brute_repeats([(r[0], r[1] or "") for r in rows], 6)
-    for batches in (1, 3):
-        got = substring.remove_repeats(frame(spark, rows), window=6, gram=3, batches=batches, growth=1.5, carried=("lang",)).collect()
-        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
-        for r in got:
-            assert hashlib.sha256(" ".join(WORD.findall(r.kept_text or "")).encode()).hexdigest() == r.kept_sha256
-    repeated = [*rows, rows[3], rows[3], (None, rows[4][1], None, None, None, None, None)]
-    assert len(substring.remove_repeats(frame(spark, repeated), window=6, gram=3).collect()) == len(repeated)
-    assert substring.remove_repeats(frame(spark, [])).count() == 0
-
-
-def test_substring_repeated_rows(spark, monkeypatch):
-    """Equal rows of one id are one document: none of them loses its own only occurrence."""
+    got = substring.remove_repeats(frame(spark, rows), window=6, gram=3, batches=batches, hot=hot, many=many, carried=("lang",)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+    for r in got:
+        assert hashlib.sha256(" ".join(WORD.findall(r.kept_text or "")).encode()).hexdigest() == r.kept_sha256
+    assert spark.catalog.listTables() == [] and substring.remove_repeats(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(("hot", "many"), [(substring.HOT, substring.MANY), (3, 2)])
+def test_substring_repeated_rows(spark, hot, many):
+    """Equal rows of one id are one document; different texts of one id, and null ids, are documents of their own."""
     rows = [*{r[0]: r for r in awkward(9) if r[0] is not None}.values()]
     rows.append((3000, " ".join(f"only{i}" for i in range(300)), "en", "s", 1, "", ""))
-    want = brute_repeats([(r[0], r[1] or "") for r in rows], 6)
-    assert want[3000][1] == 0
-    repeated = [*rows, rows[3], rows[3], rows[5], rows[-1], *[r for r in rows if r[0] == 1004]]
-    for hot in (substring.HOT, 3):
-        monkeypatch.setattr(substring, "HOT", hot)
-        for batches in (1, 3):
-            got = substring.remove_repeats(frame(spark, repeated), window=6, gram=3, batches=batches, growth=1.5).collect()
-            assert Counter(r.doc_id for r in got) == Counter(r[0] for r in repeated)
-            assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
+    rows += [(3, rows[9][1], "en", "s", 1, "", ""), (3, rows[-1][1], "en", "s", 1, "", ""), (None, rows[4][1], None, None, None, None, None), (None, "a lone text of some seven words here", None, None, None, None, None)]
+
+    def order(row):
+        return (row[0] is not None, row[0] or 0, hashlib.sha256(row[1].encode()).hexdigest() if row[1] is not None else "")
+
+    want = brute_repeats([(order(r), r[1] or "") for r in rows], 6)
+    repeated = [*rows, rows[3], rows[3], rows[5], rows[-1], rows[-5], *[r for r in rows if r[0] == 1004]]
+    got = substring.remove_repeats(frame(spark, repeated), window=6, gram=3, hot=hot, many=many).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter((r[0], *want[order(r)]) for r in repeated)
+
+
+def test_substring_index_takes_batches_later(spark, tmp_path):
+    """An index in a folder, opened anew for every batch, finds what brute force finds; levels are merged and read."""
+    rows = [(k, r[1] or "") for k, r in enumerate(with_common_lines())]
+    want = {k: c for k, c in zip(range(len(rows)), covered_words(rows, 6), strict=True)}
+    got, folder = {k: set() for k, _ in rows}, str(tmp_path / "index")
+    levels = []
+    for k in range(0, len(rows), 17):
+        index = substring.WindowIndex(spark, folder, window=6, gram=3, fanout=2, many=2)
+        levels.append([len(x) for x in index.levels])
+        for r in index.add(spark.createDataFrame(rows[k : k + 17], "doc_id long, text string")).collect():
+            got[r.id] |= set(range(r.start, r.start + r.n + 5))
+        index.tables.drop()
+    assert got == want and any(level[1:] and level[1] for level in levels)
+    with pytest.raises(ValueError):
+        substring.WindowIndex(spark, folder + "2", window=3, gram=4)
 
 
 def test_pipeline_keeps_one_text_of_repeated_rows(spark):

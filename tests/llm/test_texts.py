@@ -261,56 +261,80 @@ def test_quality(spark):
     assert op8_quality(spark, SF).count() == 200
 
 
-def test_near_vectors(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(900, 64))
-    for i in range(300, 600):  # copies with noise, of a hot vector and of others
-        x[i] = x[0] + rng.normal(size=64) * 0.15 if i < 450 else x[i - 300] + rng.normal(size=64) * rng.uniform(0, 0.5)
-    rows = [(i, [float(v) for v in r], i % 7, "clash") for i, r in enumerate(x.astype(np.float32))]
-    rows += [(2000, None, 1, ""), (2001, [0.0] * 64, 1, ""), (2002, [1.0, None] * 32, 1, ""), (2003, [float("nan")] * 64, 1, ""), (2004, [], 1, ""), (None, rows[0][1], 1, ""), (2005, [1.0] * 3, 1, "")]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links string")
-    unit = x.astype(np.float32).astype(np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    near = unit @ unit.T >= 0.9
-    np.fill_diagonal(near, False)
-    got = {r.vec_id: r for r in embed_dup.near_vectors(table, rows_per_cell=100, block_rows=64).collect()}
-    found = sum(got[i].n_links for i in range(900))
-    assert 0.97 * near.sum() <= found <= near.sum()
-    assert all(got[i].n_links == 0 and got[i].kept for i in (2000, 2001, 2002, 2003, 2004, 2005, None))
-    exact = {r.vec_id: r for r in embed_dup.near_vectors(table, rows_per_cell=10_000, block_rows=128).collect()}
-    assert [exact[i].n_links for i in range(900)] == near.sum(axis=1).tolist()
-    want = brute_components({i: {0} for i in range(0)})
-    label = np.arange(900)
+def brute_links(x, threshold=0.9):
+    """Links of each vector and its component's first, by all pairs in double precision."""
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = [np.flatnonzero(unit @ v >= threshold) for v in unit]
+    label, counts = np.arange(len(x)), [len(n) - 1 for n in near]
     while True:
-        new = np.array([min(label[i], label[near[i]].min(initial=label[i])) for i in range(900)])
+        new = np.array([label[n].min() for n in near])
         if (new == label).all():
-            break
-        label = new
-    assert [exact[i].component_id for i in range(900)] == label.tolist() and want == {}
-    assert op9_near_vectors(spark, SF).count() == 500
+            return counts, label.tolist()
+        label = new[new]
+
+
+def test_near_vectors_cases(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 64)).astype(np.float32)
+    for i in range(300, 600):  # copies of a hot vector, exact ones and others with noise
+        x[i] = x[0] if i < 400 else x[0] + rng.normal(size=64) * 0.15 if i < 450 else x[i - 300] + rng.normal(size=64) * rng.uniform(0, 0.5)
+    rows = [(i, [float(v) for v in r], i % 7, "clash") for i, r in enumerate(x)]
+    odd = [(2000, None), (2001, [0.0] * 64), (2002, [1.0, None] * 32), (2003, [float("nan")] * 64), (2004, []), (None, rows[0][1]), (2005, [1.0] * 3)]
+    others = [(2006, [1.0, 2.0]), (2007, [1.0, 2.0]), (2008, [2.0, 1.0]), (2009, [1.0, 0.0, 3.0, 4.0]), (2010, [1.1, 0.0, 3.0, 4.0])]  # other lengths meet their own
+    table = spark.createDataFrame([*rows, *[(*r, 1, "") for r in odd + others]], "vec_id long, embedding array<float>, label int, n_links string")
+    counts, label = brute_links(x)
+    for options in ({}, {"cells": 9, "block_rows": 64}, {"cells": 2, "block_rows": 300}):
+        got = {r.vec_id: r for r in embed_dup.near_vectors(table, **options).collect()}
+        assert [got[i].n_links for i in range(900)] == counts and [got[i].component_id for i in range(900)] == label
+        assert all(got[i].n_links == 0 and got[i].kept for i, _ in odd)
+        assert [(got[i].n_links, got[i].component_id, got[i].kept) for i, _ in others] == [(1, 2006, True), (1, 2006, False), (0, 2008, True), (1, 2009, True), (1, 2009, False)]
     assert embed_dup.near_vectors(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("spread", "rows_per_cell"), [(2, 20), (3, 100), (8, 50), (64, 100)])
-def test_near_vectors_are_exact_over_cells(spark, spread, rows_per_cell):
+def test_near_vectors_of_repeated_ids(spark):
+    """Rows of one id aren't linked with each other; their links are added up."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0]), (4, [0.1, 1.0])]
+    got = embed_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(tuple(r) for r in got) == Counter({(1, 5, 1, True): 3, (2, 3, 1, False): 1, (3, 3, 1, False): 1, (4, 1, 1, False): 1})
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_near_vectors_query(spark, table):
+    d = f"/root/testdata/{table}"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    counts, label = brute_links(np.array([r.embedding for r in rows], np.float32))
+    ids = [r.vec_id for r in rows]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op9_near_vectors(spark, d).collect()}
+    assert got == {i: (c, ids[k], ids[k] == i) for i, c, k in zip(ids, counts, label, strict=True)}
+
+
+@pytest.mark.parametrize(("spread", "cells"), [(2, 50), (3, 10), (8, 20), (64, 10)])
+def test_near_vectors_are_exact_over_cells(spark, spread, cells):
     """Vectors whose variance lies in few directions (most pairs near borders), in many cells."""
     rng = np.random.default_rng(spread)
     x = rng.normal(size=(1000, 64)) * np.where(np.arange(64) < spread, 1.0, 0.03)
     x[500:] = x[:500] + rng.normal(size=(500, 64)) * 0.3 * np.where(np.arange(64) < spread, 1.0, 0.03)
-    unit = x.astype(np.float32).astype(np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    near = unit @ unit.T >= 0.9
-    np.fill_diagonal(near, False)
-    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
-    got = {r.vec_id: r for r in embed_dup.near_vectors(table, rows_per_cell=rows_per_cell, block_rows=64).collect()}
-    assert [got[i].n_links for i in range(1000)] == near.sum(axis=1).tolist()
-    label = np.arange(1000)
-    while True:
-        new = np.array([min(label[i], label[near[i]].min(initial=label[i])) for i in range(1000)])
-        if (new == label).all():
-            break
-        label = new
-    assert [(got[i].component_id, got[i].kept) for i in range(1000)] == [(k, k == i) for i, k in enumerate(label.tolist())]
+    x = x.astype(np.float32)
+    counts, label = brute_links(x)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embed_dup.near_vectors(table, cells=cells, block_rows=64).collect()}
+    assert [got[i].n_links for i in range(1000)] == counts
+    assert [(got[i].component_id, got[i].kept) for i in range(1000)] == [(k, k == i) for i, k in enumerate(label)]
+
+
+def test_near_vectors_of_a_large_table(spark, tmp_path):
+    """20,000 vectors with planted copies, a third of them of one vector: all pairs of brute force are found."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    x[8000:14_000] = x[0] + rng.normal(size=(6000, 32)) * 0.1
+    x[14_000:] = x[:6000] + rng.normal(size=(6000, 32)) * rng.uniform(0, 0.7, (6000, 1))
+    pq.write_table(pa.table({"vec_id": np.arange(20_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 32).cast(pa.list_(pa.float32()))}), tmp_path / "x.parquet")
+    counts, label = brute_links(x)
+    got = embed_dup.near_vectors(spark.read.parquet(str(tmp_path / "x.parquet"))).orderBy("vec_id").toArrow()
+    assert got["n_links"].to_pylist() == counts and got["component_id"].to_pylist() == label
 
 
 def test_lattice_sums_over_segmentations():

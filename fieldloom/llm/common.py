@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fieldloom.plans.tables import new_path, remove, save, shared_dir  # noqa: F401
 
@@ -93,3 +95,19 @@ def chained(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     for factor, k in zip(odd_numbers(seed, n), range(n), strict=True):
         out += h[k : len(h) - n + 1 + k] * factor
     return mixed(out)
+
+
+def repeat_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether an id is null or occurs in several rows."""
+    return docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).count() > 0
+
+
+def numbered(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """Rows with a whole number ``name``: the id where that is unique, else a number for each id and text,
+    ascending with the id (null first) and the text's hash; and whether several rows may have the same."""
+    if not repeat_ids(docs, id_col):
+        return docs.withColumn(name, F.col(id_col).cast("long")), False
+    docs = docs.withColumn("__t", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")))
+    keys = docs.select(F.col(id_col).alias("__d"), F.col("__t").alias("__u")).distinct().orderBy(F.col("__d").asc_nulls_first(), "__u")
+    order = save(keys.withColumn(name, F.monotonically_increasing_id()), "numbered-ids")  # ascends through the sorted partitions
+    return docs.join(order, docs[id_col].eqNullSafe(order["__d"]) & (docs["__t"] == order["__u"])).drop("__d", "__t", "__u"), True

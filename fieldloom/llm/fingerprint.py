@@ -227,7 +227,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield answers([(last, first)])
 
     kinds = "at int, guest int, doc_id long, text binary"
-    streams = docs.mapInArrow(dealt, kinds).repartition(n, "at").sortWithinPartitions("at", "guest", F.col("doc_id").asc_nulls_last(), "text")
+    streams = docs.mapInArrow(dealt, kinds).repartitionById(n, "at").sortWithinPartitions("at", "guest", F.col("doc_id").asc_nulls_last(), "text")
     return streams.mapInArrow(compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

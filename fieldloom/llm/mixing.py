@@ -2,10 +2,11 @@
 
 Every document of a source should be taken ``target / source size`` times, a number that is
 rarely whole. The whole part is given to all; the rest is a probability that rounding turns
-into 0 or 1. Two documents are paired and words are moved at random from one's expectation to
-the other's until one of the two is whole; the other goes on to the next pair. The direction
-is drawn so that no expectation changes, and what one loses in words the other gains, so the
-words taken from a source stay at the target until the last document alone is rounded.
+into 0 or 1. A document is paired with the pool of all smaller ones and words are moved at random
+from one's expectation to the other's until one of the two is whole; what is left goes on to the
+next pair. The direction is drawn so that no expectation changes, and what one loses in words the
+other gains, so the words taken from a source stay at the target until the last document alone is
+rounded. Pairs are formed from the largest document down, so that is as a rule a small one.
 
 Rounding runs as a reduction tree: rows fall by hash into groups of about ``group_rows``, each
 group leaves one row that isn't whole, and these meet in groups of the next level. A source
@@ -14,7 +15,8 @@ seed, so reruns agree.
 
 Cases: a null or empty text has size 0 and is taken 0 times; a null source is a source of its
 own, the last; rows that repeat an id are told apart by their content, equal rows by number;
-a table without words takes nothing; other columns are not read.
+sources may be as many as rows, as targets come from prefix sums over their table; a table without
+words takes nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,50 +25,77 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, save
-
-#: Sources up to which the table of targets is held by the driver (it is one row a source).
-MOST_SOURCES = 100_000
-
-
-def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
-    """Targets of sources: ``share`` of the total by weight, at most ``most`` times a source's own
-    size, the excess shared by weight among those below. The least-covered source meets its
-    limit first, so one pass in that order finds where the sharing ends."""
-    left, weight = share * sum(sizes), float(sum(weights))
-    out = [0.0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: sizes[i] / weights[i]):
-        out[i] = min(most * sizes[i], left * weights[i] / weight)
-        left -= out[i]
-        weight -= weights[i]
-    return out
+from fieldloom.llm.common import WORD, repeat_ids, save
+
+#: Sources up to which their table is sent to all tasks (one row a source).
+SENT_SOURCES = 100_000
+
+
+def running(rows: DataFrame, order: list, **sums: Column) -> DataFrame:
+    """``rows`` sorted by ``order``, with sums over the rows before each: of its partition by a window, of
+    earlier partitions by their totals."""
+    ordered = save(rows.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()).withColumns({f"__{n}": c for n, c in sums.items()}), "mixing-order")
+    part = F.shiftright("__m", 33).alias("__p")
+    totals = ordered.groupBy(part).agg(*[F.sum(f"__{n}").alias(f"__{n}_all") for n in sums])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    totals = totals.select(F.col("__p").alias("__q"), *[F.coalesce(F.sum(f"__{n}_all").over(before), F.lit(0)).alias(f"__{n}_base") for n in sums])
+    rows = ordered.withColumn("__p", part).join(F.broadcast(totals), F.col("__p") == F.col("__q"))
+    within = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.col(f"__{n}_base") + F.coalesce(F.sum(f"__{n}").over(within), F.lit(0)) for n in sums})
+    return rows.drop("__m", "__p", "__q", *[f"__{n}{x}" for n in sums for x in ("", "_base")])
+
+
+def targets(found: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """``target`` and ``rate`` of sources (``source, total``): ``share`` of all by weight, in turn in the order
+    of code points, null last, at most ``most`` times a source's own size, the excess shared by weight
+    among those below. The least-covered source meets its limit first, so sums over the sources in
+    that order tell where the sharing ends."""
+    ranked = running(found, [F.col("source").asc_nulls_last()], rank=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int") + 1)
+    ranked = running(ranked.withColumn("weight", weight), [F.col("total") / F.col("weight"), "rank"], sizes=F.col("total"), covered=F.col("weight"))
+    ranked = save(ranked, "mixing-sources")
+    size, whole = ranked.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = (share * size - most * F.col("sizes")) / (whole - F.col("covered"))  # words to a weight of one, if all before are at their limits
+    free = ranked.where((F.col("total") > 0) & (level * F.col("weight") < most * F.col("total"))).agg(F.min_by(level, F.struct("sizes", "rank"))).first()[0]
+    limit = F.col("total") * most
+    target = limit if free is None else F.least(limit, F.col("weight") * free)
+    ranked = ranked.withColumn("target", target.cast("double"))
+    return ranked.withColumn("rate", F.when(F.col("total") > 0, F.col("target") / F.greatest("total", F.lit(1))).otherwise(0.0)).drop("rank", "weight", "sizes", "covered")
 
 
 def round_group(group: pa.Table, seed: int) -> pa.Table:
-    """Rounds one group: each ``chance`` becomes 0 or 1, but for one row at most."""
-    group = group.sort_by([("size", "ascending"), ("mark", "ascending")])
+    """Rounds one group: each ``chance`` becomes 0 or 1, but for one row at most.
+
+    From the largest row down, a row is paired with the pool of all smaller ones. Words move between
+    their expectations until the row is whole, or else the whole pool is, and then the row goes on alone.
+    The pool's rows share what it gets or gives in proportion, which is one linear map of their chances."""
+    group = group.sort_by([("size", "descending"), ("mark", "ascending")])
     size, chance, mark = (group.column(c).to_pylist() for c in ("size", "chance", "mark"))
-    held = -1
-    for j in range(len(size)):
-        if not 0 < chance[j] < 1:
-            continue
-        if held < 0:
-            held = j
+    some = [i for i, c in enumerate(chance) if 0 < c < 1]
+    up, down = sum(size[i] * (1 - chance[i]) for i in some), sum(size[i] * chance[i] for i in some)  # words that the pool can take and give
+    slope, base = 1.0, 0.0
+    for k, i in enumerate(some):
+        c = min(1.0, max(0.0, slope * chance[i] + base))
+        up, down = max(0.0, up - size[i] * (1 - c)), max(0.0, down - size[i] * c)
+        rise, fall = min(size[i] * (1 - c), down), min(size[i] * c, up)
+        if k == len(some) - 1 or rise + fall <= 0:
+            chance[i] = c
             continue
-        i, ratio = held, size[j] / size[held]
-        rise, fall = min(1 - chance[i], chance[j] * ratio), min(chance[i], (1 - chance[j]) * ratio)
-        draw = xxhash.xxh64_intdigest(f"{seed}|{mark[i]}|{mark[j]}") / 2.0**64
-        if draw * (rise + fall) < fall:
-            whole = rise == 1 - chance[i]
-            chance[i], chance[j] = (1.0, chance[j] - rise / ratio) if whole else (chance[i] + rise, 0.0)
+        draw = xxhash.xxh64_intdigest(f"{seed}|{len(size)}|{mark[i]}") / 2.0**64
+        if draw * (rise + fall) < fall:  # the row gets words, the pool gives them
+            chance[i] = 1.0 if rise == size[i] * (1 - c) else c + rise / size[i]
+            share, shift = (1 - rise / down if down > rise else 0.0), 0.0
+            up, down = up + rise, down - rise
         else:
-            whole = fall == chance[i]
-            chance[i], chance[j] = (0.0, chance[j] + fall / ratio) if whole else (chance[i] - fall, 1.0)
-        chance[i], chance[j] = (0.0 if c < 1e-12 else 1.0 if c > 1 - 1e-12 else c for c in (chance[i], chance[j]))
-        held = i if 0 < chance[i] < 1 else j if 0 < chance[j] < 1 else -1
+            chance[i] = 0.0 if fall == size[i] * c else c - fall / size[i]
+            share = 1 - fall / up if up > fall else 0.0
+            shift = 1 - share
+            up, down = up - fall, down + fall
+        slope, base = slope * share, base * share + shift
+    chance = [0.0 if c < 1e-9 else 1.0 if c > 1 - 1e-9 else c for c in chance]
     return group.set_column(group.schema.get_field_index("chance"), "chance", pa.array(chance, pa.float64()))
 
 
@@ -81,33 +110,32 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``doc_id, source, occurrence, size, source_size, target, copies``: how often each row is taken.
+    """``doc_id, source, content, occurrence, size, source_size, target, copies``: how often each row is taken.
 
     Sources in code point order, null last, have ``weights`` in turn, repeating.
-    ``occurrence`` numbers rows of the same id by their text's hash.
+    ``content`` is the text's hash, ``occurrence`` numbers rows of the same id, source and text.
     """
-    spark = docs.sparkSession
     rows = docs.select(
-        F.col(id_col).alias("key"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("content")
+        F.col(id_col).alias("key"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("content")
     )
-    rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("key").orderBy("source", "content", "size")).cast("long") - 1).drop("content")
     rows = save(rows, "mixing-sizes")
-    found = rows.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
-    found = found.limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
-    aims = targets([r["total"] for r in found], [weights[k % len(weights)] for k in range(len(found))], share, most)
-    plan = [(r["source"], r["total"], aim, aim / r["total"] if r["total"] else 0.0, -(-r["n"] // group_rows)) for r, aim in zip(found, aims, strict=True)]
-    plan = spark.createDataFrame(plan, "source string, source_size long, target double, rate double, groups long")
-    rows = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"])).select(rows["*"], *plan.columns[1:])
+    if repeat_ids(rows, "key"):
+        alike = Window.partitionBy("key", "source", "content", "size").orderBy("size")
+        rows = rows.withColumn("occurrence", F.row_number().over(alike).cast("long") - 1)
+    else:
+        rows = rows.withColumn("occurrence", F.lit(0).cast("long"))
+    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n")), weights, share, most)
+    plan = save(plan.select(F.col("source").alias("of"), F.col("total").alias("source_size"), "target", "rate", F.ceil(F.col("n") / group_rows).alias("groups"), "n"), "mixing-targets")
+    sources, most_rows = plan.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    plan = plan.drop("n")
+    rows = rows.join(F.broadcast(plan) if sources <= SENT_SOURCES else plan, rows["source"].eqNullSafe(plan["of"])).drop("of")
     whole = F.floor("rate").cast("long")
     part = F.when(F.col("size") == 0, 0.0).otherwise(F.col("rate") - whole)
     rows = rows.select(
-        "key", "source", "occurrence", "size", "source_size", "target", F.when(F.col("size") > 0, whole).otherwise(0).alias("whole"), F.when(part < 1e-12, 0.0).when(part > 1 - 1e-12, 1.0).otherwise(part).alias("chance"),
-        F.pmod(F.xxhash64("key", "occurrence", F.lit(seed)), F.col("groups")).alias("group"), F.concat_ws(":", "key", "occurrence").alias("mark"),
+        "key", "source", "content", "occurrence", "size", "source_size", "target", F.when(F.col("size") > 0, whole).otherwise(0).alias("whole"), F.when(part < 1e-12, 0.0).when(part > 1 - 1e-12, 1.0).otherwise(part).alias("chance"),
+        F.pmod(F.xxhash64("key", "content", "occurrence", F.lit(seed)), F.col("groups")).alias("group"), F.concat_ws(":", "key", "content", "occurrence").alias("mark"),
     )
-    done, groups = [], max([r["n"] for r in found], default=0) // group_rows + 1
+    done, groups = [], most_rows // group_rows + 1
     while True:
         rows = save(rows.groupBy("source", "group").applyInArrow(lambda group: round_group(group, seed), rows.schema), "mixing-level")
         if groups == 1:
@@ -119,15 +147,20 @@ def mix(
     rows = rows.withColumn("chance", F.when(F.col("chance").isin(0.0, 1.0), F.col("chance")).otherwise((draw < F.col("chance")).cast("double")))
     for level in done:
         rows = rows.unionByName(level)
-    return rows.select(F.col("key").alias("doc_id"), "source", "occurrence", "size", "source_size", "target", (F.col("whole") + F.col("chance").cast("long")).alias("copies"))
+    return rows.select(F.col("key").alias("doc_id"), "source", "content", "occurrence", "size", "source_size", "target", (F.col("whole") + F.col("chance").cast("long")).alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` themselves, each as often as ``mix`` takes it."""
+    """The rows of ``docs`` themselves, each as often as ``mix`` takes it. Only rows that repeat an id are
+    numbered; others are found by their id."""
     names = docs.columns
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("occurrence").alias("__nth"), F.col("copies").alias("__copies"))
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(source_col, F.xxhash64(text_col), size)).cast("long") - 1
-    numbered = docs.withColumn("__nth2", nth)
-    kept = numbered.join(taken, numbered[id_col].eqNullSafe(taken["__id"]) & (numbered["__nth2"] == taken["__nth"]))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("content").alias("__hash"), F.col("occurrence").alias("__nth"), F.col("copies").alias("__copies"))
+    if repeat_ids(docs, id_col):
+        content = F.coalesce(F.xxhash64(text_col), F.lit(0))
+        rows = docs.withColumn("__content", content)
+        rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(id_col, source_col, "__content").orderBy("__content")).cast("long") - 1)
+        kept = rows.join(taken, rows[id_col].eqNullSafe(taken["__id"]) & rows[source_col].eqNullSafe(taken["__source"]) & (rows["__content"] == taken["__hash"]) & (rows["__place"] == taken["__nth"]))
+    else:
+        kept = docs.join(taken, docs[id_col] == taken["__id"])
+    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in names])

@@ -13,7 +13,8 @@ driver; rows are scored in one pass over the text, in which each distinct word's
 looked up once a batch.
 
 Cases: null and empty texts have no words and the score of none; without labelled rows nothing
-is rejected (tail probabilities are 1); a label that is null counts as good in that respect;
+is rejected (tail probabilities are 1); a label that is null counts as good in that respect, and
+a row of two null labels isn't graded;
 rows that repeat an id are scored each; other columns are not read.
 """
 
@@ -198,5 +199,6 @@ def rate(docs: DataFrame, labels: DataFrame, keep_above: int = 1, least: float =
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """``doc_id, grade`` of quality and toxicity marks: 0 toxic, 1 poor, 2 good."""
-    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
+    """``doc_id, grade`` of quality and toxicity marks: 0 toxic, 1 poor, 2 good, null without either mark."""
+    unknown = F.col("toxic").isNull() & F.col("quality").isNull()
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(~unknown, 2).alias("grade"))

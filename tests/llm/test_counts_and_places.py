@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -73,28 +75,56 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
-def test_targets_share_the_excess_by_weight():
-    assert mixing.targets([10, 10, 100], [5, 2, 1], 1.5, 2) == [20, 20, 140]
-    assert mixing.targets([100, 100, 100, 100], [1, 1, 1, 1], 1.5, 2) == [150] * 4
-    aims = mixing.targets([100, 900, 50, 0], [5, 2, 1, 5], 1.5, 2)
-    assert aims[0] == 200 and aims[3] == 0 and sum(aims) == pytest.approx(1575) and aims[2] == 100
-
-
-def test_mixing(spark):
-    rows = op4_mixing(spark, SF).collect()
-    assert len(rows) == 200 and all(0 <= r.taken <= 2 * r.size for r in rows)
-    again = op4_mixing(spark, SF).collect()
+def brute_targets(sizes, weights, share, most):
+    """Shares the total by weight among the sources below their limits, until none is above."""
+    out, open_ = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n}
+    left = share * sum(sizes)
+    while open_:
+        each = left / sum(weights[i] for i in open_)
+        full = {i for i in open_ if each * weights[i] >= most * sizes[i]}
+        if not full:
+            for i in open_:
+                out[i] = each * weights[i]
+            break
+        for i in full:
+            out[i] = most * sizes[i]
+            left -= out[i]
+        open_ -= full
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 100], [100, 100, 100, 100], [100, 900, 50, 0], [7], [0, 0], [*range(1, 60)], [5000, *[1] * 30]])
+def test_targets_share_the_excess_by_weight(spark, sizes):
+    names = [f"s{i:02}" for i in range(len(sizes) - 1)] + [None]  # null is the last
+    found = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, total long").repartition(3)
+    got = {r.source: r.target for r in mixing.targets(found, [5.0, 2.0, 1.0], 1.5, 2.0).collect()}
+    want = brute_targets(sizes, [[5, 2, 1][i % 3] for i in range(len(sizes))], 1.5, 2.0)
+    assert [got[n] for n in names] == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("table", "off"), [("sf0.001", 0.04), ("sf0.01", 0.005)])  # ten and fifty documents a source
+def test_mixing(spark, table, off):
+    d = f"/root/testdata/{table}"
+    rows = op4_mixing(spark, d).collect()
+    again = op4_mixing(spark, d).collect()
     assert Counter(rows) == Counter(again)
-    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    taken, largest, aims = Counter(), defaultdict(int), {}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in docs.items()}
+    total, taken = Counter(), Counter()
+    for i, r in docs.items():
+        total[r.source] += sizes[i]
+    names = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    aims = dict(zip(names, brute_targets([total[s] for s in names], [[5, 2, 1][k % 3] for k in range(len(names))], 1.5, 2.0), strict=True))
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
     for r in rows:
-        s = source[r.doc_id]
-        taken[s] += r.taken
-        largest[s] = max(largest[s], r.size)
-        aims[s] = r.target
-    assert sum(aims.values()) == pytest.approx(1.5 * sum(r.size for r in rows))
-    for s, words in taken.items():
-        assert abs(words - aims[s]) <= largest[s] + 1e-6
+        source = docs[r.doc_id].source
+        rate = aims[source] / total[source] if total[source] else 0
+        assert (r["size"], r.source_size) == (sizes[r.doc_id], total[source]) and r.target == pytest.approx(aims[source])
+        assert r.taken in (r["size"] * math.floor(rate + 1e-9), r["size"] * math.ceil(rate - 1e-9))
+        taken[source] += r.taken
+    assert sum(abs(taken[s] - aims[s]) for s in names) < off * sum(aims.values())
+    largest = {s: max(sizes[i] for i, r in docs.items() if r.source == s) for s in names}
+    assert all(abs(taken[s] - aims[s]) <= largest[s] for s in names)
 
 
 def test_mixing_tree_and_cases(spark):

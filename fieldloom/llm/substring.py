@@ -46,13 +46,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, chained, hashes_of, lean, mixed, new_path, odd_numbers, save, slices, words_of
+from fieldloom.llm.common import WORD, chained, hashes_of, lean, mixed, new_path, numbered, odd_numbers, save, slices, words_of
 from fieldloom.plans.tables import delete, read_text, write_text
 
 #: Rows of one seed from which its windows get keys of their own.
-HOT = 2000
+HOT = 1000
 #: Digests of one seed in a slice of the input from which it is written as windows.
-MANY = 32
+MANY = 16
 #: Bytes of text in a slice.
 SLICE = 4 << 20
 #: Kinds of a run's rows: a seed, the mark of a hot seed, a hot seed's window, windows settled in their slice.
@@ -383,24 +383,11 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "start", "n"])
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """Rows with an ``id``: ``doc_id`` where that is unique, else a number for each id and text, ascending
-    with the id (null first) and the text's hash; and whether several rows may have the same."""
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
-    if not ids:
-        return docs.withColumn("id", F.col("doc_id")), False
-    docs = docs.withColumn("t", F.coalesce(F.sha2("text", 256), F.lit("")))
-    keys = docs.select("doc_id", "t").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "t")
-    order = save(keys.withColumn("id", F.monotonically_increasing_id()), "substring-ids")  # ascends through the sorted partitions
-    order = order.withColumnsRenamed({"doc_id": "d", "t": "u"})
-    return docs.join(order, docs["doc_id"].eqNullSafe(order["d"]) & (docs["t"] == order["u"])).drop("d", "t", "u"), True
-
-
 def repeats(docs: DataFrame, window: int, gram: int, batches: int, fanout: int, hot: int, many: int) -> tuple[DataFrame, DataFrame]:
     """The rows (``doc_id, text, rest``) as a table by id, and their covered windows as ``id, spans``."""
     spark = docs.sparkSession
     index = WindowIndex(spark, new_path(spark, "substring"), window, gram, fanout, hot=hot, many=many)
-    rows, twice = numbered(docs)
+    rows, twice = numbered(docs, "id")
     rest = docs.schema["rest"].dataType.simpleString()
     name, table = index.tables.write(rows.select("id", "doc_id", "text", "rest").mapInArrow(lean(pressed), f"id long, doc_id long, text binary, rest {rest}"), "id", ["id"])
     texts = table.select("id", "text")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # Formats in which the start of a time axis may be written.
 BASE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH", "yyyy-MM-dd", "yyyy-M-d H:m:s", "yyyy-M-d", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
-    "yyyyMMdd HH:mm:ss", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy-MM", "yyyy",
+    "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH-mm-ss", "yyyy/MM/dd HH/mm/ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyyMMdd HH:mm:ss", "yyyyMMddHHmmss", "yyyy-MM-dd-HH-mm-ss",
+    "yyyy/MM/dd/HH/mm/ss", "yyyy:MM:dd:HH:mm:ss", "yyyy-MM-dd-HH:mm:ss", "yyyy/MM/ddHH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy:MM:dd HH:mm", "yyyyMMdd HH:mm", "yyyy-MM-dd",
+    "yyyy/MM/dd", "yyyy:MM:dd", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-M-d H:m:s", "yyyy-M-d", "MM/dd/yyyy",
+    "dd-MM-yyyy", "yyyy-MM", "yyyy",
 ]
 # Units of a time axis, in the order in which they are looked for.
 UNITS = ["seconds", "minutes", "hours", "days", "months", "years"]
@@ -74,9 +76,17 @@ def reading_links(readings: DataFrame, base: str, prefix: str = "3B42", version:
     return readings.withColumn("link", F.concat(F.lit(base.rstrip("/") + "/"), folder, F.lit(f"/{prefix}."), F.col("stamp"), F.lit(f".{version}"), a, F.lit(".HDF")))
 
 
-def dap_constraint(variable: str, *ranges: tuple[int, int]) -> str:
-    """As ``name[0:1:399][0:1:1439]``."""
-    return variable + "".join(f"[{a}:1:{b}]" for a, b in ranges)
+def daily_links(spark: SparkSession, start: str, end: str, base: str, prefix: str = "3B42_daily", suffix: str = "7.bin") -> DataFrame:
+    """``link`` of each day's file; it is kept under the day before, the year's first under the last of the year
+    before."""
+    days = spark.sql("select explode(sequence(cast(:a as date), cast(:b as date))) as day", {"a": start, "b": end})
+    folder = F.format_string("%04d/%03d", F.year(F.date_sub("day", 1)), F.dayofyear(F.date_sub("day", 1)))
+    return days.select(F.concat(F.lit(base.rstrip("/") + "/"), folder, F.lit(f"/{prefix}."), F.date_format("day", "yyyy.MM.dd"), F.lit(f".{suffix}")).alias("link"))
+
+
+def dap_constraint(variable: str, *ranges: tuple[int, ...]) -> str:
+    """As ``name[0:1:399][0:1:1439]``, of (first, last) or (first, step, last) on each axis."""
+    return variable + "".join(f"[{r[0]}:{r[1] if len(r) == 3 else 1}:{r[-1]}]" for r in ranges)
 
 
 def dates_between(spark: SparkSession, start: str, n: int) -> DataFrame:

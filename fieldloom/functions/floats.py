@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +51,15 @@ ARITHMETIC: dict[str, Callable[[Number, Number], Column]] = {
 def close(x: Column, y: Column, rel: float = 1e-9, abs_: float = 1e-12) -> Column:
     """Symmetric tolerance: equal, both NaN, or near by either measure."""
     return (x == y) | (F.isnan(x) & F.isnan(y)) | (F.abs(x - y) <= F.greatest(F.lit(abs_), F.lit(rel) * F.greatest(F.abs(x), F.abs(y))))
+
+
+def number_text(x) -> str:
+    """A number as JVM programs print it: ``5.0``, ``1.0E20``; whole types without a point."""
+    if isinstance(x, (int, np.integer)):
+        return str(int(x))
+    if not np.isfinite(x):
+        return "NaN" if np.isnan(x) else "Infinity" if x > 0 else "-Infinity"
+    if x == 0 or 1e-3 <= abs(x) < 1e7:
+        return np.format_float_positional(x, unique=True, trim="0")
+    mantissa, power = np.format_float_scientific(x, unique=True, trim="0").split("e")
+    return f"{mantissa}E{int(power)}"

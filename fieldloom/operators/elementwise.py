@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.floats import ARITHMETIC, COMPARE, as_column
+from fieldloom.functions.floats import ARITHMETIC, COMPARE, as_column, number_text
 
 
 @dataclass(frozen=True)
@@ -111,14 +111,20 @@ def matmul(left: DataFrame, right: DataFrame, on: Sequence[str] = ()) -> DataFra
     return l.join(r, [*on, "k"]).groupBy(*on, "i0", "i1").agg(F.sum(F.col("l") * F.col("r")).alias("value"))
 
 
-OPERATION_NAMES = {"+", "-", "*", "/", "<", ">", "<=", ">=", ":=", "!=", "**"}
+# Binary operations that name a derived variable; those with "=" at the end rename in place.
+OPERATION_NAMES = {"+", "-", "*", "/", "**", "<", ">", "<=", ">=", ":=", "!=", "+=", "-=", "*=", "/="}
 
 
-def binary_name(left: Column, op: str, right: Column) -> Column:
-    """Name of a derived variable, as ``(left + right)``."""
+def named(x: Column | float) -> Column:
+    """A variable's name, or a number as it is printed in names: ``5.0``."""
+    return x if isinstance(x, Column) else F.lit(number_text(float(x)))
+
+
+def binary_name(left: Column, op: str, right: Column | float) -> Column:
+    """Name of a derived variable, as ``(left + right)`` or ``(left <= 5.0)``."""
     if op not in OPERATION_NAMES:
         raise ValueError(f"unknown operation {op}")
-    return F.concat(F.lit("("), left, F.lit(f" {op} "), right, F.lit(")"))
+    return F.concat(F.lit("("), left, F.lit(f" {op} "), named(right), F.lit(")"))
 
 
 def call_name(op: str, name: Column, *params: str) -> Column:
@@ -126,5 +132,25 @@ def call_name(op: str, name: Column, *params: str) -> Column:
     return F.concat(F.lit(f"{op}("), name, F.lit("".join(f",{p}" for p in params) + ")"))
 
 
+def axis_call_name(op: str, name: Column, axes: Sequence[int]) -> Column:
+    """Of a statistic over axes, or a broadcast to a shape: ``std(left,List(0, 1))``."""
+    return call_name(op, name, "List(" + ", ".join(map(str, axes)) + ")")
+
+
+def block_name(name: Column, rows: int, cols: int | None = None) -> Column:
+    """Of both block means."""
+    return call_name("reduceResolution", name, f"({rows},{rows if cols is None else cols})")
+
+
+def mask_name(name: Column, mask_value: float = 0.0) -> Column:
+    """Of a mask by any test."""
+    return call_name("maskf", name, number_text(float(mask_value)))
+
+
 def slice_name(name: Column, ranges: Sequence[tuple[int, int]]) -> Column:
     return F.concat(name, F.lit("[" + ",".join(f"{a}:{b}" for a, b in ranges) + "]"))
+
+
+def named_op(tiles: DataFrame, op: str, right: Column | float, variable: str = "variable") -> DataFrame:
+    """The tiles under the name of the operation's result; dimensions and attributes stay."""
+    return tiles.withColumn(variable, binary_name(F.col(variable), op, right))

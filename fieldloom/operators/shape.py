@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.plans.model import axes, linear_index, strides
@@ -77,8 +77,6 @@ def split_tiles(cells: DataFrame, shape: Sequence[int], tile: Sequence[int] = ()
 def stack_cells(tiled: DataFrame, key: str = "frame", rank: int = 2) -> DataFrame:
     """From tiles by time to stacks by tile: the key's rank becomes the new leading axis ``i0``. Ranks
     come from the distinct keys, a small table."""
-    from pyspark.sql import Window
-
     ranks = tiled.select(key).distinct().withColumn("__rank", F.row_number().over(Window.orderBy(key)) - 1)
     moved = tiled.join(ranks, key).withColumnsRenamed({f"i{k}": f"i{k + 1}" for k in reversed(range(rank))})
     return moved.withColumn("i0", F.col("__rank").cast("int")).drop("__rank")
@@ -103,8 +101,21 @@ def normalize_longitudes(cells: DataFrame, lon: str = "lon") -> DataFrame:
 
 
 def ascending_axis(cells: DataFrame, name: str, index: str) -> DataFrame:
-    """Renumbers an axis so that its coordinate ascends; the coordinates are a small table."""
-    from pyspark.sql import Window
-
-    order = cells.select(name).distinct().withColumn(index, F.row_number().over(Window.orderBy(name)).cast("int") - 1)
+    """Renumbers an axis so that its coordinate ascends; the coordinates are a small table. Reading it
+    raises if the coordinates neither ascend nor descend with the index."""
+    axis = cells.select(name, index).distinct()
+    by_name = Window.orderBy(name, index)
+    axis = axis.select(name, F.col(index).alias("__old"), (F.row_number().over(by_name).cast("int") - 1).alias(index), (F.col(index) - F.lag(index).over(by_name)).alias("__step"))
+    turns = axis.agg((F.count_if(F.col("__step") <= 0) * F.count_if(F.col("__step") >= 0)).alias("__turns"))
+    axis = axis.drop("__step").join(F.broadcast(turns))  # one row
+    order = axis.select(name, F.when(F.col("__turns") == 0, F.col(index)).otherwise(F.raise_error(F.lit(f"the axis {name} is not sorted")).cast("int")).alias(index))
     return cells.drop(index).join(order, name)
+
+
+def normalize_axes(cells: DataFrame, lat: str = "lat", lon: str = "lon", rows: str = "i0", cols: str = "i1") -> DataFrame:
+    """Ascending latitudes, longitudes in [-180, 180), indices to match."""
+    cells = ascending_axis(cells, lat, rows)
+    cells = normalize_longitudes(ascending_axis(cells, lon, cols), lon)
+    order = F.row_number().over(Window.orderBy(lon)).cast("int") - 1
+    return cells.drop(cols).join(cells.select(lon).distinct().withColumn(cols, order), lon)
+

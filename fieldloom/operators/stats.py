@@ -4,11 +4,13 @@ windows that are partitioned by cell."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.floats import COMPARE, divide
+from fieldloom.plans.tables import save
 
 
 def skew(value: str | Column) -> Column:
@@ -81,6 +83,12 @@ def histogram(cells: DataFrame, by: Sequence[str], bins: int = 10, divisor: int
     return counts.where("bin is not null").select(*by, "bin", F.col("n"), (F.col("n") / size).alias("share"))
 
 
+def whole_years(cells: DataFrame, year: str = "year", month: str = "month") -> DataFrame:
+    """The cells of years in which all twelve months occur; years are a small table."""
+    years = cells.groupBy(year).agg(F.countDistinct(month).alias("months")).where("months = 12").select(year)
+    return cells.join(F.broadcast(years), year, "left_semi")
+
+
 def climatology_year(cells: DataFrame, by: Sequence[str] = (), year: str = "year") -> tuple[DataFrame, DataFrame]:
     """Annual means, and their mean."""
     annual = cells.groupBy(year, *by).agg(F.avg("value").alias("value"))
@@ -117,6 +125,11 @@ def accumulate(cells: DataFrame, by: Sequence[str], order: str, hours: float = 3
     return amount.withColumn("next", F.lead("value").over(w)).where("next is not null").withColumn("value", F.col("value") + F.col("next")).drop("next")
 
 
+def day_mean(cells: DataFrame, by: Sequence[str], day: str = "day") -> DataFrame:
+    """Mean over the hours of each day."""
+    return cells.groupBy(day, *by).agg(F.avg("value").alias("value"))
+
+
 def bounds(cells: DataFrame, lat: str = "lat", lon: str = "lon", time: str = "time") -> DataFrame:
     """Spatial and temporal limits."""
     return cells.agg(*[f(c).alias(f"{c}_{n}") for c in (lat, lon, time) for n, f in (("min", F.min), ("max", F.max))])
@@ -133,12 +146,81 @@ def time_class(days: Column, seconds: Column) -> Column:
     return F.when((days == 0) & (seconds < 3600), "minutely").when(days == 0, "hourly").when(days == 1, "daily").when(days <= 31, "monthly").otherwise("yearly")
 
 
-def moments_kmeans(cells: DataFrame, by: Sequence[str], k: int = 5, iterations: int = 300, seed: int = 0) -> DataFrame:
-    """Clusters of cells by deviation and skew of their series."""
+def resolutions(cells: DataFrame, lat: str = "lat", lon: str = "lon", time: str = "time") -> DataFrame:
+    """``lat_step, lon_step, time_class``: first differences of the axes, and the name of the time step."""
+    steps = resolution(cells, lat).select(F.col("step").alias("lat_step")).join(F.broadcast(resolution(cells, lon).select(F.col("step").alias("lon_step"))))  # one row each
+    two = cells.select(F.col(time).alias("t")).distinct().orderBy("t").limit(2)
+    seconds = F.timestamp_diff("SECOND", F.min("t"), F.max("t"))
+    named = two.agg(seconds.alias("s")).select(time_class(F.floor(F.col("s") / 86400), F.col("s") % 86400).alias("time_class"))
+    return steps.join(F.broadcast(named))
+
+
+def checked_shape(cells: DataFrame, times: DataFrame, lats: DataFrame, lons: DataFrame, time: str = "time", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """The cells; reading them raises unless every axis (``value``, ascending or descending, no value twice)
+    is whole and each of its places has as many cells as the other axes have places."""
+    sizes = [a.agg(F.count("*").alias(f"{n}_n"), F.countDistinct("value").alias(f"{n}_d")) for n, a in ((time, times), (lat, lats), (lon, lons))]
+    found = cells.agg(F.count("*").alias("n"), *[F.countDistinct(c).alias(f"{c}_found") for c in (time, lat, lon)])
+    for size in sizes:
+        found = found.join(F.broadcast(size))  # one row
+    product = F.col(f"{time}_n") * F.col(f"{lat}_n") * F.col(f"{lon}_n")
+    whole = F.lit(True)
+    for c in (time, lat, lon):
+        whole &= (F.col(f"{c}_n") == F.col(f"{c}_d")) & (F.col(f"{c}_found") == F.col(f"{c}_n"))
+    told = F.format_string("values must be of shape (%d, %d, %d) but there are %d of (%d, %d, %d)", f"{time}_n", f"{lat}_n", f"{lon}_n", "n", f"{time}_found", f"{lat}_found", f"{lon}_found")
+    one = found.select(F.when(whole & (F.col("n") == product), F.lit(True)).otherwise(F.raise_error(told).cast("boolean")).alias("__ok"))
+    return cells.join(F.broadcast(one)).where("__ok").drop("__ok")
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """A box in space and time as a filter; limits are checked when it is made."""
+
+    lat_min: float = -90.0
+    lat_max: float = 90.0
+    lon_min: float = -180.0
+    lon_max: float = 180.0
+    start: object = None
+    end: object = None
+
+    def __post_init__(self) -> None:
+        if not -90 <= self.lat_min < self.lat_max <= 90:
+            raise ValueError(f"latitudes {self.lat_min} to {self.lat_max}")
+        if not -180 <= self.lon_min < self.lon_max <= 180:
+            raise ValueError(f"longitudes {self.lon_min} to {self.lon_max}")
+        if self.start is not None and self.end is not None and not self.start < self.end:
+            raise ValueError(f"times {self.start} to {self.end}")
+
+    def within(self, cells: DataFrame, lat: str = "lat", lon: str = "lon", time: str = "time") -> DataFrame:
+        test = F.col(lat).between(self.lat_min, self.lat_max) & F.col(lon).between(self.lon_min, self.lon_max)
+        for edge, keep in ((self.start, lambda e: F.col(time) >= F.lit(e)), (self.end, lambda e: F.col(time) <= F.lit(e))):
+            test = test if edge is None else test & keep(edge)
+        return cells.where(test)
+
+
+def moments(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by, std, skew`` of each cell's series, where both are numbers."""
+    found = cells.groupBy(*by).agg(F.stddev_samp("value").alias("std"), skew("value").alias("skew"))
+    return found.where("std is not null and skew is not null and not isnan(std) and not isnan(skew)")
+
+
+def clustered(points: DataFrame, columns: Sequence[str], k: int, iterations: int, seed: int) -> DataFrame:
+    """``points`` with the ``cluster`` of each row's ``columns`` by k-means."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    moments = cells.groupBy(*by).agg(F.stddev_samp("value").alias("std"), skew("value").alias("skew")).where("std is not null and skew is not null and not isnan(skew)")
-    points = VectorAssembler(inputCols=["std", "skew"], outputCol="features").transform(moments)
-    model = KMeans(k=k, maxIter=iterations, seed=seed).fit(points)
-    return model.transform(points).select(*by, "std", "skew", F.col("prediction").alias("cluster"))
+    rows = save(points, "kmeans-points")  # read once a round
+    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows)
+    model = KMeans(k=k, maxIter=iterations, seed=seed).fit(assembled)
+    return model.transform(assembled).select(*points.columns, F.col("prediction").alias("cluster"))
+
+
+def pdf_kmeans(cells: DataFrame, by: Sequence[str], bins: int = 10, k: int = 3, iterations: int = 10, seed: int = 0) -> DataFrame:
+    """Clusters of cells by the shares of their histogram's bins: ``by, p0, p1, ..., cluster``."""
+    shares = histogram(cells, by, bins)
+    wide = shares.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("share"))), F.lit(0.0)).alias(f"p{b}") for b in range(bins)])
+    return clustered(wide, [f"p{b}" for b in range(bins)], k, iterations, seed)
+
+
+def moments_kmeans(cells: DataFrame, by: Sequence[str], k: int = 5, iterations: int = 300, seed: int = 0) -> DataFrame:
+    """Clusters of cells by deviation and skew of their series."""
+    return clustered(moments(cells, by), ["std", "skew"], k, iterations, seed)

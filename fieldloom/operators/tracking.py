@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.dates import frame_hour
 from fieldloom.plans.components import components
 from fieldloom.plans.tables import remove, save
 
@@ -108,16 +109,20 @@ def node_areas(labelled: DataFrame, area_box: int, cold: float = 210.0) -> DataF
 
     The threshold starts at the ceiling of the minimum and rises by 1 until enough cells are at or
     below it or it reaches the floor of the maximum: the smallest whole number with that, found
-    by a running count over each feature's values.
+    by a running count over each feature's degrees.
     """
-    of = Window.partitionBy("frame", "label")
-    rows = labelled.withColumns({"lo": F.ceil(F.min("value").over(of)), "hi": F.floor(F.greatest(F.lit(0.0), F.max("value").over(of)))})
-    rows = rows.withColumn("reached", F.count("*").over(of.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)))
-    step = F.min(F.when(F.col("reached") >= area_box, F.ceil("value"))).over(of)
-    threshold = F.greatest(F.col("lo"), F.least(F.coalesce(step, F.col("hi")), F.col("hi")))
-    rows = rows.withColumn("at", threshold)
+    degrees = labelled.groupBy("frame", "label", F.ceil("value").alias("up"), F.floor("value").alias("down")).agg(F.count("*").alias("n"), F.count_if(F.col("value") <= cold).alias("cold"), F.max("value").alias("top"))
+    of = Window.partitionBy("frame", "label")  # a row for each whole degree, not for each cell
+    rows = degrees.withColumns({"lo": F.min("up").over(of), "hi": F.floor(F.greatest(F.lit(0.0), F.max("top").over(of)))})
+    rows = rows.withColumn("reached", F.sum("n").over(of.orderBy("up").rangeBetween(Window.unboundedPreceding, 0)))
+    step = F.min(F.when(F.col("reached") >= area_box, F.col("up"))).over(of)
+    rows = rows.withColumn("at", F.greatest(F.col("lo"), F.least(F.coalesce(step, F.col("hi")), F.col("hi"))))
+
+    def total(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
+
     return rows.groupBy("frame", "label").agg(
-        F.max("at").cast("long").alias("min_area_temp"), F.count_if(F.col("value") <= F.col("at")).alias("min_area"), F.count_if(F.col("value") >= F.col("hi")).alias("max_temp_area"), F.count_if(F.col("value") <= cold).alias("temp210_area")
+        F.max("at").cast("long").alias("min_area_temp"), total(F.col("up") <= F.col("at")).alias("min_area"), total(F.col("down") >= F.col("hi")).alias("max_temp_area"), F.sum("cold").alias("temp210_area")
     )
 
 
@@ -150,11 +155,15 @@ def node_key(frame: str, label: str) -> Column:
 
 
 #: A node as one number, frames first, so that the smallest is the earliest.
-LABELS = 1 << 20
+LABELS = 1 << 31
 
 
 def node_number(frame: str, label: str) -> Column:
-    return F.col(frame).cast("long") * LABELS + F.col(label)
+    """Frames of up to ten digits (yyyyMMddHH) and any label; raises on a frame beyond that, so that no
+    two nodes have one number."""
+    f, n = F.col(frame).cast("long"), F.col(label).cast("long")
+    fits = f.between(0, LABELS * 2 - 1) & n.between(0, LABELS - 1)
+    return F.when(fits, f * LABELS + n).otherwise(F.raise_error(F.lit("a frame or label is too large to number nodes; number the frames first")).cast("long"))
 
 
 def subgraphs(edges: DataFrame, min_length: int = 4) -> DataFrame:
@@ -169,30 +178,33 @@ def subgraphs(edges: DataFrame, min_length: int = 4) -> DataFrame:
 
 def longest_paths(pairs: DataFrame) -> DataFrame:
     """``node, length``: edges on the longest path that ends at the node. Edges lead forward in time, so
-    rounds end after as many as the longest path has."""
-    now = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("length", F.lit(0)), "paths")
-    step = 0
+    rounds end after as many as the longest path has. A round reads and writes only the nodes that
+    some path of its length ends at."""
+    pairs = save(pairs.select("a", "b").distinct(), "paths-edges")
+    now = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    rounds, step = [], 0
     while True:
-        reached = now.where(F.col("length") == step).join(pairs, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        reached = save(reached.withColumn("more", F.lit(step + 1)), "paths-step")
-        if reached.isEmpty():
-            return now
-        fresh = save(now.join(reached, "node", "left").select("node", F.coalesce("more", "length").alias("length")), "paths")
-        remove(now)
-        remove(reached)
-        now, step = fresh, step + 1
+        now = save(now.withColumn("length", F.lit(step)), "paths-step")
+        if now.isEmpty():
+            break
+        rounds.append(now)
+        now, step = now.join(pairs, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct(), step + 1
+    found = rounds[0] if rounds else now
+    for more in rounds[1:]:
+        found = found.unionByName(more)
+    return found.groupBy("node").agg(F.max("length").alias("length"))
 
 
 def reachable(pairs: DataFrame) -> DataFrame:
-    """``src, dst`` of every node and each that can be reached from it."""
-    now = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    fresh = now = save(now, "reach")
+    """``src, dst`` of every node and each that can be reached from it. A round writes only what it adds."""
+    pairs = save(pairs.select("a", "b").distinct(), "reach-edges")
+    now = fresh = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     while True:
         further = fresh.join(pairs, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst")).distinct()
-        further = save(further.join(now, ["src", "dst"], "left_anti"), "reach-step")
-        if further.isEmpty():
+        fresh = save(further.join(now, ["src", "dst"], "left_anti"), "reach-step")
+        if fresh.isEmpty():
             return now
-        now, fresh = save(now.unionByName(further), "reach"), further
+        now = now.unionByName(fresh)
 
 
 def potential_nodes(labelled: DataFrame, area_a: int = 1875, area_b: int = 5000, temp_a: float = 213.0, temp_b: float = 233.0) -> DataFrame:
@@ -283,7 +295,7 @@ def stages(areas: list[float], cold: list[float], cutoff: float = 1875.0, share:
         elif before == "D":
             out.append("M" if large and cold[i] >= share else "D")
         elif before == "reI":
-            out.append(full if large else "reI")
+            out.append("M" if large and cold[i] >= share else "reI" if cold[i] >= cold[i - 1] else "D")
         else:
             out.append("D" if areas[i] <= cutoff and cold[i] < share else "M")
     return out
@@ -303,7 +315,7 @@ def life_stages(frames: DataFrame, cutoff: float = 1875.0, share: float = 0.1) -
 
 
 def mature_runs(staged: DataFrame, least: int = 3, stage: str = "M") -> DataFrame:
-    """Subgraphs with ``least`` mature frames in a row, the first frame left out of account."""
+    """``subgraph, longest`` of subgraphs with ``least`` mature frames in a row, the first frame left out of account."""
     w = Window.partitionBy("subgraph").orderBy("frame")
     ranked = staged.withColumn("at", F.row_number().over(w)).where(F.col("at") > 1).where(F.col("stage") == stage)
     islands = ranked.withColumn("island", F.col("at") - F.row_number().over(w))
@@ -323,6 +335,25 @@ def bucket(index: Column, size: int, buckets: int) -> Column:
     return F.least(F.greatest(F.ceil(index / size), F.lit(1)), F.lit(buckets)).cast("int")
 
 
+def strikes_on_nodes(nodes: DataFrame, strikes: DataFrame, width: float = 5.0) -> DataFrame:
+    """Features with the ``strikes`` (``time, lat, lon``) of their hour strictly inside their box as
+    ``lightning``; the one location (-999, -999) where there are none. One join for all features.
+    ``nodes`` have ``frame`` (yyyyMMddHH, or with minutes) and coordinates as from ``with_axes``;
+    a strike's time is ``yyyy/MM/dd HH:mm:ss``. Descending axes make "min" the greater end; the
+    box is between its ends either way."""
+    ends = {f"{c}_{n}": f(f"{c}_min", f"{c}_max") for c in ("lat", "lon") for n, f in (("min", F.least), ("max", F.greatest))}
+    boxes = nodes.select("frame", "label", frame_hour(F.col("frame")).alias("time"), *[e.alias(n) for n, e in ends.items()])
+    found = points_in_boxes(strikes, boxes, "time", width).select("frame", "label", "locations")
+    none = F.array(F.struct(F.lit(-999.0).alias("lat"), F.lit(-999.0).alias("lon")))
+    return nodes.join(found, ["frame", "label"]).withColumn("lightning", F.when(F.size("locations") > 0, F.col("locations")).otherwise(none)).drop("locations")
+
+
+def overlapping(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The features that share a cell with one of a neighbouring frame."""
+    ends = edges.select(F.col("src_frame").alias("frame"), F.col("src_label").alias("label")).unionByName(edges.select(F.col("dst_frame").alias("frame"), F.col("dst_label").alias("label")))
+    return nodes.join(ends, ["frame", "label"], "left_semi")
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, time: str = "time", width: float = 5.0) -> DataFrame:
     """``boxes`` with the ``points`` strictly inside at the same time: ``locations`` is their sorted
     (lat, lon), empty where there are none. One axis is cut into bins of ``width``, so that this is

@@ -1,14 +1,15 @@
 """Queries over the driver's tables, one or more for each operator, and the same in SQL.
 
 Grids: ``events`` by day, user and hour (largest value); ``embeddings`` as 8 x 8 tiles; ``lineitem``
-by month, supplier and line (mean quantity). Numbers are rounded to 6 places on both sides.
+by month, supplier and line (mean quantity). Tables are read whole; only the yearly climatology and
+the reshape to years leave out years without all twelve months, which they can't have. Numbers are rounded to 6 places on both sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import dates
@@ -17,6 +18,7 @@ from fieldloom.operators import shape as sh
 from fieldloom.operators import stats as st
 from fieldloom.operators import tracking as tr
 from fieldloom.plans.model import densify, to_cells, to_tiles
+from fieldloom.plans.tables import save
 from fieldloom.sources import metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,8 +30,9 @@ EVT = "evt as (select cast(strftime(ts, '%Y%m%d') as bigint) as frame, cast(user
 EMB = "emb as (select vec_id, label, cast(p - 1 as int) as pos, cast(embedding[p] as double) as value from (select *, unnest(range(1, 65)) as p from embeddings))"
 LI = (
     "li as (select cast((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 as int) as frame, cast(l_suppkey % 10 as int) as i0, cast(l_linenumber as int) as i1, avg(l_quantity) as value "
-    "from lineitem where l_shipdate >= timestamp '1995-01-01' and l_shipdate < timestamp '2001-01-01' group by all)"
+    "from lineitem group by all)"
 )
+WHOLE = f"{LI}, whole as (select * from li where frame // 12 in (select frame // 12 from li group by 1 having count(distinct frame % 12) = 12))"
 FULL = f"{EVT}, full_ as (select f.frame, cast(r.range as int) as i0, cast(c.range as int) as i1, coalesce(evt.value, 0.0) as value from (select distinct frame from evt) f cross join range(16) r cross join range(24) c left join evt on evt.frame = f.frame and evt.i0 = r.range and evt.i1 = c.range)"
 LABELLED = f"""recursive {EVT}, hot as (select * from evt where value >= {HOT}),
 reach(frame, i0, i1, k) as (select frame, i0, i1, i0 * 24 + i1 from hot union
@@ -74,20 +77,34 @@ def emb_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def li(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1995-01-01' and l_shipdate < timestamp_ntz'2001-01-01'")
+    rows = read(spark, sf_dir, "lineitem")
     frame = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int")
     return rows.groupBy(frame.alias("frame"), (F.col("l_suppkey") % 10).cast("int").alias("i0"), F.col("l_linenumber").cast("int").alias("i1")).agg(F.avg("l_quantity").alias("value"))
 
 
+def li_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return li(spark, sf_dir).withColumns({"year": F.floor(F.col("frame") / 12).cast("int"), "month": F.pmod("frame", F.lit(12)).cast("int")})
+
+
 def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.label_frames(ew.drop_cells(evt(spark, sf_dir), ">=", HOT), GRID[1])
 
 
+def saved_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for queries that read it several times."""
+    return save(hot(spark, sf_dir), "labelled")
+
+
 def six(name: str = "value") -> Column:
     """Rounded; a negative zero becomes zero."""
     return (F.round(name, 6) + F.lit(0.0)).alias(name)
 
 
+def total_of(places: str, field: str) -> Column:
+    """Sum of a field of an array of structs."""
+    return F.aggregate(F.transform(places, lambda x: x[field]), F.lit(0.0), lambda a, x: a + x)
+
+
 def tiles_out(tiles: DataFrame) -> DataFrame:
     return tiles.select("vec_id", F.posexplode("data").alias("pos", "value")).select("vec_id", "pos", six())
 
@@ -208,22 +225,26 @@ def stack_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.stack_cells(sh.split_tiles(evt(spark, sf_dir), GRID, (4, 6))).select("i0", "t0", "t1", "i1", "i2", "value")
 
 
-@query(f"with {EVT} select cast(i0 // 4 as int) as t0, cast(i1 // 6 as int) as t1, count(*) as n, count(distinct frame) as frames, min(value) as least, max(value) as greatest from evt group by all")
+@query(f"with {EVT} select cast(i0 // 4 as int) as t0, cast(i1 // 6 as int) as t1, frame, cast(i0 % 4 as int) as i0, cast(i1 % 6 as int) as i1, value, cast(1 as bigint) as partitions, true as in_order from evt")
 def repartition_by_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiled = sh.by_space(evt(spark, sf_dir), GRID, (4, 6))
-    return tiled.groupBy("t0", "t1").agg(F.count("*").alias("n"), F.countDistinct("frame").alias("frames"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+    """With the number of partitions that hold the cell's tile, and whether the cell comes after those before it."""
+    tiled = save(sh.by_space(evt(spark, sf_dir), GRID, (4, 6)).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "by-space")
+    parts = tiled.groupBy("t0", "t1").agg(F.countDistinct("part").alias("partitions"))
+    before = F.lag("place").over(Window.partitionBy("t0", "t1").orderBy("frame", "i0", "i1"))
+    rows = tiled.withColumn("in_order", F.coalesce(before < F.col("place"), F.lit(True))).join(parts, ["t0", "t1"])
+    return rows.select("t0", "t1", "frame", "i0", "i1", "value", "partitions", "in_order")
 
 
-@query("select label, cast(count(*) as int) as n, cast(count(*) * 64 as int) as size from embeddings group by label")
+@query(f"with {EMB}, r as (select *, dense_rank() over (partition by label order by vec_id) - 1 as k, (select count(*) from embeddings e where e.label = emb.label) as n from emb) select label, cast(n as int) as n, cast(k * 64 + pos as int) as at, round(value, 6) + 0.0 as value from r")
 def stack_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     stacked = sh.stack_tiles(emb(spark, sf_dir), ["label"], "vec_id")
-    return stacked.select("label", F.get("shape", F.lit(0)).alias("n"), F.size("data").alias("size"))
+    return stacked.select("label", F.get("shape", F.lit(0)).alias("n"), F.posexplode("data").alias("at", "value")).select("label", "n", "at", six())
 
 
-@query(f"with {LI} select cast(frame // 12 as int) as year, cast(frame % 12 as int) as month, i1, round(value, 6) + 0.0 as value from li where i0 = 1")
+@query(f"with {WHOLE} select cast(frame // 12 as int) as year, cast(frame % 12 as int) as month, i0 as i1, i1 as i2, round(value, 6) + 0.0 as value from whole")
 def monthly_to_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = li(spark, sf_dir).where("i0 = 1").drop("i0").withColumnRenamed("frame", "i0")
-    return sh.monthly_to_annual(cells).select("year", "month", "i1", six())
+    months = st.whole_years(li_months(spark, sf_dir)).drop("year", "month").withColumnsRenamed({"i1": "i2", "i0": "i1", "frame": "i0"})
+    return sh.monthly_to_annual(months).select("year", "month", "i1", "i2", six())
 
 
 @query("select s_suppkey, cast(case when (s_suppkey * 7) % 360 >= 180 then (s_suppkey * 7) % 360 - 360 else (s_suppkey * 7) % 360 end as double) as lon from supplier")
@@ -277,8 +298,7 @@ def detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {LI} select frame, i0, i1, round(value - avg(value) over (partition by frame % 12, i0, i1), 6) + 0.0 as value from li")
 def anomaly_by_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = li(spark, sf_dir).withColumn("slot", F.col("frame") % 12)
-    return st.anomaly(cells, ["slot"], ["i0", "i1"]).select("frame", "i0", "i1", six())
+    return st.anomaly(li_months(spark, sf_dir), ["month"], ["i0", "i1"]).select("frame", "i0", "i1", six())
 
 
 @query(
@@ -289,10 +309,9 @@ def histogram_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.histogram(li(spark, sf_dir), ["i0", "i1"]).select("i0", "i1", "bin", "n", six("share"))
 
 
-@query(f"with {LI}, y as (select frame // 12 as year, i0, i1, avg(value) as value from li group by all) select i0, i1, round(avg(value), 6) + 0.0 as value from y group by all")
+@query(f"with {WHOLE}, y as (select frame // 12 as year, i0, i1, avg(value) as value from whole group by all) select i0, i1, round(avg(value), 6) + 0.0 as value from y group by all")
 def climatology_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = li(spark, sf_dir).withColumn("year", F.floor(F.col("frame") / 12))
-    return st.climatology_year(cells, ["i0", "i1"])[1].select("i0", "i1", six())
+    return st.climatology_year(st.whole_years(li_months(spark, sf_dir)), ["i0", "i1"])[1].select("i0", "i1", six())
 
 
 @query(
@@ -300,14 +319,12 @@ def climatology_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     "y as (select season, i0, i1, avg(value) as value from s where season > (select min(frame // 12) from li) and season <= (select max(frame // 12) from li) group by all) select i0, i1, round(avg(value), 6) + 0.0 as value from y group by all"
 )
 def climatology_season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = li(spark, sf_dir).withColumns({"year": F.floor(F.col("frame") / 12).cast("int"), "month": F.col("frame") % 12})
-    return st.climatology_season(cells, 10, 1, ["i0", "i1"])[1].select("i0", "i1", six())
+    return st.climatology_season(li_months(spark, sf_dir), 10, 1, ["i0", "i1"])[1].select("i0", "i1", six())
 
 
 @query(f"with {LI} select cast(frame % 12 as int) as month, i0, i1, round(avg(value), 6) + 0.0 as value from li group by all")
 def climatology_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = li(spark, sf_dir).withColumn("month", (F.col("frame") % 12).cast("int"))
-    return st.climatology_month(cells, ["i0", "i1"]).select("month", "i0", "i1", six())
+    return st.climatology_month(li_months(spark, sf_dir), ["i0", "i1"]).select("month", "i0", "i1", six())
 
 
 @query("select cast(strftime(o_orderdate, '%Y%m%d') as bigint) as frame, round(avg(o_totalprice), 6) + 0.0 as value from orders group by all")
@@ -336,6 +353,16 @@ def grid_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.bounds(evt(spark, sf_dir).withColumnsRenamed({"i0": "lat", "i1": "lon", "frame": "time"}))
 
 
+@query(f"with {LI}, m as (select *, avg(value) over (partition by i0, i1) as m, stddev_samp(value) over (partition by i0, i1) as s from li) select i0, i1, round(any_value(s), 6) + 0.0 as std, round({SKEW}, 6) + 0.0 as skew from m group by all having any_value(s) > 0")
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.moments(li(spark, sf_dir), ["i0", "i1"]).select("i0", "i1", six("std"), six("skew"))
+
+
+@query(None)
+def kmeans_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.pdf_kmeans(li(spark, sf_dir), ["i0", "i1"])
+
+
 @query(None)
 def kmeans_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.moments_kmeans(li(spark, sf_dir), ["i0", "i1"], k=5)
@@ -387,7 +414,7 @@ WEIGHTED = (
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    labelled = hot(spark, sf_dir)
+    labelled = saved_hot(spark, sf_dir)
     return labelled, tr.weighted_edges(tr.overlap_edges(labelled), tr.node_stats(labelled), min_area=3, node_min_area=3)
 
 
@@ -397,13 +424,13 @@ def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PATHS = (
-    f"{EDGES}, both_ways as (select src_frame * 1048576 + src_label as a, dst_frame * 1048576 + dst_label as b from edges), sym as (select a, b from both_ways union select b, a from both_ways), "
+    f"{EDGES}, both_ways as (select src_frame * 2147483648 + src_label as a, dst_frame * 2147483648 + dst_label as b from edges), sym as (select a, b from both_ways union select b, a from both_ways), "
     "conn(node, c) as (select a, a from sym union select sym.b, conn.c from conn join sym on sym.a = conn.node where conn.c < sym.b), comp as (select node, min(c) as component from conn group by node), "
     "walk(node, n) as (select a, 0 from both_ways union select b, n + 1 from walk join both_ways on a = node), longest as (select component, max(n) as length from comp join walk using (node) group by component)"
 )
 
 
-@query(f"with {PATHS} select node // 1048576 as frame, cast(node % 1048576 as int) as label, component as subgraph, cast(length as bigint) as length from comp join longest using (component) where length >= 2")
+@query(f"with {PATHS} select node // 2147483648 as frame, cast(node % 2147483648 as int) as label, component as subgraph, cast(length as bigint) as length from comp join longest using (component) where length >= 2")
 def subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.subgraphs(tr.overlap_edges(hot(spark, sf_dir)), 2)
 
@@ -413,42 +440,66 @@ def potential_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.potential_nodes(hot(spark, sf_dir), 2, 3, 90.0, 110.0)
 
 
-@query(None)
+COMPLEXES = (
+    f"{PATHS}, pot as (select frame * 2147483648 + label as node from lab group by frame, label having count(*) filter (value <= 90.0) >= 2 and count(*) filter (value <= 110.0) >= 3), "
+    "pe as (select a, b from both_ways where a in (select node from pot) and b in (select node from pot)), ps as (select a, b from pe union select b, a from pe), "
+    "pc(node, c) as (select a, a from ps union select ps.b, pc.c from pc join ps on ps.a = pc.node where pc.c < ps.b), pcomp as (select node, min(c) as complex from pc group by node)"
+)
+
+
+@query(f"with {COMPLEXES} select component as subgraph, complex, node // 2147483648 as frame, cast(node % 2147483648 as int) as label from pcomp join comp using (node)")
 def complexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = hot(spark, sf_dir)
+    """Chains of two nodes or more; as no chain is too long, any edge between potential nodes is in one."""
+    labelled = saved_hot(spark, sf_dir)
     edges = tr.overlap_edges(labelled)
-    return tr.complexes(edges, tr.subgraphs(edges, 1), tr.potential_nodes(labelled, 1, 1, 200.0, 200.0), 2, 24)
+    return tr.complexes(edges, tr.subgraphs(edges, 1), tr.potential_nodes(labelled, 2, 3, 90.0, 110.0), 2, 1000)
 
 
-MEMBERS = f"{PATHS}, members as (select node // 1048576 as frame, cast(node % 1048576 as int) as label, component as subgraph from comp join longest using (component) where length >= 1)"
+MEMBERS = f"{PATHS}, members as (select node // 2147483648 as frame, cast(node % 2147483648 as int) as label, component as subgraph from comp join longest using (component) where length >= 1)"
 
 
-@query(f"with {MEMBERS} select subgraph, frame, cast(count(*) as bigint) as area, cast(count(distinct label) as int) as features from members join lab using (frame, label) group by all")
+@query(f"with {MEMBERS}, d as (select subgraph, frame, label, count(*) as area from members join lab using (frame, label) group by all) select subgraph, frame, cast(sum(area) as bigint) as area, string_agg(cast(label as varchar), ',' order by label) as nodes from d group by subgraph, frame")
 def frame_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = hot(spark, sf_dir)
+    labelled = saved_hot(spark, sf_dir)
     found = tr.frame_areas(tr.subgraphs(tr.overlap_edges(labelled), 1), tr.node_stats(labelled))
-    return found.select("subgraph", "frame", "area", F.size("nodes").alias("features"))
+    return found.select("subgraph", "frame", "area", F.concat_ws(",", F.col("nodes").cast("array<string>")).alias("nodes"))
 
 
 @query(f"with {MEMBERS}, per as (select subgraph, frame, label, count(*) filter (value <= 80.0) / count(*) as f from members join lab using (frame, label) group by all) select subgraph, frame, round(sum(f), 6) + 0.0 as fraction from per group by all")
 def frame_cold_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = hot(spark, sf_dir)
+    labelled = saved_hot(spark, sf_dir)
     return tr.frame_cold_fraction(tr.subgraphs(tr.overlap_edges(labelled), 1), tr.node_areas(labelled, 3, 80.0), tr.node_stats(labelled)).select("subgraph", "frame", six("fraction"))
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = hot(spark, sf_dir)
+    labelled = saved_hot(spark, sf_dir)
     members, nodes = tr.subgraphs(tr.overlap_edges(labelled), 1), tr.node_stats(labelled)
     areas = tr.frame_areas(members, nodes).drop("nodes").join(tr.frame_cold_fraction(members, tr.node_areas(labelled, 3, 80.0), nodes), ["subgraph", "frame"])
-    return tr.life_stages(areas, cutoff=4.0)
+    return tr.life_stages(areas.withColumn("fraction", F.round("fraction", 9)), cutoff=4.0)
+
+
+LARGE = "case when q.fraction >= 0.1 then 'M' else 'D' end"
+STAGES = (
+    f"{MEMBERS}, per as (select subgraph, frame, label, count(*) as area, count(*) filter (value <= 80.0) / count(*) as f from members join lab using (frame, label) group by all), "
+    "seq as (select subgraph, frame, cast(sum(area) as double) as area, round(sum(f), 9) as fraction from per group by subgraph, frame), "
+    "q0 as (select *, row_number() over w as rn, count(*) over (partition by subgraph) as n, lead(fraction) over w as nf, lag(fraction) over w as pf from seq window w as (partition by subgraph order by frame)), "
+    f"st(subgraph, frame, area, fraction, rn, stage) as (select subgraph, frame, area, fraction, rn, case when n > 1 and area >= 4 then {LARGE} else 'I' end from q0 q where rn = 1 union all "
+    f"select q.subgraph, q.frame, q.area, q.fraction, q.rn, case when q.rn < q.n then case when q.area >= 4 then {LARGE} when st.stage in ('D', 'reI') then case when q.fraction > q.nf or (q.fraction = 0 and q.nf = 0) then 'D' else 'reI' end else 'I' end "
+    "when st.stage in ('I', 'D') then case when q.area >= 4 and q.fraction >= 0.1 then 'M' else st.stage end "
+    "when st.stage = 'reI' then case when q.area >= 4 and q.fraction >= 0.1 then 'M' when q.fraction >= q.pf then 'reI' else 'D' end "
+    "else case when q.area <= 4 and q.fraction < 0.1 then 'D' else 'M' end end from st join q0 q on q.subgraph = st.subgraph and q.rn = st.rn + 1)"
+)
 
 
-@query(None)
+@query(f"with {STAGES} select subgraph, frame, area, round(fraction, 6) + 0.0 as fraction, stage from st")
 def dev_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, sf_dir)
+    return staged(spark, sf_dir).select("subgraph", "frame", "area", six("fraction"), "stage")
 
 
-@query(None)
+@query(
+    f"with {STAGES}, m as (select subgraph, rn - row_number() over (partition by subgraph order by rn) as island from st where rn > 1 and stage = 'M'), "
+    "i as (select subgraph, island, count(*) as n from m group by all) select subgraph, max(n) as longest from i where n >= 1 group by subgraph"
+)
 def mature_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.mature_runs(staged(spark, sf_dir), 1)
 
@@ -463,7 +514,7 @@ def frame_rank_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"with {NODES}, pts as (select cast(strftime(ts, '%Y%m%d') as bigint) as frame, cast(user_id % 16 as double) + 0.5 as lat, hour(ts) + minute(ts) / 60.0 as lon from events) "
-    "select n.frame, n.label, count(p.frame) as hits from nodes n left join pts p on p.frame = n.frame and p.lat > n.row_min and p.lat < n.row_max + 1 and p.lon > n.col_min and p.lon < n.col_max + 1 group by all"
+    "select n.frame, n.label, count(p.frame) as hits, round(coalesce(sum(p.lat), 0), 6) + 0.0 as lats, round(coalesce(sum(p.lon), 0), 6) + 0.0 as lons, round(coalesce(min(p.lon), 0), 6) + 0.0 as first from nodes n left join pts p on p.frame = n.frame and p.lat > n.row_min and p.lat < n.row_max + 1 and p.lon > n.col_min and p.lon < n.col_max + 1 group by all"
 )
 def points_in_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = tr.node_stats(hot(spark, sf_dir))
@@ -471,10 +522,14 @@ def points_in_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = nodes.select("frame", "label", *[(F.col(c).cast("double") + (1 if n.endswith("max") else 0)).alias(n) for n, c in ends.items()])
     rows = read(spark, sf_dir, "events")
     points = rows.select(F.date_format("ts", "yyyyMMdd").cast("bigint").alias("frame"), ((F.col("user_id") % 16).cast("double") + 0.5).alias("lat"), (F.hour("ts") + F.minute("ts") / 60.0).alias("lon"))
-    return tr.points_in_boxes(points, boxes, "frame").select("frame", "label", F.size("locations").cast("long").alias("hits"))
+    found = tr.points_in_boxes(points, boxes, "frame")
+    sums = {n: total_of("locations", c) for n, c in (("lats", "lat"), ("lons", "lon"))}
+    first = F.coalesce(F.array_min(F.transform("locations", lambda x: x["lon"])), F.lit(0.0))
+    found = found.select("frame", "label", F.size("locations").cast("long").alias("hits"), *[c.alias(n) for n, c in sums.items()], first.alias("first"))
+    return found.select("frame", "label", "hits", six("lats"), six("lons"), six("first"))
 
 
-@query(f"with {EDGES}, pairs as (select src_frame * 1048576 + src_label as a, dst_frame * 1048576 + dst_label as b from edges), r(src, dst) as (select a, b from pairs union select r.src, p.b from r join pairs p on p.a = r.dst) select src, dst from r")
+@query(f"with {EDGES}, pairs as (select src_frame * 2147483648 + src_label as a, dst_frame * 2147483648 + dst_label as b from edges), r(src, dst) as (select a, b from pairs union select r.src, p.b from r join pairs p on p.a = r.dst) select src, dst from r")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = tr.overlap_edges(hot(spark, sf_dir))
     return tr.reachable(edges.select(tr.node_number("src_frame", "src_label").alias("a"), tr.node_number("dst_frame", "dst_label").alias("b")))

@@ -38,8 +38,28 @@ def global_dimensions(tiles: DataFrame) -> DataFrame:
     return tiles.select("dataset", F.explode("dims").alias("d")).select("dataset", "d.name", "d.len").distinct()
 
 
-def rendering(name: str = "variable", dtype: str = "dtype", dims: str = "dims", attrs: str = "attrs") -> Column:
-    """``type name(dims)`` and its attributes in order, one a line."""
-    shape = F.concat_ws(", ", F.transform(dims, lambda d: F.concat_ws("=", d["name"], d["len"].cast("string"))))
-    lines = F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"]))
-    return F.concat_ws("\n", F.concat(F.col(dtype), F.lit(" "), F.col(name), F.lit("("), shape, F.lit(")")), F.concat_ws("\n", lines))
+def rendering(name: str = "variable", dtype: str = "dtype", dims: str = "dims", attrs: str = "attrs", shape: str = "shape") -> Column:
+    """``type name(dims)``, a line for each attribute in order, and the shape."""
+    names = F.concat_ws(", ", F.transform(dims, lambda d: d["name"]))
+    lines = F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat(F.lit("\t"), e["key"], F.lit(": "), e["value"], F.lit("\n")))
+    sizes = F.concat_ws(", ", F.transform(shape, lambda n: n.cast("string")))
+    return F.concat(F.col(dtype), F.lit(" "), F.col(name), F.lit("("), names, F.lit(")\n"), F.array_join(lines, ""), F.lit("current shape = ("), sizes, F.lit(")\n"))
+
+
+def dataset_renderings(tiles: DataFrame, attrs: dict[str, str] | None = None) -> DataFrame:
+    """``dataset, rendering``: name, attributes, dimensions with sizes, and variables with their dimensions,
+    in the order of their names. A dataset's variables meet in one row, without their data."""
+    named = F.struct("variable", F.concat(F.col("dtype"), F.lit(" "), F.col("variable"), F.lit("("), F.concat_ws(", ", F.transform("dims", lambda d: d["name"])), F.lit(")")).alias("text"), "dims")
+    found = tiles.groupBy("dataset").agg(F.array_sort(F.collect_set(named)).alias("v"))
+    sizes = F.transform(F.array_distinct(F.flatten(F.col("v.dims"))), lambda d: F.concat(d["name"], F.lit("("), d["len"].cast("string"), F.lit(")")))
+    lines = "".join(f"\t{k}: {v}\n" for k, v in (attrs or {}).items())
+    body = F.concat(F.col("dataset"), F.lit("\nroot group ...\n" + lines + "\tdimensions(sizes): ("), F.concat_ws(", ", sizes), F.lit(")\n\tvariables: ("), F.concat_ws(", ", F.col("v.text")), F.lit(")\n"))
+    return found.select("dataset", body.alias("rendering"))
+
+
+def sample_axes(tiles: DataFrame, lat: str, lon: str) -> tuple[DataFrame, DataFrame]:
+    """``i, lat`` and ``i, lon`` of one dataset, the first by name, as all are taken to share their axes."""
+    first = tiles.agg(F.min("dataset").alias("__first"))
+    one = tiles.join(F.broadcast(first), F.col("dataset") == F.col("__first"))  # one row
+    axis = {n: one.where(F.col("variable") == v).select(F.posexplode("data").alias("i", n)) for n, v in (("lat", lat), ("lon", lon))}
+    return axis["lat"], axis["lon"]

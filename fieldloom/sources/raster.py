@@ -6,7 +6,6 @@ each file is one row, decoded in Arrow batches into the tiles layout.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,12 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.plans.model import TILES
+from fieldloom.sources.netcdf import NETCDF_NAMES, ClassicFile
 
-# Types of a classic NetCDF file by number.
-NETCDF_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
-# Names that latitude, longitude and time axes go by.
-LATITUDES = ["lat", "lats", "latitude", "latitudes", "rows", "y"]
-LONGITUDES = ["lon", "lons", "longitude", "longitudes", "cols", "x"]
+# Names that latitude, longitude and time axes go by. An "x" is a latitude and a "y" a longitude.
+LATITUDES = ["x", "rlat", "rlats", "lat", "lats", "rows", "nlat", "latitude", "latitudes"]
+LONGITUDES = ["y", "rlon", "rlons", "lon", "lons", "cols", "nlon", "longitude", "longitudes"]
 TIMES = ["time", "times", "date", "dates", "julian"]
 # The grid of a full 8-bit raster and its axes.
 RASTER_SHAPE, RASTER_OFFSET = (9896, 3298), 75.0
@@ -47,10 +45,10 @@ def tile_rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], [*kinds])
 
 
-def tile(dataset: str, variable: str, data: np.ndarray, dims: Sequence[str], dtype: str = "double", attrs: dict[str, str] | None = None, frame: int | None = None) -> dict:
+def tile(dataset: str, variable: str, data: np.ndarray, dims: Sequence[str], dtype: str = "double", attrs: dict[str, str] | None = None, frame: int | None = None, origin: Sequence[int] | None = None) -> dict:
     shape = [1] * (2 - data.ndim) + list(data.shape)
     named = [{"name": n, "len": int(k)} for n, k in zip(dims, data.shape, strict=True)]
-    return {"dataset": dataset, "variable": variable, "frame": frame, "dtype": dtype, "origin": [0] * len(shape), "shape": shape, "data": data.astype(np.float64).ravel(), "dims": named, "attrs": list((attrs or {}).items())}
+    return {"dataset": dataset, "variable": variable, "frame": frame, "dtype": dtype, "origin": [0] * (len(shape) - len(origin or [])) + list(origin or []), "shape": shape, "data": data.astype(np.float64).ravel(), "dims": named, "attrs": list((attrs or {}).items())}
 
 
 def read_raster(spark: SparkSession, path: str | Sequence[str], shape: tuple[int, int] = RASTER_SHAPE, offset: float = RASTER_OFFSET, variable: str = "TMP", **options) -> DataFrame:
@@ -68,65 +66,11 @@ def read_raster(spark: SparkSession, path: str | Sequence[str], shape: tuple[int
     return files(spark, path, **options).select("path", "content").mapInArrow(decoded, TILES)
 
 
-def raster_axes(shape: tuple[int, int] = RASTER_SHAPE) -> tuple[np.ndarray, np.ndarray]:
-    """Latitudes and longitudes of the full raster's two axes."""
-    return RASTER_LAT[0] + RASTER_LAT[1] * np.arange(shape[1]), RASTER_LON[0] + RASTER_LON[1] * np.arange(shape[0])
-
-
-class ClassicFile:
-    """A classic NetCDF file (CDF-1, CDF-2) in memory: dimensions, attributes and variables."""
-
-    def __init__(self, content: bytes):
-        if content[:3] != b"CDF" or content[3] not in (1, 2):
-            raise ValueError("not a classic NetCDF file")
-        self.content, self.at, self.wide = content, 4, content[3] == 2
-        self.records = self.number()
-        self.dims = [(self.name(), self.number()) for _ in range(self.tagged())]
-        self.attrs = self.attributes()
-        self.variables = {}
-        for _ in range(self.tagged()):
-            name, ids = self.name(), [self.number() for _ in range(self.number())]
-            attrs, kind, size = self.attributes(), self.number(), self.number()
-            begin = struct.unpack_from(">q" if self.wide else ">i", content, self.at)[0]
-            self.at += 8 if self.wide else 4
-            self.variables[name] = (ids, attrs, kind, size, begin)
-
-    def number(self) -> int:
-        self.at += 4
-        return struct.unpack_from(">i", self.content, self.at - 4)[0]
-
-    def tagged(self) -> int:
-        self.number()
-        return self.number()
-
-    def padded(self, n: int) -> bytes:
-        out = self.content[self.at : self.at + n]
-        self.at += -(-n // 4) * 4
-        return out
-
-    def name(self) -> str:
-        return self.padded(self.number()).decode("utf-8")
-
-    def attributes(self) -> dict[str, str]:
-        """Text, or the first of the numbers as text."""
-        out = {}
-        for _ in range(self.tagged()):
-            name, kind, n = self.name(), self.number(), self.number()
-            raw = self.padded(n * np.dtype(NETCDF_TYPES[kind]).itemsize)
-            out[name] = raw.decode("utf-8", "replace").rstrip("\0") if kind == 2 else str(np.frombuffer(raw, NETCDF_TYPES[kind])[0]) if n else ""
-        return out
-
-    def read(self, name: str) -> np.ndarray:
-        ids, _, kind, size, begin = self.variables[name]
-        dtype = np.dtype(NETCDF_TYPES[kind])
-        shape = [self.dims[i][1] for i in ids]
-        if ids and shape[0] == 0:  # the record dimension: one slab every record
-            slabs = [v[3] for v in self.variables.values() if v[0] and self.dims[v[0][0]][1] == 0]
-            step = size if len(slabs) == 1 else sum(slabs)
-            n = int(np.prod(shape[1:], dtype=np.int64))
-            rows = [np.frombuffer(self.content, dtype, n, begin + k * step) for k in range(self.records)]
-            return np.array(rows).reshape([self.records, *shape[1:]])
-        return np.frombuffer(self.content, dtype, int(np.prod(shape, dtype=np.int64)), begin).reshape(shape)
+def raster_axes(spark: SparkSession, shape: tuple[int, int] = RASTER_SHAPE) -> tuple[DataFrame, DataFrame]:
+    """``i, lat`` and ``i, lon``: the axes of the full raster."""
+    lat = spark.range(shape[1]).select(F.col("id").cast("int").alias("i"), (F.col("id") * RASTER_LAT[1] + RASTER_LAT[0]).alias("lat"))
+    lon = spark.range(shape[0]).select(F.col("id").cast("int").alias("i"), (F.col("id") * RASTER_LON[1] + RASTER_LON[0]).alias("lon"))
+    return lat, lon
 
 
 def read_netcdf(spark: SparkSession, path: str | Sequence[str], variables: Sequence[str] = (), nan_missing: bool = False, **options) -> DataFrame:
@@ -138,30 +82,31 @@ def read_netcdf(spark: SparkSession, path: str | Sequence[str], variables: Seque
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 f = ClassicFile(content)
-                for v, (ids, attrs, kind, _, _) in f.variables.items():
-                    if kind == 2 or wanted and v not in wanted:
+                for v in f.numeric():
+                    if wanted and v not in wanted:
                         continue
+                    _, attrs, kind, _, _ = f.variables[v]
                     data = f.read(v).astype(np.float64)
                     fill = attrs.get("_FillValue", attrs.get("missing_value"))
                     if nan_missing and fill not in (None, ""):
                         data = np.where(data == float(fill), np.nan, data)
-                    dims = [f.dims[i][0] for i in ids]
-                    kinds = {1: "byte", 3: "short", 4: "int", 5: "float", 6: "double"}
-                    yield tile_rows([tile(name, v, data, dims, kinds[kind], {**f.attrs, **attrs, "SOURCE": name})])
+                    yield tile_rows([tile(name, v, data, f.dim_names(v), NETCDF_NAMES[kind], {**f.attrs, **attrs, "SOURCE": name})])
 
     return files(spark, path, **options).select("path", "content").mapInArrow(decoded, TILES)
 
 
-def variable_names(tiles: DataFrame) -> DataFrame:
-    return tiles.select("dataset", "variable").distinct()
+def random_dataset(spark: SparkSession, name: str, variables: dict[str, Sequence[int]], attrs: dict[str, str] | None = None) -> DataFrame:
+    """A dataset of variables of uniform numbers from 0 to 300, fixed by their names; dimensions are called
+    after the variable with _u, _v, ... _z."""
+    rows = spark.createDataFrame([(v, [int(k) for k in shape]) for v, shape in variables.items()], "variable string, shape array<int>")
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v, shape in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.random.default_rng(list(v.encode())).random(shape) * 300.0
+                yield tile_rows([tile(name, v, data, [f"{v}_{x}" for x, _ in zip("uvwxyz", shape, strict=False)], attrs=attrs)])
 
-def axis_name(names: Sequence[str], known: Sequence[str]) -> str:
-    """The variable or dimension that is an axis, by the names that it goes by."""
-    for n in names:
-        if n.lower() in known:
-            return n
-    raise ValueError(f"none of {list(names)} is one of {list(known)}")
+    return rows.mapInArrow(made, TILES)
 
 
 def random_grids(spark: SparkSession, uris: Sequence[str], shape: tuple[int, int] = (20, 20), variable: str = "randVar", discs: Sequence[float] = (340.0, 7000.0, 24000.0), radius: float = 3.0) -> DataFrame:
@@ -200,6 +145,13 @@ def by_folder(spark: SparkSession, path: str, **options) -> DataFrame:
     return found.withColumn("folder", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).repartition("folder")
 
 
+def uri_groups(uris: DataFrame, size: int, uri: str = "uri") -> DataFrame:
+    """``group`` of each URI: ``size`` of them to a group, in order. 1 puts each into its own."""
+    from pyspark.sql import Window
+
+    return uris.withColumn("group", F.floor((F.row_number().over(Window.orderBy(uri)) - 1) / size).cast("long"))
+
+
 def grouped_uris(uris: Sequence[str], partitions: int) -> list[list[str]]:
     """URIs in groups of (n + partitions) / partitions, as a source's partitions."""
     size = max(1, (len(uris) + partitions) // max(1, partitions))

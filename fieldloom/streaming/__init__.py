@@ -1,0 +1 @@
+"""Streaming forms of frame building and pairing."""

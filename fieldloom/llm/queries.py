@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from fieldloom.llm import embed_dup, fingerprint, lattice, mixing, near_dup, packing, quality, sharding, substring, token_count
 
 
@@ -58,6 +57,14 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_fingerprints, op4_mixing, op5_substring_removal, op6_sharding, op7_near_duplicates, op8_quality, op9_near_vectors, op10_lattice_scores)}
 
-QUERIES["pipeline"] = corpus_pipeline.run
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports the operators itself
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,16 +1,23 @@
 """Operator 10: language-model scores by subword lattice likelihood.
 
 A text is its words and one end. Each word, with a mark before it, is a lattice: an arc for
-every stretch that the existing vocabulary has, and arcs of bytes for letters that it lacks. A
-segmentation weighs the product of its arcs' piece probabilities; the word's probability is the
-sum over all segmentations, by forward recursion in log space, and the text's is the product
-over words and the end. Pieces start at weights by their rank in the vocabulary, and rounds of
-expectation maximisation fit them to the distinct training words, as new words are like those
-rather than like frequent ones. A word seen in training is also an arc
-of its own, weighed by its share of the training words of the text's class (the most frequent
-values of ``class_col``; the others are one class), and with NEAR of that mass by its share of
-all; the class is a hidden choice too, and the text's probability is summed over it. The pieces
-get the share of words that are new, estimated by the words seen once.
+every stretch that the existing vocabulary has, arcs of bytes for letters that it lacks, and one
+arc over the whole word if training rows have it. A segmentation weighs the product of its arcs'
+probabilities; the word's probability is the sum over all segmentations, by forward recursion in
+log space (the whole word's arc enters at the last node), and the text's is the product over
+words and the end. A word that training rows lack has its pieces' segmentations alone.
+
+Pieces start at weights by the vocabulary's own scores. These are merge ranks, 0, -1, -2, ..., not
+log probabilities, so a score s gives the weight 1 / (RANK - s). ``rounds`` of expectation
+maximisation fit the pieces to the distinct training words, as new words are like those rather
+than like frequent ones. All pieces together have the mass of words that are new, estimated by the
+words seen once; the others share the rest by their counts.
+
+Two things go beyond a plain unigram vocabulary, as the README says with figures: the arcs of whole
+words, and classes. A whole word weighs its share of the training words of the text's class (the
+most frequent values of ``class_col``; the others are one class), and with NEAR of that mass its
+share of all; the class is a hidden choice too, and the text's probability is summed over it.
+``class_col=None`` and ``whole_words=False`` leave them out.
 
 Documents are cut into blocks of bounded size; a block is the list of its distinct words and
 each document's words as numbers into that list. Only distinct words are counted, joined and
@@ -43,71 +50,87 @@ MARK = "▁"
 BLOCK_BYTES, STEP_WORDS = 32 << 20, 20_000
 #: Part of the seen words' mass that is shared out by counts over all classes.
 NEAR = 0.03
+#: Added to ranks, so that the first pieces don't have all the weight.
+RANK = 10.0
+#: Bits of a code point beside a trie's node.
+POINT = 21
 
 
 class Pieces:
-    """The vocabulary's pieces as numbers, with all their beginnings (as -1). Two numbers more
-    stand for a byte and for the end."""
+    """The vocabulary's pieces as numbers, and a trie of their letters: the child of a node by a letter is
+    found in one sorted array. Two numbers more stand for a byte and for the end."""
 
-    def __init__(self, path: str):
+    def __init__(self, names: list[str], scores: list[float]):
+        self.names, self.size = names, len(names)
+        self.byte, self.end = self.size, self.size + 1
+        self.scores = np.array(scores, np.float64)
+        child: dict[tuple[int, int], int] = {}
+        piece = [-1]
+        for number, name in enumerate(names):
+            node = 0
+            for c in map(ord, name):
+                node = child.setdefault((node, c), len(piece))
+                if node == len(piece):
+                    piece.append(-1)
+            piece[node] = number
+        keys = np.array([node << POINT | c for node, c in child], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child, self.piece = keys[order], np.array([*child.values()], np.int64)[order], np.array(piece, np.int64)
+
+    @classmethod
+    def of_file(cls, path: str) -> Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
-        self.size = len(names)
-        self.byte, self.end = self.size, self.size + 1
-        self.number = {}
-        for i, name in enumerate(names):
-            for k in range(1, len(name)):
-                self.number.setdefault(name[:k], -1)
-            self.number[name] = i
+        numbers = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+        return cls([model.id_to_piece(i) for i in numbers], [model.get_score(i) for i in numbers])
 
     def start(self) -> np.ndarray:
-        """Natural logs of the starting weights, falling with the rank."""
-        w = 1.0 / (np.arange(self.size + 2) + 10.0)
-        w[self.byte], w[self.end] = w[100], w[100]
+        """Natural logs of the starting weights; a byte and the end weigh as much as the hundredth piece."""
+        w = np.append(1.0 / (RANK - np.minimum(self.scores, 0.0)), [1.0 / (RANK + 100)] * 2)
         return np.log(w / w.sum())
 
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The children of nodes by letters; -1 where there is none."""
+        keys = node << POINT | letter
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.child[at], -1)
+
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """``(begin, end, piece, times)`` of all arcs, nodes numbered through all words, and the last
         node of each word."""
-        place, piece, letters, last = [], [], [], []
-        number, node = self.number.get, 0
-        add, put = place.append, piece.append
-        for word in words:
-            s = MARK + word
-            n = len(s)
-            for i in range(n):
-                k = number(s[i])
-                if k is None or k < 0:
-                    letters.append((len(place), len(s[i].encode("utf-8"))))
-                    add((node + i) * 128 + 1)
-                    put(self.byte)
-                    if k is None:
-                        continue
-                else:
-                    add((node + i) * 128 + 1)
-                    put(k)
-                for j in range(i + 2, n + 1):
-                    k = number(s[i:j])
-                    if k is None:
-                        break
-                    if k >= 0:
-                        add((node + i) * 128 + j - i)
-                        put(k)
-            node += n
-            last.append(node)
-            node += 1
-        begin, length = np.divmod(np.array(place, np.int64), 128)
-        times = np.ones(len(place), np.int64)
-        if letters:
-            times[[x for x, _ in letters]] = [x for _, x in letters]
-        return begin, begin + length, np.array(piece, np.int64), times, np.array(last, np.int64)
+        letters = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(lengths)
+        word = np.repeat(np.arange(len(words)), lengths)
+        place, length = np.arange(len(letters)), 0
+        node = np.zeros(len(letters), np.int64)
+        begins, sizes, pieces = [], [], []
+        while len(place):
+            node = self.step(node, letters[place + length])
+            length += 1
+            found = self.piece[np.maximum(node, 0)]
+            whole = (node >= 0) & (found >= 0)
+            begins.append(place[whole])
+            sizes.append(np.full(whole.sum(), length))
+            pieces.append(found[whole])
+            if length == 1:  # letters that aren't pieces are bytes
+                bare = place[~whole]
+                begins.append(bare)
+                sizes.append(np.ones(len(bare), np.int64))
+                pieces.append(np.full(len(bare), self.byte))
+            on = (node >= 0) & (place + length < ends[word[place]])
+            place, node = place[on], node[on]
+        begin, size, piece = np.concatenate(begins), np.concatenate(sizes), np.concatenate(pieces)
+        point = letters[begin]
+        times = np.where(piece == self.byte, 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF), 1)
+        node = begin + word[begin]  # every word has a node more than letters
+        return node, node + size, piece, times, ends + np.arange(len(words))
 
 
 @lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
-    return Pieces(path)
+    return Pieces.of_file(path)
 
 
 def recursion(begin: np.ndarray, end: np.ndarray, value: np.ndarray, step: np.ndarray, total: np.ndarray) -> None:
@@ -206,7 +229,7 @@ def class_number(docs: DataFrame, class_col: str | None, most: int) -> tuple[lis
     return [r["n"] for r in top], number
 
 
-def score(docs: DataFrame, vocabulary: str, rounds: int = 2, class_col: str | None = "lang", most_classes: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, rounds: int = 3, class_col: str | None = "lang", most_classes: int = 7, whole_words: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; logs are decimal."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     sizes, number = class_number(docs.where(~held), class_col, most_classes)
@@ -245,12 +268,13 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 2, class_col: str | No
             out, _ = word_scores(batch.column(0).to_pylist(), known, logs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out)], ["word", "n", "c", "log_p"])
 
-    new = min(1.0, (train[2] + 1) / (total + 2))
+    new = min(1.0, (train[2] + 1) / (total + 2)) if whole_words else 1.0
     near = (1 - new) * NEAR if classes > 1 else 0.0
     own = 1 - new - near
 
     def mixed(log_p: np.ndarray, n: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Log probability of words in each class, from pieces, class and all."""
+        """Log probability of words in each class: the last step of the recursion, where the arc of the whole
+        word, by class and all, meets the pieces' segmentations."""
         arcs = own * n / np.maximum(class_total, 1) + near * c[:, None] / max(total, 1)
         with np.errstate(divide="ignore"):
             return np.logaddexp(math.log(new) + log_p[:, None], np.log(arcs))

@@ -337,13 +337,16 @@ def test_near_vectors_of_a_large_table(spark, tmp_path):
     assert got["n_links"].to_pylist() == counts and got["component_id"].to_pylist() == label
 
 
+def small_pieces():
+    names = [lattice.MARK, "a", "b", "ab", lattice.MARK + "a", "ba", "abb"]
+    return lattice.Pieces(names, [0.0, -1.0, -2.0, -3.0, -4.0, -5.0, -6.0])
+
+
 def test_lattice_sums_over_segmentations():
-    pieces = lattice.Pieces.__new__(lattice.Pieces)
-    names = [lattice.MARK, "a", "b", "ab", lattice.MARK + "a"]
-    pieces.size, pieces.byte, pieces.end = len(names), len(names), len(names) + 1
-    pieces.number = {n: i for i, n in enumerate(names)}
-    p = np.array([0.2, 0.1, 0.15, 0.25, 0.1, 0.1, 0.1])
-    scores, expected = lattice.word_scores(["ab", "", "é", "a" * 400], pieces, np.log(p), np.array([1.0, 0.0, 0.0, 0.0]))
+    pieces = small_pieces()
+    p = np.array([0.2, 0.1, 0.15, 0.25, 0.1, 0.0, 0.0, 0.1, 0.1])
+    with np.errstate(divide="ignore"):
+        scores, expected = lattice.word_scores(["ab", "", "é", "a" * 400], pieces, np.log(p), np.array([1.0, 0.0, 0.0, 0.0]))
     by_hand = 0.2 * 0.1 * 0.15 + 0.2 * 0.25 + 0.1 * 0.15
     assert np.exp(scores[0]) == pytest.approx(by_hand) and np.exp(scores[1]) == pytest.approx(0.2)
     assert np.exp(scores[2]) == pytest.approx(0.2 * (0.1 / 256) ** 2)
@@ -351,6 +354,67 @@ def test_lattice_sums_over_segmentations():
     assert expected[3] == pytest.approx(0.2 * 0.25 / by_hand)
 
 
+def segmentations(s, names):
+    """All ways to cut ``s`` into pieces, letters that aren't pieces as bytes."""
+    if not s:
+        return [[]]
+    heads = [s[:n] for n in range(1, len(s) + 1) if s[:n] in names]
+    if s[0] not in names:
+        heads.append(s[0].encode())
+    return [[head, *rest] for head in heads for rest in segmentations(s[len(head.decode() if isinstance(head, bytes) else head) :], names)]
+
+
+@pytest.mark.parametrize(("rounds", "classes", "whole"), [(0, None, True), (2, "lang", True), (3, None, False)])
+def test_documents_against_all_segmentations(spark, monkeypatch, rounds, classes, whole):
+    """The whole model by listing segmentations: starting weights, rounds of fitting, whole words, classes."""
+    import math
+    import zlib
+
+    pieces = small_pieces()
+    monkeypatch.setattr(lattice, "pieces_of", lambda path, pieces=pieces: pieces)
+    texts = ["ab ba", "ab abb a", "é ab", "ba ba abba", "", None, "b aab", "ab", "babab é"]
+    rows = [(i, texts[i % len(texts)], ["en", "de", None][i % 3]) for i in range(30)]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _, _ in rows}
+    assert 2 < sum(held.values()) < 20
+    names = pieces.names
+    weight = {n: 1 / (lattice.RANK - s) for n, s in zip(names, pieces.scores, strict=True)} | {"byte": 1 / (lattice.RANK + 100), "end": 1 / (lattice.RANK + 100)}
+    prob = {n: w / sum(weight.values()) for n, w in weight.items()}
+
+    def of(cut):
+        return math.prod((prob["byte"] / 256) ** len(x) if isinstance(x, bytes) else prob[x] for x in cut)
+
+    train = [(t or "").split() for i, t, _ in rows if not held[i]]
+    kinds = sorted({w for t in train for w in t})
+    for _ in range(rounds):
+        counts = dict.fromkeys(prob, 0.0) | {"end": 1.0}
+        for w in kinds:
+            cuts = [(c, of(c)) for c in segmentations(lattice.MARK + w, names)]
+            for c, q in cuts:
+                for x in c:
+                    counts["byte" if isinstance(x, bytes) else x] += q / sum(q for _, q in cuts) * (len(x) if isinstance(x, bytes) else 1)
+        prob = {n: (counts[n] + 0.1) / (sum(counts.values()) + 0.1 * len(prob)) for n in prob}
+    langs = {i: x for i, _, x in rows}
+    groups = ["de", "en", None] if classes else [None]
+    kind_of = {i: langs[i] if classes else None for i in langs}
+    by = {g: Counter(w for i, t, _ in rows if not held[i] and kind_of[i] == g for w in [*(t or "").split(), "</s>"]) for g in groups}
+    every = Counter()
+    for c in by.values():
+        every.update(c)
+    n_docs = {g: sum(not held[i] and kind_of[i] == g for i in held) for g in groups}
+    new = (sum(c == 1 for w, c in every.items() if w != "</s>") + 1) / (every.total() + 2) if whole else 1.0
+    near = (1 - new) * lattice.NEAR if classes else 0.0
+
+    def word(w, g):
+        lone = prob["end"] if w == "</s>" else sum(map(of, segmentations(lattice.MARK + w, names)))
+        return new * lone + (1 - new - near) * by[g][w] / max(1, by[g].total()) + near * every[w] / every.total()
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.score for r in lattice.score(docs, "", rounds=rounds, class_col=classes, whole_words=whole).collect()}
+    for i, t, _ in rows:
+        total = sum((n_docs[g] + 0.5) * math.prod(word(w, g) for w in [*(t or "").split(), "</s>"]) for g in groups)
+        assert got[i] == pytest.approx(math.log10(total / sum(n_docs[g] + 0.5 for g in groups)))
+
+
 def test_lattice_scores(spark):
     import math
     import zlib

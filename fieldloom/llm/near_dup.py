@@ -6,18 +6,25 @@ parities: two bitmaps differ in about 256 (1 - exp(-d / 256)) of their 512 bits
 values differ, so the count of differing bits tells apart at a few instructions a pair what the
 bands let through. What passes is confirmed on the full sets.
 
-No bucket is expanded into pairs. Every member is compared with the bucket's leader; pairs that
-pass make families. Members whose leader is of another family are compared across families, and
-what passes merges them, so every pair that shares a band and passes lies inside one family. A
-family's full sets then meet in blocks: one set is marked and counted in all sets of the other
-block at once, and only a spanning forest of the confirmed links leaves. A document's set is
-sent once for each block of its family, and no pair is written.
+Every member of a bucket is compared with the bucket's leader; pairs that pass make families.
+Where members are left whose family is not the leader's, one of them leads in a further round, for
+LEADER_ROUNDS rounds, each a row a member. What is left then (buckets of many that are not
+alike) is compared in blocks of bitmaps, from which only pairs of families leave. So every pair
+that shares a band and passes lies inside one family.
+
+A family's full sets then meet in blocks: a set is marked and counted in all sets of the block
+at once, and only a spanning forest of the confirmed links leaves. A family of several blocks
+sends some of its members, the LEADERS, to all of them, which as a rule ties the blocks together;
+only members that are not tied to the family's first go on to meet every block. No pair is
+written at any stage.
 
 With 28 bands of 4, a pair at similarity 0.8 shares no band with probability 4e-7; the bound on
 differing bits lies six deviations beyond that similarity.
 
 Cases: null texts and texts without words are linked with nothing; a text of fewer words than a
-shingle is one shingle; rows that repeat an id share its component; an empty table gives no
+shingle is one shingle; equal texts have one component whatever their ids, named by the smallest
+id reachable; two texts that go by one smallest id are one node; a null id names none: such a row
+has its text's component, or null if no id reaches it, and then stays; an empty table gives no
 rows; other columns are not read.
 """
 
@@ -40,8 +47,14 @@ SAMPLES = BANDS * PER_BAND
 MOST_BITS = 84
 FACTORS = odd_numbers(71, SAMPLES)[:, None]
 BLOCK = 4096
-#: Sets in a block of a family.
-BLOCK_SETS = 512
+#: Sets in a block of a family, and bitmaps in a block of a bucket.
+BLOCK_SETS, BLOCK_BITMAPS = 512, 2048
+#: Rounds in which members of a bucket that aren't alike the leader get one of their own.
+LEADER_ROUNDS = 2
+#: Members of a family that all of its blocks get.
+LEADERS = 16
+#: Ids up to which a table of them is sent to all tasks, at 24 bytes each.
+SENT_IDS = 500_000
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -128,35 +141,114 @@ def linked(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, same:
     return out
 
 
-def links_within(families: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Links ``a, b`` that connect all pairs of similar full sets within each family (``id, family``).
-    A family's sets meet in pairs of blocks of BLOCK_SETS; each block pair is one group."""
-    hundredths = round(threshold * 100)
-    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    placed = families.join(save(blocks, "near-blocks"), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = placed.withColumn("pairs", F.transform(other, lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"))))
-    texts = docs.join(placed.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "family", "block", "pairs")
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``text`` beside the columns of ``ids`` (``id, ...``), of which there are few enough to send, or else by a
+    shuffle."""
+    few = ids.count() <= SENT_IDS
+    return docs.withColumnRenamed("doc_id", "id").join(F.broadcast(ids) if few else ids, "id")
+
+
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """``shingles`` in place of the text."""
+    others = [c for c in texts.columns if c != "text"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                offsets, codes, distinct = words_of(batch.column(1), lower=True)
+                offsets, codes, distinct = words_of(batch.column(0), lower=True)
                 h = hashes_of(distinct)[codes]
                 out = [shingle_set(h[a:b], shingle).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *batch.columns[2:]], ["id", "shingles", "family", "block", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *batch.columns[1:]], ["shingles", *others])
 
-    found = texts.mapInArrow(lean(sets), "id long, shingles binary, family long, block int, pairs array<struct<p:int,q:int>>")
-    found = found.select("id", "shingles", "family", "block", F.explode("pairs").alias("pair")).select("id", "shingles", "family", "block", "pair.p", "pair.q")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*others).schema.fields)
+    return texts.select("text", *others).mapInArrow(lean(sets), f"shingles binary, {kinds}")
+
+
+def links_within(families: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links ``a, b`` that connect all pairs of similar full sets within each family (``id, family``)."""
+    hundredths = round(threshold * 100)
 
     def compared(group: pa.Table) -> pa.Table:
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
-        pairs = linked([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], np.flatnonzero(block == p), np.flatnonzero(block == q), p == q, hundredths)
+        ids, first, second = (group.column(c).to_numpy() for c in ("id", "first", "second"))
+        first, second = np.flatnonzero(first), np.flatnonzero(second)
+        pairs = linked([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], first, second, len(first) == len(second) == len(ids), hundredths)
         ends = [[int(ids[k]) for k in side] for side in ([i for i, _ in pairs], [j for _, j in pairs])]
         return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
 
-    return found.groupBy("family", "p", "q").applyInArrow(compared, "a long, b long")
+    def links(places: DataFrame) -> DataFrame:
+        """Of ``id, family, at``: ``at`` are the groups ``(p, q)`` that the set goes to, and its sides there."""
+        sent = sets_of(chosen(docs, places), shingle).select("id", "family", "shingles", F.explode("at").alias("at")).select("id", "family", "shingles", "at.*")
+        return sent.groupBy("family", "p", "q").applyInArrow(compared, "a long, b long")
+
+    def place(p, q, first: bool, second: bool) -> Column:
+        return F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(first).alias("first"), F.lit(second).alias("second"))
+
+    leads = [F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(1, LEADERS)]
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"), F.array_distinct(F.array(F.min("id"), *leads)).alias("leaders"))
+    sizes = save(sizes.select("family", "blocks", F.when(F.col("blocks") > 1, F.col("leaders")).otherwise(F.array().cast("array<long>")).alias("leaders")), "near-blocks")
+    placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    at = F.when(F.array_contains("leaders", F.col("id")), F.transform(every, lambda b: place(b, b, True, True))).otherwise(F.array(place(F.col("block"), F.col("block"), True, True)))
+    found = save(links(placed.select("id", "family", at.alias("at"))), "near-links")
+
+    large = save(placed.where("blocks > 1").select("id", "family", "blocks", "block"), "near-large")
+    if large.isEmpty():
+        return found
+    tied = save(components(found), "near-tied").withColumnRenamed("node", "id")
+    large = save(large.join(tied, "id", "left").withColumn("loose", F.coalesce("component", "id") != F.col("family")), "near-large")  # a family is named by its first member
+    loose = save(large.groupBy("family").agg(F.count_if("loose").alias("n")).where("n > 0").select("family", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("others")), "near-loose")
+    rows = large.join(loose, "family").withColumn("other", F.pmod(F.xxhash64("id", F.lit(3)), F.col("others")).cast("int"))
+    as_first = F.when(F.col("loose"), F.transform(every, lambda q: place(F.col("other"), q, True, False))).otherwise(F.array().cast("array<struct<p:int,q:int,first:boolean,second:boolean>>"))
+    as_second = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda p: place(p, F.col("block"), False, True))
+    rows = rows.select("id", "family", F.concat(as_first, as_second).alias("at"))
+    return found.unionByName(save(links(rows), "near-links"))
+
+
+def apart_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: families that a pair of likely alike members of a bucket (``band, id, c, n, sketch``) joins. The
+    bitmaps of large buckets meet in pairs of blocks."""
+    blocks = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_BITMAPS).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = F.transform(other, lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
+    placed = placed.select("band", "block", "c", "n", "sketch", F.explode(pairs).alias("at")).select("band", "at.p", "at.q", "block", "c", "n", "sketch")
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if kept is None else pa.concat_tables([kept, table]).combine_chunks()
+            keys = np.stack([table.column(k).to_numpy() for k in ("band", "p", "q")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            kept = table.slice(last)
+            yield families(table, [0, *cuts])
+        if kept is not None:
+            yield families(kept, [0, kept.num_rows])
+
+    def families(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        block, c, n, p = (table.column(k).to_numpy() for k in ("block", "c", "n", "p"))
+        bits = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64) if table.num_rows else np.zeros((0, BITS // 64), np.uint64)
+        out = [np.zeros((0, 2), np.int64)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if (c[low:high] == c[low]).all():
+                continue
+            inside = np.arange(low, high)
+            first = inside[block[low:high] == p[low]] if (block[low:high] != p[low]).any() else inside
+            second = inside if len(first) == len(inside) else inside[block[low:high] != p[low]]
+            step = max(1, (1 << 18) // len(second))
+            for k in range(0, len(first), step):
+                i = first[k : k + step, None]
+                near = (c[i] != c[second]) & (np.minimum(n[i], n[second]) >= np.maximum(n[i], n[second]) * (threshold - 1e-9))
+                a, b = np.nonzero(near)
+                a, b = first[k + a], second[b]
+                ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+                out.append(np.unique(np.sort(np.stack((c[a[ok]], c[b[ok]]), axis=1), axis=1), axis=0))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    parts = placed.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return parts.mapInArrow(lean(crossed), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,17 +277,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, i
     family = save(components(passed), "near-families")
 
     # likely pairs of a bucket that its leader doesn't bring into one family
-    of = members.where("members > 2 and id != leader").join(family.withColumnRenamed("node", "id"), "id", "left")
-    of = of.join(family.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left")
-    of = save(of.select("band", "id", F.coalesce("component", "id").alias("c"), F.coalesce("lc", "leader").alias("lc")), "near-open")
-    outside = of.where("c != lc")
-    inside = of.join(outside.select("band").distinct(), "band", "left_semi")
-    p, q = (x.join(sketches, "id").alias(name) for x, name in ((outside, "p"), (inside, "q")))
-    apart = (F.col("p.c") != F.col("q.c")) & ((F.col("q.c") == F.col("q.lc")) | (F.col("p.id") < F.col("q.id")))
-    crossed = p.join(q, (F.col("p.band") == F.col("q.band")) & apart & alike("p", "q", threshold))
-    crossed = save(crossed.select(F.col("p.c").alias("a"), F.col("q.c").alias("b")).distinct(), "near-crossed")
-    if not crossed.isEmpty():
-        family = save(components(passed.unionByName(crossed)), "near-families")
+    open_ = members.where("members > 2 and id != leader").select("band", "id", "leader")
+    for turn in range(LEADER_ROUNDS + 1):
+        of = open_.join(family.withColumnRenamed("node", "id"), "id", "left")
+        of = of.join(family.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left")
+        of = of.select("band", "id", F.coalesce("component", "id").alias("c"), F.coalesce("lc", "leader").alias("lc"))
+        outside = save(of.where("c != lc"), "near-outside")
+        if outside.isEmpty():
+            break
+        left = outside.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)), "id"))["id"].alias("leader"))
+        inside = save(of.join(left, "band"), "near-open")
+        if turn == LEADER_ROUNDS:
+            crossed = apart_in_buckets(inside.join(sketches, "id").select("band", "id", "c", "n", "sketch"), threshold)
+        else:
+            leaders = outside.select("band", F.col("id").alias("leader"), F.col("c").alias("lead_c"))
+            pairs = inside.join(leaders, ["band", "leader"]).where("c != lead_c").select("id", "leader", "c", "lead_c").distinct()
+            pairs = pairs.join(sketches.withColumnRenamed("id", "pid").alias("p"), F.col("id") == F.col("pid")).join(sketches.withColumnRenamed("id", "qid").alias("q"), F.col("leader") == F.col("qid"))
+            crossed = pairs.where(alike("p", "q", threshold)).select(F.col("c").alias("a"), F.col("lead_c").alias("b")).distinct()
+        crossed = save(crossed, "near-crossed")
+        if not crossed.isEmpty():
+            passed = passed.unionByName(crossed)
+            family = save(components(passed), "near-families")
+        open_ = inside.where("id != leader").select("band", "id", "leader")
     links = save(links_within(family.select(F.col("node").alias("id"), F.col("component").alias("family")), docs, shingle, threshold), "near-links")
     joined = save(components(links), "near-joined")
 
@@ -204,4 +307,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, i
     of_key = save(of_key, "near-keys")
     rows = signed.select("doc_id", "n", "k1", "k2").join(of_key, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -126,6 +126,8 @@ def brute_components(sets, hundredths=80):
 
     for k, a in enumerate(ids):
         for b in ids[:k]:
+            if 100 * min(len(sets[a]), len(sets[b])) < hundredths * max(len(sets[a]), len(sets[b])):
+                continue
             common = len(sets[a] & sets[b])
             if sets[a] and sets[b] and 100 * common >= hundredths * len(sets[a] | sets[b]):
                 p, q = find(a), find(b)
@@ -145,23 +147,56 @@ def test_near_duplicates(spark):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], r.doc_id == want[r.doc_id])
 
 
-def test_near_duplicates_groups_and_cases(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_SETS", 16)
-    rng = np.random.default_rng(5)
-    base = [f"v{i}" for i in range(60)]
+def chain_of_edits(n, length, seed):
+    """Texts of which neighbours are alike and ends are not."""
+    rng = np.random.default_rng(seed)
+    base = [f"v{seed}x{i}" for i in range(length)]
+    for i in range(n):
+        base[rng.integers(length)] = f"n{seed}x{i}"
+        yield " ".join(base)
+
+
+@pytest.mark.parametrize(("block", "leaders", "rounds", "bitmaps"), [(512, 16, 2, 2048), (16, 4, 0, 8), (16, 2, 1, 2048)])
+def test_near_duplicates_groups_and_cases(spark, monkeypatch, block, leaders, rounds, bitmaps):
+    for name, value in (("BLOCK_SETS", block), ("LEADERS", leaders), ("LEADER_ROUNDS", rounds), ("BLOCK_BITMAPS", bitmaps)):
+        monkeypatch.setattr(near_dup, name, value)
     rows = [*{r[0]: r for r in awkward(4)}.values()]
-    for i in range(60):  # a chain of edits: neighbours are alike, ends are not
-        base[rng.integers(60)] = f"n{i}"
-        rows.append((5000 + i, " ".join(base), "en", "s", 1, "", ""))
+    rows += [(5000 + 100 * k + i, t, "en", "s", 1, "", "") for k, (n, length) in enumerate(((60, 60), (40, 30), (50, 200))) for i, t in enumerate(chain_of_edits(n, length, k))]
     sets = {r[0]: shingles(r[1], 5) for r in rows}
     want = brute_components(sets)
     got = near_dup.near_duplicates(frame(spark, rows)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
-    repeated = [*rows, rows[5], (None, "some words here", None, None, None, None, None)]
-    assert len(near_dup.near_duplicates(frame(spark, repeated)).collect()) == len(repeated)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    """Equal texts have one component whatever their ids; a null id names none."""
+    one, other = "a b c d e f g h", "q r s t u v w x"
+    rows = [(1, one), (1, one), (2, one), (3, other), (3, one), (4, other), (None, one), (None, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(docs).collect()
+    want = [(1, 4, 1, True)] * 2 + [(2, 4, 1, False), (3, 4, 1, False), (3, 4, 3, True), (4, 4, 3, False), (None, 4, 1, False), (None, 0, None, True), (5, 0, 5, True)]
+    assert Counter(tuple(r) for r in got) == Counter(want)
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        near_dup.near_duplicates(frame(spark, rows), threshold=0.5)
+        near_dup.near_duplicates(docs, threshold=0.5)
+
+
+def test_a_bucket_of_many_that_are_not_alike(spark):
+    """10,000 bitmaps in one bucket, of which a few pairs are alike: only those families meet."""
+    rng = np.random.default_rng(8)
+    bits = rng.integers(-(2**63), 2**63 - 1, (10_000, 8))
+    bits[5000:5010] = bits[:10]
+    rows = spark.createDataFrame([(7, i, i, 100, [int(x) for x in r]) for i, r in enumerate(bits)], "band long, id long, c long, n long, sketch array<long>")
+    got = sorted((r.a, r.b) for r in near_dup.apart_in_buckets(rows, 0.8).collect())
+    assert got == [(i, 5000 + i) for i in range(10)]
+
+
+@pytest.mark.parametrize(("table", "shingle"), [("sf0.01", 2), ("sf0.01", 5)])
+def test_near_duplicates_of_a_table(spark, table, shingle):
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    sets = {r.doc_id: shingles(r.text, shingle) for r in docs.collect()}
+    want = brute_components(sets)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, shingle=shingle).collect()} == want
 
 
 def test_sketch_bits_follow_similarity():

@@ -242,6 +242,37 @@ def test_samples_agree_as_weighted_sets_do():
     assert abs(np.mean(shares) - np.mean(truth)) < 0.03
 
 
+def test_samples_by_the_formulas():
+    """The chosen terms, by the formulas in double precision, one term and sample at a time."""
+    import math
+
+    def scrambled(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & (2**64 - 1)
+        return x ^ (x >> 32)
+
+    def uniform(x, low, bits):
+        return (((x >> low) & (2**bits - 1)) + 0.5) / 2**bits
+
+    rng = np.random.default_rng(12)
+    h = np.sort(rng.integers(0, 2**63, 150, dtype=np.uint64))
+    w = rng.integers(1, 9, 150)
+    chosen = []
+    for factor in fingerprint.FACTORS:
+        best = (math.inf, 0)
+        for term, weight in zip(h.tolist(), w.tolist(), strict=True):
+            one = scrambled(term * int(factor) & (2**64 - 1))
+            two = scrambled((one + int(fingerprint.SECOND)) & (2**64 - 1))
+            r = -math.log(uniform(one, 32, 32) * uniform(one, 0, 32))
+            c = -math.log(uniform(two, 43, 21) * uniform(two, 22, 21))
+            b = uniform(two, 0, 22)
+            level = math.floor(math.log(weight) / r + b)
+            best = min(best, (math.log(c) - r * (level - b) - r, term, weight, level))
+        chosen.append(best)
+    number = [min(scrambled((t + lv % 2**64 * int(fingerprint.SECOND)) % 2**64) >> 32, 2**32 - 2) for _, t, _, lv in chosen]
+    assert (fingerprint.sample(h, w) == np.array(number, np.uint32)).mean() > 0.96
+
+
 def frequent_and_rare(words, seed):
     """Two texts of about as many words: a third of them frequent shared pairs, the others rare ones of their own."""
     rng = np.random.default_rng(seed)
@@ -281,6 +312,47 @@ def test_fingerprint_cases(spark):
     assert fingerprint.compare_with_next(frame(spark, [])).count() == 0
 
 
+def objective(weights, thresholds, rows, grade):
+    """Log likelihood of the ordered grades less the decay, a row at a time."""
+    import math
+
+    def above(score, k):
+        return 1.0 if k == 0 else 0.0 if k > len(thresholds) else 1 / (1 + math.exp(thresholds[k - 1] - score))
+
+    total = 0.0
+    for features, g in zip(rows, grade, strict=True):
+        score = sum(weights[c] * v for c, v in features.items())
+        total += math.log(max(1e-12, above(score, g) - above(score, g + 1)))
+    return total - quality.DECAY / 2 * float((weights**2).sum())
+
+
+def test_fit_is_the_best_near_and_far():
+    """No step of one parameter, nor of many, makes the fitted model likelier."""
+    rng = np.random.default_rng(6)
+    truth = rng.normal(size=8) * 2
+    rows = [{int(c): float(v) for c, v in zip(rng.choice(8, 3, replace=False), rng.uniform(0.5, 2, 3), strict=True)} for _ in range(160)]
+    scores = np.array([sum(truth[c] * v for c, v in r.items()) for r in rows]) + rng.logistic(size=160)
+    grade = np.digitize(scores, [-1.0, 1.5])
+    flat = [(i, c, v) for i, r in enumerate(rows) for c, v in r.items()]
+    row, col, value = (np.array(x) for x in zip(*flat, strict=True))
+    weights, thresholds = quality.fit(row, col, value, grade, 3, rounds=1500)
+    assert (weights[8:] == 0).all() and thresholds[0] < thresholds[1]
+    best = objective(weights, thresholds, rows, grade)
+    for _ in range(60):
+        w, t = weights.copy(), thresholds.copy()
+        size = rng.choice([0.01, 0.1, 0.5])
+        w[:8] += rng.normal(size=8) * size * (rng.random(8) < 0.4)
+        t += rng.normal(size=2) * size * (rng.random(2) < 0.4)
+        assert objective(w, np.sort(t), rows, grade) <= best + 1e-3
+    assert np.corrcoef(weights[:8], truth)[0, 1] > 0.8
+
+
+def test_grades_of_marks(spark):
+    marks = [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, 1), (5, None, 0), (6, 0, None), (7, 1, None), (8, None, None)]
+    got = {r.doc_id: r.grade for r in quality.graded(spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    assert got == {1: 2, 2: 1, 3: 0, 4: 0, 5: 2, 6: 1, 7: 2, 8: None}
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet")

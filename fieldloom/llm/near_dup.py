@@ -7,10 +7,10 @@ values differ, so the count of differing bits tells apart at a few instructions
 bands let through. What passes is confirmed on the full sets.
 
 Every member of a bucket is compared with the bucket's leader; pairs that pass make families.
-Where members are left whose family is not the leader's, one of them leads in a further round, for
-LEADER_ROUNDS rounds, each a row a member. What is left then (buckets of many that are not
-alike) is compared in blocks of bitmaps, from which only pairs of families leave. So every pair
-that shares a band and passes lies inside one family.
+Where members are left whose family is not the leader's and their bucket is large, one of them
+leads in a further round, for LEADER_ROUNDS rounds, each a row a member. What is left then is
+compared in blocks of bitmaps, from which only pairs of families leave. So every pair that shares a
+band and passes lies inside one family.
 
 A family's full sets then meet in blocks: a set is marked and counted in all sets of the block
 at once, and only a spanning forest of the confirmed links leaves. A family of several blocks
@@ -48,8 +48,9 @@ MOST_BITS = 84
 FACTORS = odd_numbers(71, SAMPLES)[:, None]
 BLOCK = 4096
 #: Sets in a block of a family, and bitmaps in a block of a bucket.
-BLOCK_SETS, BLOCK_BITMAPS = 512, 2048
-#: Rounds in which members of a bucket that aren't alike the leader get one of their own.
+BLOCK_SETS, BLOCK_BITMAPS = 512, 8192
+#: Rounds in which members of a bucket that aren't alike the leader get one of their own, where some
+#: bucket is larger than a block.
 LEADER_ROUNDS = 2
 #: Members of a family that all of its blocks get.
 LEADERS = 16
@@ -164,8 +165,8 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("text", *others).mapInArrow(lean(sets), f"shingles binary, {kinds}")
 
 
-def links_within(families: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Links ``a, b`` that connect all pairs of similar full sets within each family (``id, family``)."""
+def joined_within(families: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """``node, component`` over the links of all pairs of similar full sets within each family (``id, family``)."""
     hundredths = round(threshold * 100)
 
     def compared(group: pa.Table) -> pa.Table:
@@ -189,19 +190,19 @@ def links_within(families: DataFrame, docs: DataFrame, shingle: int, threshold:
     placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     at = F.when(F.array_contains("leaders", F.col("id")), F.transform(every, lambda b: place(b, b, True, True))).otherwise(F.array(place(F.col("block"), F.col("block"), True, True)))
-    found = save(links(placed.select("id", "family", at.alias("at"))), "near-links")
+    tied = save(components(save(links(placed.select("id", "family", at.alias("at"))), "near-links")), "near-tied")
 
-    large = save(placed.where("blocks > 1").select("id", "family", "blocks", "block"), "near-large")
-    if large.isEmpty():
-        return found
-    tied = save(components(found), "near-tied").withColumnRenamed("node", "id")
-    large = save(large.join(tied, "id", "left").withColumn("loose", F.coalesce("component", "id") != F.col("family")), "near-large")  # a family is named by its first member
+    of_large = placed.where("blocks > 1").select("id", "family", "blocks", "block").join(tied.withColumnRenamed("node", "id"), "id", "left")
+    large = save(of_large.withColumn("loose", F.coalesce("component", "id") != F.col("family")), "near-large")  # a family is named by its first member
     loose = save(large.groupBy("family").agg(F.count_if("loose").alias("n")).where("n > 0").select("family", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("others")), "near-loose")
+    if loose.isEmpty():
+        return tied
     rows = large.join(loose, "family").withColumn("other", F.pmod(F.xxhash64("id", F.lit(3)), F.col("others")).cast("int"))
     as_first = F.when(F.col("loose"), F.transform(every, lambda q: place(F.col("other"), q, True, False))).otherwise(F.array().cast("array<struct<p:int,q:int,first:boolean,second:boolean>>"))
     as_second = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda p: place(p, F.col("block"), False, True))
     rows = rows.select("id", "family", F.concat(as_first, as_second).alias("at"))
-    return found.unionByName(save(links(rows), "near-links"))
+    more = links(rows).unionByName(tied.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return save(components(save(more, "near-links")), "near-joined")
 
 
 def apart_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
@@ -277,30 +278,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, i
     family = save(components(passed), "near-families")
 
     # likely pairs of a bucket that its leader doesn't bring into one family
-    open_ = members.where("members > 2 and id != leader").select("band", "id", "leader")
+    open_ = members.where("members > 2 and id != leader").select("band", "id", "leader", "members")
     for turn in range(LEADER_ROUNDS + 1):
         of = open_.join(family.withColumnRenamed("node", "id"), "id", "left")
         of = of.join(family.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left")
-        of = of.select("band", "id", F.coalesce("component", "id").alias("c"), F.coalesce("lc", "leader").alias("lc"))
-        outside = save(of.where("c != lc"), "near-outside")
-        if outside.isEmpty():
+        of = save(of.select("band", "id", F.coalesce("component", "id").alias("c"), F.coalesce("lc", "leader").alias("lc"), "members"), "near-open")
+        left = of.where("c != lc").groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)), "id", "c")).alias("lead"), F.max("members").alias("most"))
+        left = save(left.select("band", F.col("lead.id").alias("leader"), F.col("lead.c").alias("lead_c"), "most"), "near-left")
+        most = left.agg(F.max("most")).first()[0]
+        if most is None:
             break
-        left = outside.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)), "id"))["id"].alias("leader"))
-        inside = save(of.join(left, "band"), "near-open")
-        if turn == LEADER_ROUNDS:
+        inside = of.join(left.drop("most"), "band")
+        last = turn == LEADER_ROUNDS or most <= BLOCK_BITMAPS
+        if last:
             crossed = apart_in_buckets(inside.join(sketches, "id").select("band", "id", "c", "n", "sketch"), threshold)
         else:
-            leaders = outside.select("band", F.col("id").alias("leader"), F.col("c").alias("lead_c"))
-            pairs = inside.join(leaders, ["band", "leader"]).where("c != lead_c").select("id", "leader", "c", "lead_c").distinct()
+            pairs = inside.where("c != lead_c").select("id", "leader", "c", "lead_c").distinct()
             pairs = pairs.join(sketches.withColumnRenamed("id", "pid").alias("p"), F.col("id") == F.col("pid")).join(sketches.withColumnRenamed("id", "qid").alias("q"), F.col("leader") == F.col("qid"))
             crossed = pairs.where(alike("p", "q", threshold)).select(F.col("c").alias("a"), F.col("lead_c").alias("b")).distinct()
         crossed = save(crossed, "near-crossed")
         if not crossed.isEmpty():
             passed = passed.unionByName(crossed)
             family = save(components(passed), "near-families")
-        open_ = inside.where("id != leader").select("band", "id", "leader")
-    links = save(links_within(family.select(F.col("node").alias("id"), F.col("component").alias("family")), docs, shingle, threshold), "near-links")
-    joined = save(components(links), "near-joined")
+        if last:
+            break
+        open_ = inside.where("id != leader").select("band", "id", "leader", "members")
+    joined = joined_within(family.select(F.col("node").alias("id"), F.col("component").alias("family")), docs, shingle, threshold)
 
     of_key = save(nodes.select("k1", "k2", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component")), "near-keys")
     of_key = of_key.groupBy("k1", "k2").agg(F.min("component").alias("component"))

@@ -18,7 +18,7 @@ from fieldloom.plans.tables import new_path, remove, save, shared_dir  # noqa: F
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of text that one vectorised step handles at a time.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ BEGINNINGS = (5, 7)
 #: A shape's value beside a word's 1, and the weight decay.
 SHAPE, DECAY = 8.0, 6.0
 #: Entries of a worker's table of words.
-KEPT = 300_000
+KEPT = 150_000
 #: Entries of the sample that one step of the fit handles, so that its arrays stay small.
 STEP = 1 << 19
 

@@ -1,8 +1,9 @@
 """Feature tracking: pair frames, label connected cells, link overlapping features, follow them.
 
-Only foreground cells are ever shuffled. Labels have two forms that agree: ``label_frames`` runs a
-union-find on each frame's cells in one pass over Arrow groups (frames are independent), and
-``label_cells`` is plain DataFrame rounds for frames too large for one task.
+Only foreground cells are ever shuffled. Labels have three forms that agree: ``label_frames`` runs a
+union-find on each frame's cells in one pass over Arrow groups (frames are independent),
+``label_tiles`` does so tile by tile and joins what touches, for frames too large for one task (from
+some ten million cells), and ``label_cells`` is plain DataFrame rounds.
 """
 
 from __future__ import annotations
@@ -68,6 +69,33 @@ def label_frames(cells: DataFrame, columns: int, keys: Sequence[str] = FRAME) ->
     return kept.groupBy(*keys).applyInArrow(labelled, f"{kinds}, label int")
 
 
+def ranked_roots(rooted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``label`` in place of ``root``: its rank among the frame's roots, a row each."""
+    roots = rooted.select(*keys, "root").distinct()
+    ranks = roots.withColumn("label", F.row_number().over(Window.partitionBy(*keys).orderBy("root")).cast("int"))
+    return rooted.join(ranks, [*keys, "root"]).drop("root")
+
+
+def label_tiles(cells: DataFrame, rows: int, columns: int, tile: tuple[int, int] = (512, 512)) -> DataFrame:
+    """The same for frames too large for one task: cells are labelled tile by tile, and components that touch
+    at the tiles' borders are joined. Only one cell of each component, and border cells, are shuffled again."""
+    of_tile = [F.floor(F.col(f"i{k}") / n).cast("int").alias(f"t{k}") for k, n in enumerate(tile)]
+    frames = frame_ranks(cells).select("frame", (F.col("rank") - 1).alias("__frame"))
+    kept = cells.where("value != 0.0 or isnan(value)").select("frame", "i0", "i1", "value", *of_tile)
+    at = F.col("i0").cast("long") * columns + F.col("i1")
+    local = label_frames(kept, columns, ("frame", "t0", "t1"))
+    first = local.groupBy("frame", "t0", "t1", "label").agg(F.min(at).alias("root"))
+    local = local.join(first, ["frame", "t0", "t1", "label"]).join(F.broadcast(frames), "frame")  # a row a frame
+    local = save(local.select("frame", "i0", "i1", "value", (F.col("__frame") * (rows * columns) + F.col("root")).alias("root")), "label-tiles")
+    row, col = F.col("i0"), F.col("i1")
+    ends = [local.where(e).select("frame", (row + a).alias("i0"), (col + b).alias("i1"), F.col("root").alias("a")) for e, a, b in ((row % tile[0] == tile[0] - 1, 1, 0), (col % tile[1] == tile[1] - 1, 0, 1))]
+    begins = local.where((row % tile[0] == 0) | (col % tile[1] == 0)).select("frame", "i0", "i1", F.col("root").alias("b"))
+    touching = ends[0].unionByName(ends[1].where(col < columns)).join(begins, ["frame", "i0", "i1"]).select("a", "b").distinct()
+    joined = components(touching)
+    rooted = local.join(joined.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("component", "root"))
+    return ranked_roots(rooted.select("frame", "i0", "i1", "value", "root"), FRAME)
+
+
 def label_cells(cells: DataFrame, columns: int, keys: Sequence[str] = FRAME) -> DataFrame:
     """The same by rounds of least-number propagation with shortcuts, without Python."""
     kept = cells.where("value != 0.0 or isnan(value)").select(*keys, "i0", "i1", "value", (F.col("i0") * columns + F.col("i1")).cast("long").alias("at"))
@@ -82,8 +110,8 @@ def label_cells(cells: DataFrame, columns: int, keys: Sequence[str] = FRAME) ->
         changed = fresh.where("new != root").count()
         remove(now)
         now = fresh.select(*keys, "i0", "i1", "at", F.col("new").alias("root"))
-    label = F.dense_rank().over(Window.partitionBy(*keys).orderBy("root"))
-    return kept.drop("at").join(now.select(*keys, "i0", "i1", label.alias("label")), [*keys, "i0", "i1"])
+    labels = ranked_roots(now.select(*keys, "i0", "i1", "root"), keys)
+    return kept.drop("at").join(labels, [*keys, "i0", "i1"])
 
 
 def overlap_edges(labelled: DataFrame) -> DataFrame:

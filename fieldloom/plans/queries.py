@@ -386,6 +386,11 @@ def label_components_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.label_cells(ew.drop_cells(evt(spark, sf_dir), ">=", HOT), GRID[1])
 
 
+@query(f"with {LABELLED} select frame, i0, i1, value, label from lab")
+def label_components_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.label_tiles(ew.drop_cells(evt(spark, sf_dir), ">=", HOT), *GRID, tile=(5, 7)).select("frame", "i0", "i1", "value", "label")
+
+
 @query(f"with {EDGES} select * from edges")
 def overlap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.overlap_edges(hot(spark, sf_dir))

@@ -74,6 +74,9 @@ def test_labels(spark):
     for f in (tr.label_frames, tr.label_cells):
         found = f(data, 4).select("i0", "i1", "label").withColumnRenamed("label", "value")
         assert (grid(found, (5, 4)) == want).all()
+    for tile in ((2, 2), (3, 1), (5, 4), (9, 9)):
+        found = tr.label_tiles(data, 5, 4, tile).select("i0", "i1", "label").withColumnRenamed("label", "value")
+        assert (grid(found, (5, 4)) == want).all()
 
 
 def test_series_statistics(spark):

@@ -27,6 +27,7 @@ def test_token_counts_match_the_library(spark):
     want = Counter((r[0], len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 512) for r in got)
+    assert token_count.count_tokens(frame(spark, []), path).count() == 0
     docs = texts(spark)
     for r in op1_token_counts(spark, SF).collect():
         assert r.n_tokens == len(library.encode(docs[r.doc_id], add_special_tokens=False).ids)

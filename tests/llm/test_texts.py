@@ -106,15 +106,6 @@ def test_substring_index_takes_batches_later(spark, tmp_path):
         substring.WindowIndex(spark, folder + "2", window=3, gram=4)
 
 
-def test_pipeline_keeps_one_text_of_repeated_rows(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
-    docs = docs.unionByName(docs.orderBy("doc_id").limit(3))
-    want = brute_repeats([(r.doc_id, r.text or "") for r in docs.distinct().collect()], corpus_pipeline.PASSAGE)
-    kept = corpus_pipeline.without_repeats(spark, docs, SF).collect()
-    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in docs.collect() if not want[r.doc_id][1] or want[r.doc_id][1] < want[r.doc_id][0])
-    assert all(hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest() == want[r.doc_id][2] for r in kept)
-
-
 def brute_components(sets, hundredths=80):
     ids = sorted(sets)
     root = {i: i for i in ids}
@@ -566,3 +557,68 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
     assert sum(r.start == 0 for r in pieces) == table.count()
     assert max(r.offset + r.length for r in pieces) <= 4096
+
+
+def repeated_rows():
+    """Awkward rows with clashing columns, equal rows, several texts of one id, null ids, and passages that repeat."""
+    rows = awkward(13)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows += [(4000 + i, f"start{i} {passage} end{i} " + " ".join(f"u{i}x{j}" for j in range(120)), "en", f"s{i % 3}", 1, "", "") for i in range(6)]
+    rows += [rows[3], rows[3], (3, rows[9][1], "en", "s", 1, "", ""), (3, "an unrelated text of some words here", "en", "s", 1, "", "")]
+    rows += [(None, rows[4][1], None, None, None, None, None), (None, "a lone text of seven words here", None, None, None, None, None), (None, "a lone text of seven words here", None, None, None, None, None)]
+    return rows
+
+
+def place_of(doc_id, text):
+    """The order of documents: null ids first, then by id; texts of one id by their hash."""
+    return (doc_id is not None, doc_id or 0, hashlib.sha256(text.encode()).hexdigest() if text is not None else "")
+
+
+def test_one_of_each_by_value(spark):
+    rows = repeated_rows()
+    want = {place_of(*r[:2]): r for r in rows}  # equal rows of one id are one document
+    order = {place: n for n, place in enumerate(sorted(want))}
+    group = brute_components({order[p]: shingles(r[1], 5) for p, r in want.items()})
+    kept = Counter((r[0], r[1]) for p, r in want.items() if group[order[p]] == order[p])
+    got = corpus_pipeline.one_of_each(spark, frame(spark, rows), SF)
+    assert got.columns == frame(spark, rows).columns and Counter((r.doc_id, r.text) for r in got.collect()) == kept
+    assert (None, "a lone text of seven words here") in kept and (3, "an unrelated text of some words here") in kept
+    assert corpus_pipeline.one_of_each(spark, frame(spark, []), SF).count() == 0
+
+
+def test_without_repeats_by_value(spark):
+    rows = repeated_rows()
+    want = brute_repeats({place_of(*r[:2]): r[1] or "" for r in rows}.items(), corpus_pipeline.PASSAGE)
+    left = Counter()
+    for r in rows:
+        n, removed, sha = want[place_of(*r[:2])]
+        if not removed or removed < n:
+            left[r[0], sha] += 1
+    got = corpus_pipeline.without_repeats(spark, frame(spark, rows), SF).collect()
+    assert Counter((r.doc_id, hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest()) for r in got) == left
+    assert corpus_pipeline.without_repeats(spark, frame(spark, []), SF).count() == 0
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    """All stages in turn, from files; what each keeps is what the next one has, and none is lost on the way."""
+    rows = repeated_rows()
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(r[0], 1, 0) for r in rows[:40]] + [(None, None, None), (1001, None, None)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    kept = {place_of(*r[:2]): r for r in rows}
+    order = {place: n for n, place in enumerate(sorted(kept))}
+    group = brute_components({order[p]: shingles(r[1], 5) for p, r in kept.items()})
+    texts = {p: r[1] or "" for p, r in kept.items() if group[order[p]] == order[p]}
+    left = brute_repeats(texts.items(), corpus_pipeline.PASSAGE)
+    worded = Counter(p[1] if p[0] else None for p, (n, removed, _) in left.items() if n > removed)
+    found = Counter(r.doc_id for r in pieces if r.start == 0)
+    assert set(found) <= set(worded) and sum(found.values()) >= 0.7 * sum(worded.values())  # 1.5 times all words, at most twice a text
+    assert all(n <= 2 * worded[i] for i, n in found.items())
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0) and max(r.offset + r.length for r in pieces) <= 4096
+    empty = tmp_path / "empty"
+    frame(spark, []).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

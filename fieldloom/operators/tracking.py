@@ -376,6 +376,13 @@ def strikes_on_nodes(nodes: DataFrame, strikes: DataFrame, width: float = 5.0) -
     return nodes.join(found, ["frame", "label"]).withColumn("lightning", F.when(F.size("locations") > 0, F.col("locations")).otherwise(none)).drop("locations")
 
 
+def ordered_nodes(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``subgraph, nodes``: the distinct keys of each subgraph's nodes, sorted as text. A row holds a subgraph."""
+    of = members.select(F.col("frame").alias("src_frame"), F.col("label").alias("src_label"), "subgraph")
+    ends = F.array(node_key("src_frame", "src_label"), node_key("dst_frame", "dst_label"))
+    return edges.join(of, ["src_frame", "src_label"]).select("subgraph", F.explode(ends).alias("node")).groupBy("subgraph").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+
+
 def overlapping(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The features that share a cell with one of a neighbouring frame."""
     ends = edges.select(F.col("src_frame").alias("frame"), F.col("src_label").alias("label")).unionByName(edges.select(F.col("dst_frame").alias("frame"), F.col("dst_label").alias("label")))

@@ -298,3 +298,25 @@ def notebook_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = emb_tiles(spark, sf_dir).withColumns({"name": F.col("variable"), "variable": F.lit("v")})
     rows = sinks.array_rows(tiles, "v", "name")
     return rows.select(F.substring("id", 2, 20).alias("id"), F.concat_ws(",", F.col("shape").cast("array<string>")).alias("shape"), F.length("bytes").alias("n"), F.col("id").alias("variable"))
+
+
+@query("select 'uri' || r_regionkey as dataset, v.name as variable, cast(p.range as int) as pos, cast(r_regionkey * 100 + p.range + case v.name when 'b' then 0.5 else 0 end as double) as value, cast(2 as bigint) as largest from region, (values ('a'), ('b')) v(name), range(6) p")
+def custom_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loader and a partitioner of one's own: two URIs to a task."""
+    import numpy as np
+
+    uris = [f"uri{r.r_regionkey}" for r in read(spark, sf_dir, "region").orderBy("r_regionkey").collect()]  # five regions
+
+    def loader(uri: str, variable: str) -> tuple:
+        return np.arange(6) + int(uri[3:]) * 100 + (0.5 if variable == "b" else 0.0), (2, 3)
+
+    tiles = raster.read_custom(spark, uris, ["a", "b"], loader, lambda found: raster.grouped_uris(found, 3)).withColumn("part", F.spark_partition_id())
+    tiles = save(tiles, "custom")
+    most = tiles.groupBy("part").agg(F.countDistinct("dataset").alias("n")).agg(F.max("n").alias("largest"))
+    return tiles.select("dataset", "variable", F.posexplode("data").alias("pos", "value")).join(F.broadcast(most))  # one row
+
+
+@query(f"with {MEMBERS}, n as (select distinct subgraph, frame || ':' || label as node from members) select subgraph, string_agg(node, ' ' order by node) as nodes from n group by subgraph")
+def ordered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = save(tr.overlap_edges(hot(spark, sf_dir)), "edges")
+    return tr.ordered_nodes(edges, tr.subgraphs(edges, 1)).select("subgraph", F.concat_ws(" ", "nodes").alias("nodes"))

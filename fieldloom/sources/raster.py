@@ -6,7 +6,7 @@ each file is one row, decoded in Arrow batches into the tiles layout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +139,23 @@ def read_strikes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_custom(spark: SparkSession, uris: Sequence[str], variables: Sequence[str], loader: Callable[[str, str], tuple[np.ndarray, Sequence[int]]], partitioner: Callable[[list[str]], list[list[str]]] | None = None) -> DataFrame:
+    """Tiles of any kind of file: ``loader(uri, variable)`` gives the numbers and the shape, and ``partitioner`` the
+    groups of URIs that tasks take, one each if there is none. Nothing is loaded before it is wanted."""
+    groups = partitioner(list(uris)) if partitioner else [[u] for u in uris]
+    rows = spark.createDataFrame([(k, u) for k, group in enumerate(groups) for u in group], "k int, uri string").repartitionById(max(1, len(groups)), "k")
+
+    def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(1).to_pylist():
+                for variable in variables:
+                    data, shape = loader(uri, variable)
+                    grid = np.asarray(data, np.float64).reshape(list(shape))
+                    yield tile_rows([tile(uri, variable, grid, [f"{variable}_{k}" for k in range(grid.ndim)], attrs={"SOURCE": uri})])
+
+    return rows.mapInArrow(loaded, TILES)
+
+
 def by_folder(spark: SparkSession, path: str, **options) -> DataFrame:
     """Files of all folders below ``path`` with their folder, one partition to a folder's hash."""
     found = files(spark, path, recursive=True, **options)

@@ -8,6 +8,7 @@ from fieldloom.operators import elementwise as ew
 from fieldloom.operators import shape as sh
 from fieldloom.operators import stats as st
 from fieldloom.operators import tracking as tr
+from fieldloom.plans import components as component_rounds
 from fieldloom.plans import queries as grids
 from fieldloom.plans.components import components
 from fieldloom.sources import climate, metadata, netcdf, raster, sinks
@@ -96,7 +97,9 @@ def test_tiles_must_fit(spark):
         sh.split_tiles(cells(spark, RAND), (6, 5), (7, 2))
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("sent", [500_000, 10])
+def test_components_against_union_find(spark, monkeypatch, sent):
+    monkeypatch.setattr(component_rounds, "SENT_EDGES", sent)
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
     root = {}
@@ -111,6 +114,7 @@ def test_components_against_union_find(spark):
         root[max(p, q)] = min(p, q)
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
 def test_stages():

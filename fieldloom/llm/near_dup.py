@@ -206,10 +206,9 @@ def joined_within(families: DataFrame, docs: DataFrame, shingle: int, threshold:
 
 
 def apart_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: families that a pair of likely alike members of a bucket (``band, id, c, n, sketch``) joins. The
-    bitmaps of large buckets meet in pairs of blocks."""
-    blocks = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_BITMAPS).cast("int").alias("blocks"))
-    placed = rows.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    """``a, b``: families that a pair of likely alike members of a bucket (``band, members, id, c, n, sketch``)
+    joins. The bitmaps of buckets of many ``members`` meet in pairs of blocks."""
+    placed = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK_BITMAPS).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = F.transform(other, lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
     placed = placed.select("band", "block", "c", "n", "sketch", F.explode(pairs).alias("at")).select("band", "at.p", "at.q", "block", "c", "n", "sketch")
@@ -291,7 +290,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, i
         inside = of.join(left.drop("most"), "band")
         last = turn == LEADER_ROUNDS or most <= BLOCK_BITMAPS
         if last:
-            crossed = apart_in_buckets(inside.join(sketches, "id").select("band", "id", "c", "n", "sketch"), threshold)
+            crossed = apart_in_buckets(inside.join(sketches, "id").select("band", "members", "id", "c", "n", "sketch"), threshold)
         else:
             pairs = inside.where("c != lead_c").select("id", "leader", "c", "lead_c").distinct()
             pairs = pairs.join(sketches.withColumnRenamed("id", "pid").alias("p"), F.col("id") == F.col("pid")).join(sketches.withColumnRenamed("id", "qid").alias("q"), F.col("leader") == F.col("qid"))

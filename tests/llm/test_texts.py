@@ -177,7 +177,7 @@ def test_a_bucket_of_many_that_are_not_alike(spark):
     rng = np.random.default_rng(8)
     bits = rng.integers(-(2**63), 2**63 - 1, (10_000, 8))
     bits[5000:5010] = bits[:10]
-    rows = spark.createDataFrame([(7, i, i, 100, [int(x) for x in r]) for i, r in enumerate(bits)], "band long, id long, c long, n long, sketch array<long>")
+    rows = spark.createDataFrame([(7, 10_000, i, i, 100, [int(x) for x in r]) for i, r in enumerate(bits)], "band long, members long, id long, c long, n long, sketch array<long>")
     got = sorted((r.a, r.b) for r in near_dup.apart_in_buckets(rows, 0.8).collect())
     assert got == [(i, 5000 + i) for i in range(10)]
 

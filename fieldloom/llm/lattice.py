@@ -43,11 +43,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import save, slices, words_of
+from fieldloom.llm.common import lean, save, slices, words_of
 
 MARK = "▁"
 #: Bytes of text in a block, and words whose lattices are handled at a time.
-BLOCK_BYTES, STEP_WORDS = 32 << 20, 20_000
+BLOCK_BYTES, STEP_WORDS = 24 << 20, 20_000
 #: Part of the seen words' mass that is shared out by counts over all classes.
 NEAR = 0.03
 #: Added to ranks, so that the first pieces don't have all the weight.
@@ -210,7 +210,7 @@ def blocks(docs: DataFrame, classes: int) -> DataFrame:
         if places:
             yield listed()
 
-    return docs.mapInArrow(cut, "block long, place int, word string, n array<long>, doc_id long, held_out boolean, counts binary")
+    return docs.mapInArrow(lean(cut), "block long, place int, word string, n array<long>, doc_id long, held_out boolean, counts binary")
 
 
 def batch_of(*columns) -> pa.RecordBatch:
@@ -257,7 +257,7 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 3, class_col: str | No
 
     for _ in range(rounds if train[1] else 0):
         sums = np.zeros(size)
-        for r in words.where("c > 0").select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # one row a piece at most
+        for r in words.where("c > 0").select("word").mapInArrow(lean(expect), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # one row a piece at most
             sums[r["piece"]] = r["n"]
         sums[pieces.end] = 1
         logs = np.log((sums + 0.1) / (sums.sum() + 0.1 * size))
@@ -281,7 +281,7 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 3, class_col: str | No
 
     end_p = mixed(np.array([logs[pieces.end]]), rows_of[None, :], np.array([float(ends)]))[0]
     floor = total + 0.5 * (kinds + 1)
-    rated = save(words.mapInArrow(scored, "word string, n array<long>, c long, log_p double"), "lattice-rated")
+    rated = save(words.mapInArrow(lean(scored), "word string, n array<long>, c long, log_p double"), "lattice-rated")
     sent = of_words.select("block", "place", "word").join(rated, "word").select(F.col("block").alias("of_block"), "place", "n", "c", "log_p")
 
     def finished(doc: pa.Table, word: pa.Table) -> pa.Table:

@@ -21,9 +21,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 4 << 20
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each slice holds about ``limit`` bytes of text (one row at least)."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES, sizes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that each slice holds about ``limit`` bytes of text (one row at least); ``sizes``
+    has the rows' bytes where the column's own are not meant."""
+    if sizes is None:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     begin = 0
     while begin < batch.num_rows:

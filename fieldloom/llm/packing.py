@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import lean, save
+from fieldloom.llm.common import lean, save, slices
 from fieldloom.llm.token_count import byte_symbols
 
 #: Entries of a worker's table of words and their ids, and the longest word kept there.
@@ -131,6 +131,24 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(encoded), f"doc_id {kind}, block long, place long, n_ids long, ids binary")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of the rows ``doc_id, begin, n_ids, ids``, in steps of some bytes of ids."""
+    unpress = zstandard.ZstdDecompressor()
+    for batch in (part for whole in batches for part in slices(whole, sizes=4 * whole.column(2).to_numpy())):
+        rows = [[] for _ in range(8)]
+        for doc, begin, n, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            ids, at = unpress.decompress(ids), 0
+            while at < n:
+                sequence, offset = divmod(begin + at, length)
+                m = min(n - at, length - offset)
+                piece = ids[4 * at : 4 * (at + m)]
+                for column, value in zip(rows, (doc, at, m, zlib.crc32(piece), n, sequence, offset, piece), strict=True):
+                    column.append(value)
+                at += m
+        kinds = [batch.schema.field(0).type, *[pa.int64()] * 6, pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], NAMES)
+
+
 def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``;
     ``ids`` holds the piece's ids as little-endian 32-bit numbers."""
@@ -141,24 +159,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2,
         totals = F.broadcast(totals)
     placed = lines.join(totals, "block").select("doc_id", (F.col("base") + F.col("place")).alias("begin"), "n_ids", "ids")
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows = [[] for _ in range(8)]
-            for doc, begin, n, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                ids, at = unpress.decompress(ids), 0
-                while at < n:
-                    sequence, offset = divmod(begin + at, length)
-                    m = min(n - at, length - offset)
-                    piece = ids[4 * at : 4 * (at + m)]
-                    for column, value in zip(rows, (doc, at, m, zlib.crc32(piece), n, sequence, offset, piece), strict=True):
-                        column.append(value)
-                    at += m
-            kinds = [batch.schema.field(0).type, *[pa.int64()] * 6, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], NAMES)
-
     kind = docs.schema[id_col].dataType.simpleString()
-    return placed.mapInArrow(lean(pieces), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in NAMES[1:-1]) + ", ids binary")
+    return placed.mapInArrow(lean(lambda batches: pieces(batches, length)), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in NAMES[1:-1]) + ", ids binary")
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

@@ -54,7 +54,9 @@ HOT = 1000
 #: Digests of one seed in a slice of the input from which it is written as windows.
 MANY = 16
 #: Bytes of text in a slice.
-SLICE = 4 << 20
+SLICE = 8 << 20
+#: Bytes of text, and of its words, that one step within a slice handles, so that its arrays stay small.
+STEP, STEP_WORDS = 1 << 20, 1 << 17
 #: Kinds of a run's rows: a seed, the mark of a hot seed, a hot seed's window, windows settled in their slice.
 SEED, MARK, WINDOW, SETTLED = range(4)
 RUN = "k long, kind int, d long, id long, start int, n int"
@@ -63,18 +65,21 @@ FACTOR = odd_numbers(52, 1)[0]
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=2)
 def powers(factor: int, n: int) -> np.ndarray:
     return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, factor, np.uint64))))
 
 
+#: Those of a step's length, which workers keep.
+kept_powers = lru_cache(maxsize=2)(powers)
+
+
 class Stretches:
     """Hashes of stretches of a line of words, from sums of the words' hashes times powers."""
 
     def __init__(self, h: np.ndarray):
-        n = 1 << max(10, len(h).bit_length())
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(int(FACTOR), n)[: len(h)], dtype=np.uint64)))
-        self.back = powers(pow(int(FACTOR), -1, 1 << 64), n)
+        n = 2 * STEP_WORDS
+        forth, self.back = (kept_powers(f, n) if len(h) < n else powers(f, len(h) + 1) for f in (int(FACTOR), pow(int(FACTOR), -1, 1 << 64)))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * forth[: len(h)], dtype=np.uint64)))
 
     def of(self, begin: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mixed((self.sums[begin + length] - self.sums[begin]) * self.back[begin] + np.asarray(length).astype(np.uint64) * SCRAMBLE)
@@ -94,6 +99,23 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 def seeds_of(h: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of the documents ``h[offsets[i]:offsets[i+1]]``: each seed's document, hash, digest, first window
     (counted through all documents) and number of windows, in order."""
+    found = []
+    for a, b in steps(offsets):
+        of, seed, digest, first, n = seeds_of_step(h[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram)
+        found.append((of + a, seed, digest, first + offsets[a], n))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else seeds_of_step(h, offsets, window, gram)
+
+
+def steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of STEP_WORDS words, or of one longer document."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STEP_WORDS, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def seeds_of_step(h: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     if len(h) < window:
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none.astype(np.uint64), none, none
@@ -113,6 +135,17 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(n) else 0) + np.repeat(first - (ends - n), n)
 
 
+def windows_at(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of the windows that start at the places ``at``, ascending."""
+    cuts = np.searchsorted(at, np.arange(0, len(h) + STEP_WORDS, STEP_WORDS))
+    out = np.zeros(len(at), np.uint64)
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            low = k * STEP_WORDS
+            out[a:b] = Stretches(h[low : at[b - 1] + window]).of(at[a:b] - low, window)
+    return out
+
+
 def firsts(values: np.ndarray) -> np.ndarray:
     """Which entries are the first of their value."""
     out = np.zeros(len(values), bool)
@@ -141,7 +174,7 @@ def rows_of_run(h: np.ndarray, offsets: np.ndarray, ids: np.ndarray, window: int
         marks = keys[counts > many].view(np.int64)
         zero = np.zeros(len(marks), np.int64)
         at, doc = spread(first[hot], n[hot]), np.repeat(of[hot], n[hot])
-        w = Stretches(h).of(at, window).view(np.int64)
+        w = windows_at(h, at, window).view(np.int64)
         new, one = firsts(w), np.ones(len(at), np.int64)
         again.append((at[~new], one[~new], doc[~new]))
         parts += [(marks, MARK, zero, zero, zero + offsets[0], zero), (w[new], WINDOW, w[new], doc[new], at[new], one[new])]
@@ -234,10 +267,14 @@ class WindowIndex:
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpress = zstandard.ZstdDecompressor()
             for whole in batches:
-                for batch in slices(whole, limit=SLICE):
+                for batch in slices(whole, limit=SLICE, sizes=opened_sizes(whole.column(1))):
                     batch = batch.take(pc.sort_indices(batch.column(0)))
-                    offsets, codes, distinct = words_of(opened(batch.column(1), unpress))
-                    yield rows_of_run(hashes_of(distinct)[codes], offsets, batch.column(0).to_numpy(), window, gram, many)
+                    h, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+                    for part in slices(batch, limit=STEP, sizes=opened_sizes(batch.column(1))):
+                        offsets, codes, distinct = words_of(opened(part.column(1), unpress))
+                        h.append(hashes_of(distinct)[codes])
+                        counts.append(np.diff(offsets))
+                    yield rows_of_run(np.concatenate(h), np.cumsum(np.concatenate(counts)), batch.column(0).to_numpy(), window, gram, many)
 
         return texts.select("id", "text").mapInArrow(lean(found), RUN)
 
@@ -293,7 +330,7 @@ class WindowIndex:
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpress = zstandard.ZstdDecompressor()
             for whole in batches:
-                for batch in slices(whole, limit=SLICE):
+                for batch in slices(whole, limit=STEP, sizes=opened_sizes(whole.column(1))):
                     offsets, codes, distinct = words_of(opened(batch.column(1), unpress))
                     counts = pc.list_value_length(batch.column(2)).to_numpy()
                     k, start, n, hot, state = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[2:])
@@ -351,6 +388,11 @@ def opened(packed: pa.Array, unpress: zstandard.ZstdDecompressor) -> pa.Array:
     return pa.array([None if t is None else unpress.decompress(t) for t in packed.to_pylist()], pa.binary()).cast(pa.string())
 
 
+def opened_sizes(packed: pa.Array) -> np.ndarray:
+    """Bytes of each text as it is when opened, which its pressed form tells at its beginning."""
+    return np.array([0 if t is None else zstandard.frame_content_size(t) for t in pc.binary_slice(packed, 0, 18).to_pylist()], np.int64)
+
+
 def add(columns: list[list], *values) -> None:
     for column, value in zip(columns, values, strict=True):
         column.append(value)

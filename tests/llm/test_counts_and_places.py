@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from fieldloom.llm import mixing, packing, sharding, token_count
@@ -62,6 +64,17 @@ def check_packing(rows, docs, library, length):
     assert sorted(by_sequence) == list(range(len(by_sequence)))
 
 
+def test_packing_steps():
+    """A batch of many ids leaves in batches of a few MB, with every piece."""
+    ids = np.arange(4000, dtype="<u4")
+    press = zstandard.ZstdCompressor().compress(ids.tobytes())
+    n = 1500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(np.arange(n) * 4000), pa.array([4000] * n), pa.array([press] * n)], ["doc_id", "begin", "n_ids", "ids"])
+    out = [*packing.pieces(iter([batch]), 4096)]
+    assert max(b.nbytes for b in out) < 6 << 20 and sum(x for b in out for x in b.column("length").to_pylist()) == 4000 * n
+    assert [*packing.pieces(iter([batch.slice(0, 0)]), 4096)] == []
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)

@@ -1,8 +1,10 @@
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -89,6 +91,47 @@ def test_substring_repeated_rows(spark, hot, many):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter((r[0], *want[order(r)]) for r in repeated)
 
 
+def test_substring_steps_change_no_row(monkeypatch):
+    """A slice's rows don't depend on the steps that its words are hashed in, hot seeds and long documents included."""
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(0, 90, 300)
+    lengths[[4, 100]] = 3000
+    h = rng.integers(0, 6, lengths.sum()).astype(np.uint64)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    runs = []
+    for words in (1 << 17, 64):
+        monkeypatch.setattr(substring, "STEP_WORDS", words)
+        runs.append(substring.rows_of_run(h, offsets, np.arange(300) * 7, 9, 4, many=3))
+    assert runs[0].equals(runs[1]) and set(runs[0].column("kind").to_pylist()) == {0, 1, 2, 3}
+
+
+class Captured:
+    """A frame that hands back the function that it is to be mapped by."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, f, schema):
+        return f
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_substring_memory_of_a_batch(repeated):
+    """What a task holds beside its batch is bounded, however well the texts are pressed."""
+    rng = np.random.default_rng(6)
+    names = np.array([f"word{i}" for i in range(400)])
+    rows = ["one two three four " * 1000 + str(i) if repeated else " ".join(names[rng.integers(0, 400, 4000)]) for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(rows)], ["id", "text"])
+    pressed = pa.Table.from_batches(substring.pressed(iter([batch]))).combine_chunks().to_batches()
+    index = substring.WindowIndex.__new__(substring.WindowIndex)
+    index.window, index.gram, index.many = 50, 5, substring.MANY
+    tracemalloc.start()
+    n = sum(b.num_rows for b in index.seeds(Captured())(iter(pressed)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n and peak < 70e6  # 2 million words; numpy's and Python's memory
+
+
 def test_substring_index_takes_batches_later(spark, tmp_path):
     """An index in a folder, opened anew for every batch, finds what brute force finds; levels are merged and read."""
     rows = [(k, r[1] or "") for k, r in enumerate(with_common_lines())]

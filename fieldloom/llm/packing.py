@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import lean, save, slices
 from fieldloom.llm.token_count import byte_symbols
 
-#: Entries of a worker's table of words and their ids, and the longest word kept there.
-KEPT, KEPT_LENGTH = 500_000, 64
+#: Entries of a worker's table of words and their ids and of that of words' parts, and the longest word kept there.
+KEPT, KEPT_PARTS, KEPT_LENGTH = 500_000, 100_000, 64
 #: Blocks up to which their offsets are sent to every executor (16 bytes each).
 SENT_BLOCKS = 200_000
 ID_TYPE = "I"  # four bytes wherever Spark runs; little-endian is made sure of below
@@ -79,7 +79,7 @@ class WordIds(dict):
         if (ids := self.parts.get(part)) is None:
             shown = "".join([self.shown[b] for b in part.encode("utf-8")])
             ids = array(ID_TYPE, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
-            if len(self.parts) >= KEPT:
+            if len(self.parts) >= KEPT_PARTS:
                 self.parts.clear()
             self.parts[part] = ids
         return ids

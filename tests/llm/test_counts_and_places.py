@@ -75,6 +75,17 @@ def test_packing_steps():
     assert [*packing.pieces(iter([batch.slice(0, 0)]), 4096)] == []
 
 
+def test_packing_table_of_parts_is_bounded(monkeypatch):
+    """The words' parts that a worker keeps are few, and ids are the library's all the same."""
+    monkeypatch.setattr(packing, "KEPT_PARTS", 5)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, lookup = Tokenizer.from_file(path), packing.WordIds(path)
+    words = [f"{a}{b}" for a in ("river", "Stone", "it's") for b in ("", ",", "ly", "ness.", "9")]
+    for text in (" ".join(words), " ".join(reversed(words))):
+        assert lookup.ids([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert len(lookup.parts) <= 5
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)

@@ -17,7 +17,7 @@ MANY digests in a slice (a common line in many contexts) is written as its singl
 each with a key of its own, and a mark under the seed's key says so.
 
 A window's identity is a 64-bit hash of its words, under its seed's 64-bit hash unless the seed
-is hot.
+is hot. Words are hashed from the text's bytes, many at once.
 
 ``WindowIndex`` keeps an index in a folder, to which batches can be added at any later time;
 ``remove_repeats`` feeds a whole table to one in batches of equal size.
@@ -42,11 +42,12 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, chained, hashes_of, lean, mixed, new_path, numbered, odd_numbers, save, slices, words_of
+from fieldloom.llm.common import WORD, chained, lean, mixed, new_path, numbered, odd_numbers, save, slices
 from fieldloom.plans.tables import delete, read_text, write_text
 
 #: Rows of one seed from which its windows get keys of their own.
@@ -60,8 +61,16 @@ STEP, STEP_WORDS = 1 << 20, 1 << 17
 #: Kinds of a run's rows: a seed, the mark of a hot seed, a hot seed's window, windows settled in their slice.
 SEED, MARK, WINDOW, SETTLED = range(4)
 RUN = "k long, kind int, d long, id long, start int, n int"
+#: The way that words are hashed; an index made another way cannot be added to.
+HASHES = 2
 WORDS = re.compile(WORD.encode())
 FACTOR = odd_numbers(52, 1)[0]
+#: Bytes of a word that are hashed as numbers of eight, beside the others of its step; longer words are hashed one by one.
+SHORT = 64
+OF_LENGTH, OF_BLOCK = odd_numbers(53, 2)
+IN_WORD = np.array([WORDS.match(bytes([b])) is not None for b in range(256)])
+#: Of eight bytes read as a number, the first 0, 1, ... 8.
+HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,6 +82,36 @@ def powers(factor: int, n: int) -> np.ndarray:
 kept_powers = lru_cache(maxsize=2)(powers)
 
 
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and where each text's begin among them. Words are found and hashed
+    from the bytes, as arrays, without an object for each."""
+    texts = [t or b"" for t in texts]
+    line = b" ".join([b"", *texts, b" " * 8])
+    inside = IN_WORD[np.frombuffer(line, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, length = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(line) - 7, "<u8", line, strides=(1,))
+    h = np.zeros(len(begin), np.uint64)
+    for a in range(0, len(h), STEP_WORDS):
+        h[a : a + STEP_WORDS] = hashed_short(eights, begin[a : a + STEP_WORDS], length[a : a + STEP_WORDS])
+    for i in np.flatnonzero(length > SHORT):
+        h[i] = xxhash.xxh3_64_intdigest(line[begin[i] : begin[i] + length[i]])
+    starts = 1 + np.cumsum([0, *[len(t) + 1 for t in texts]])
+    return np.searchsorted(begin, starts), h
+
+
+def hashed_short(eights: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words' first SHORT bytes; ``eights[i]`` is the eight bytes from ``i`` on as a number."""
+    h = mixed((eights[begin] & HEADS[np.minimum(length, 8)]) ^ (length.astype(np.uint64) * OF_LENGTH))
+    for done in range(8, SHORT, 8):
+        left = np.flatnonzero(length > done)
+        if not len(left):
+            break
+        block = eights[begin[left] + done] & HEADS[np.minimum(length[left] - done, 8)]
+        h[left] = mixed(h[left] * OF_BLOCK + block)
+    return h
+
+
 class Stretches:
     """Hashes of stretches of a line of words, from sums of the words' hashes times powers."""
 
@@ -230,7 +269,9 @@ class WindowIndex:
             raise ValueError("a window holds at least one run of words")
         self.spark, self.folder, self.hot, self.many = spark, folder.rstrip("/"), hot, many
         found = read_text(spark, f"{self.folder}/manifest.json")
-        told = json.loads(found) if found else {"window": window, "gram": gram, "fanout": fanout, "parts": parts, "levels": [], "texts": []}
+        told = json.loads(found) if found else {"window": window, "gram": gram, "fanout": fanout, "parts": parts, "hashes": HASHES, "levels": [], "texts": []}
+        if told.get("hashes") != HASHES:
+            raise ValueError(f"{self.folder}: its words are hashed in another way; make the index anew")
         self.window, self.gram, self.fanout = (told[x] for x in ("window", "gram", "fanout"))
         self.tables = Tables(spark, self.folder, told["parts"])
         self.levels = [[(n, self.tables.open(n, RUN, "k", ["kind", "k"])) for n in level] for level in told["levels"]]
@@ -252,7 +293,7 @@ class WindowIndex:
 
     def close(self) -> None:
         """Writes the manifest; files that it no longer names go."""
-        told = {"window": self.window, "gram": self.gram, "fanout": self.fanout, "parts": self.tables.parts, "levels": [[n for n, _ in level] for level in self.levels], "texts": [n for n, _ in self.texts]}
+        told = {"window": self.window, "gram": self.gram, "fanout": self.fanout, "parts": self.tables.parts, "hashes": HASHES, "levels": [[n for n, _ in level] for level in self.levels], "texts": [n for n, _ in self.texts]}
         write_text(self.spark, f"{self.folder}/manifest.json", json.dumps(told))
         for name in self.old:
             delete(self.spark, f"{self.folder}/{name}")
@@ -271,8 +312,8 @@ class WindowIndex:
                     batch = batch.take(pc.sort_indices(batch.column(0)))
                     h, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
                     for part in slices(batch, limit=STEP, sizes=opened_sizes(batch.column(1))):
-                        offsets, codes, distinct = words_of(opened(part.column(1), unpress))
-                        h.append(hashes_of(distinct)[codes])
+                        offsets, words = hashed_words(opened(part.column(1), unpress))
+                        h.append(words)
                         counts.append(np.diff(offsets))
                     yield rows_of_run(np.concatenate(h), np.cumsum(np.concatenate(counts)), batch.column(0).to_numpy(), window, gram, many)
 
@@ -331,12 +372,12 @@ class WindowIndex:
             unpress = zstandard.ZstdDecompressor()
             for whole in batches:
                 for batch in slices(whole, limit=STEP, sizes=opened_sizes(whole.column(1))):
-                    offsets, codes, distinct = words_of(opened(batch.column(1), unpress))
+                    offsets, words = hashed_words(opened(batch.column(1), unpress))
                     counts = pc.list_value_length(batch.column(2)).to_numpy()
                     k, start, n, hot, state = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[2:])
                     ids, first = np.repeat(batch.column(0).to_numpy(), counts), np.repeat(offsets[:-1], counts) + start
                     n = n.astype(np.int64)
-                    line = Stretches(hashes_of(distinct)[codes])
+                    line = Stretches(words)
                     yield batch_of(k[~hot], state[~hot], ids[~hot], start[~hot], n[~hot], line.of(spread(first[~hot], n[~hot]), window))
                     if hot.any():
                         m, w = n[hot], line.of(spread(first[hot], n[hot]), window)
@@ -384,8 +425,8 @@ def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.set_column(at, "text", text)
 
 
-def opened(packed: pa.Array, unpress: zstandard.ZstdDecompressor) -> pa.Array:
-    return pa.array([None if t is None else unpress.decompress(t) for t in packed.to_pylist()], pa.binary()).cast(pa.string())
+def opened(packed: pa.Array, unpress: zstandard.ZstdDecompressor) -> list[bytes | None]:
+    return [None if t is None else unpress.decompress(t) for t in packed.to_pylist()]
 
 
 def opened_sizes(packed: pa.Array) -> np.ndarray:

@@ -42,11 +42,13 @@ def emb_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def base_name(column: str = "dataset") -> Column:
-    return F.regexp_extract(column, r"([^/]+?)(?:\.nc|\.bin)?$", 1)
+    return F.regexp_extract(F.substring_index(column, "/", -1), r"^([^/]+?)(?:\.nc|\.bin)?$", 1)
 
 
 def values(tiles: DataFrame) -> DataFrame:
-    return tiles.select(base_name().alias("dataset"), "variable", F.posexplode("data").alias("pos", "value")).select("dataset", "variable", "pos", six())
+    """Cells by their place; names are taken from paths before, once a tile."""
+    named = tiles.select(base_name().alias("dataset"), "variable", "data")
+    return named.select("dataset", "variable", F.posexplode("data").alias("pos", "value")).select("dataset", "variable", "pos", six())
 
 
 @query(f"with {EMB}, {VARIABLES} select * from n")
@@ -120,9 +122,8 @@ def raster_files(spark: SparkSession, sf_dir: str, path: str, rows: Column | Non
 
 
 def raster_cells(tiles: DataFrame) -> DataFrame:
-    day = dates.frame_of_name(base_name(), 1).alias("day")
-    cells = to_cells(tiles.where("variable = 'TMP'"), 2, ["dataset"])
-    return cells.select(day, "i0", "i1", six())
+    days = tiles.where("variable = 'TMP'").withColumn("day", dates.frame_of_name(base_name(), 1))
+    return to_cells(days, 2, ["day"]).select("day", "i0", "i1", six())
 
 
 @query(f"with {BYTES} select frame as day, i0, i1, b + 75.0 as value from rounded")
@@ -241,12 +242,11 @@ def node_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "nodes")
     labelled = saved_hot(spark, sf_dir)
     sinks.write_nodes(labelled, tr.node_stats(labelled), *grid_axes(spark), path)
-    tiles = grids.read_datasets(spark, path, partitions=16)
-    name = base_name().alias("name")
+    tiles = grids.read_datasets(spark, path, partitions=16).withColumn("dataset", base_name())
     cells = to_cells(tiles.where("variable = 'CE brightness temperature'"), 2, ["dataset"])
     for variable, index in (("lat", "i0"), ("lon", "i1")):
         cells = cells.join(tiles.where(F.col("variable") == variable).select("dataset", F.posexplode("data").alias(index, variable)), ["dataset", index])
-    return cells.select(name.alias("dataset"), "i0", "i1", "value", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    return cells.select("dataset", "i0", "i1", "value", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 @query(f"with {EDGES} select '((' || src_frame || ':' || src_label || '), (' || dst_frame || ':' || dst_label || '))' as value, src_frame, src_label, dst_frame, dst_label from edges")

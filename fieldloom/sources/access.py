@@ -9,7 +9,7 @@ import base64
 import io
 import posixpath
 import urllib.request
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyarrow import fs
 
@@ -53,6 +53,16 @@ def listed(uri: str, recursive: bool = False) -> list[str]:
     return sorted(head + n for n in names if [p for p in n.split("/") if p.startswith((".", "_"))] == hidden)
 
 
+def sizes(uris: Iterable[str]) -> dict[str, int]:
+    """Bytes of the files that there are; nothing of what comes by HTTP."""
+    found = {}
+    for uri in uris:
+        if not uri.startswith(("http://", "https://")) and uri not in found:
+            files, path = file_system(uri)
+            found[uri] = files.get_file_info(path).size or 0
+    return found
+
+
 def lines(uri: str, options: Mapping[str, str] | None = None) -> list[str]:
     """The lines of a text file that aren't blank."""
     with open_uri(uri, options) as f:

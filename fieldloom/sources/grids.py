@@ -2,15 +2,17 @@
 
 Files are opened at random access inside the tasks; only the header, and of the wanted variables
 the wanted rows, are read. Large variables come as slabs of their leading axis, one tile each,
-with the slab's place as origin. Filters on ``variable`` and ``dataset`` reach the scan if
+with the slab's place as origin; small ones come many to a batch. Large files are shared by several
+tasks, each with its part of the variables and slabs. Filters on ``variable`` and ``dataset`` reach the scan if
 ``spark.sql.python.filterPushdown.enabled`` is set and ``read_datasets`` makes the scan; the option ``variables`` always does.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,15 +24,31 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from fieldloom.plans.model import TILES
 from fieldloom.sources import access
 from fieldloom.sources.netcdf import NETCDF_NAMES, ClassicFile, encoded
-from fieldloom.sources.raster import RASTER_OFFSET, RASTER_SHAPE, grouped_uris, tile, tile_rows
+from fieldloom.sources.raster import BATCH_CELLS, RASTER_OFFSET, RASTER_SHAPE, batched, grouped_uris, tile
 
 #: Cells of a slab.
 SLAB_CELLS = 4 << 20
+#: Bytes of a file to a task, and tasks to a file at most, as each of them reads the file's header. Sizes of listed files are asked for only if there are not more than so many.
+SHARE_BYTES, MOST_SHARES, MOST_ASKED = 8 << 20, 8, 1000
 
 
 @dataclass
 class Uris(InputPartition):
+    """Whole files, or one share of a file: its number and how many there are."""
+
     uris: tuple[str, ...]
+    share: tuple[int, int] = (0, 1)
+
+
+def of_share(pieces: Iterable[tuple[int, tuple]], share: tuple[int, int]) -> Iterator[tuple]:
+    """The pieces, each with its weight, that begin in a share of the whole weight."""
+    pieces = list(pieces) if share[1] > 1 else pieces
+    total = max(1, sum(weight for weight, _ in pieces)) if share[1] > 1 else 1
+    before = 0
+    for weight, piece in pieces:
+        if share[1] == 1 or min(before * share[1] // total, share[1] - 1) == share[0]:
+            yield piece
+        before += weight
 
 
 def constrained(uri: str) -> tuple[str, dict[str, list[tuple[int, int, int]]]]:
@@ -62,53 +80,76 @@ class GridReader(DataSourceReader):
         return [u for u in found if not pattern or re.search(pattern, u)]
 
     def partitions(self) -> Sequence[InputPartition]:
+        """Groups of URIs; what is large in a group is dealt out further."""
         uris = [u for u in self.uris() if "dataset" not in self.only or u.partition("?")[0] in self.only["dataset"]]
-        return [Uris(tuple(g)) for g in grouped_uris(uris, int(self.options.get("partitions", len(uris) or 1)))] or [Uris(())]
+        sizes = access.sizes([u.partition("?")[0] for u in uris]) if len(uris) <= MOST_ASKED else {}
+        found = []
+        for group in grouped_uris(uris, int(self.options.get("partitions", len(uris) or 1))):
+            shares = {u: min(MOST_SHARES, -(-sizes.get(u.partition("?")[0], 0) // SHARE_BYTES)) for u in group}
+            whole = tuple(u for u in group if shares[u] <= 1)
+            found += [Uris(whole)] if whole else []
+            found += [Uris((u,), (k, shares[u])) for u in group if shares[u] > 1 for k in range(shares[u])]
+        return found or [Uris(())]
 
     def read(self, partition: Uris) -> Iterator[pa.RecordBatch]:
+        yield from batched(self.tiles(partition), min(SLAB_CELLS, BATCH_CELLS))
+
+    def tiles(self, partition: Uris) -> Iterator[dict]:
         for uri in partition.uris:
             name, wanted = constrained(uri)
             with access.open_uri(name, self.options) as f:
-                yield from self.rasters(name, f) if self.options.get("kind") == "raster" else self.variables(name, ClassicFile(f), wanted)
+                yield from self.rasters(name, f, partition.share) if self.options.get("kind") == "raster" else self.variables(name, ClassicFile(f), wanted, partition.share)
 
-    def rasters(self, uri: str, f) -> Iterator[pa.RecordBatch]:
+    def rasters(self, uri: str, f, share: tuple[int, int]) -> Iterator[dict]:
         shape = tuple(int(x) for x in self.options.get("shape", f"{RASTER_SHAPE[0]},{RASTER_SHAPE[1]}").split(","))
         variable, offset = self.options.get("variable", "TMP"), float(self.options.get("offset", RASTER_OFFSET))
         if "variable" in self.only and variable not in self.only["variable"]:
             return
-        frame, step = 0, max(1, SLAB_CELLS // shape[1])
+        step = max(1, SLAB_CELLS // shape[1])
         n = f.seek(0, 2) // (shape[0] * shape[1])
-        for frame in range(n):
-            for low in range(0, shape[0], step):
-                rows = min(step, shape[0] - low)
-                f.seek((frame * shape[0] + low) * shape[1])
-                grid = np.frombuffer(f.read(rows * shape[1]), np.uint8).reshape(rows, shape[1]) + offset
-                yield tile_rows([tile(uri, variable, grid, ("rows", "cols"), attrs={"SOURCE": uri}, frame=frame, origin=[low, 0])])
-
-    def variables(self, uri: str, f: ClassicFile, wanted: dict) -> Iterator[pa.RecordBatch]:
+        pieces = ((min(step, shape[0] - low), (frame, low)) for frame in range(n) for low in range(0, shape[0], step))
+        for frame, low in of_share(pieces, share):
+            rows = min(step, shape[0] - low)
+            f.seek((frame * shape[0] + low) * shape[1])
+            grid = np.frombuffer(f.read(rows * shape[1]), np.uint8).reshape(rows, shape[1]) + offset
+            yield tile(uri, variable, grid, ("rows", "cols"), attrs={"SOURCE": uri}, frame=frame, origin=[low, 0])
+
+    def variables(self, uri: str, f: ClassicFile, wanted: dict, share: tuple[int, int]) -> Iterator[dict]:
         names = list(wanted) or self.names or f.numeric()
         missing = [v for v in names if v not in f.variables]
         if missing:
             raise ValueError(f"{uri} has no variable {missing[0]}")
-        for v in names:
-            if "variable" in self.only and v not in self.only["variable"]:
-                continue
+        headers, nans = self.options.get("metadata") == "true", self.options.get("nanmissing") == "true"
+
+        def pieces() -> Iterator[tuple[int, tuple]]:
+            """Variables and their slabs, in order, with the cells that are read for them."""
+            for v in names:
+                if "variable" in self.only and v not in self.only["variable"]:
+                    continue
+                shape, ranges = f.shape(v), wanted.get(v, [])
+                if headers:
+                    yield 1, (v, shape, 0, ())
+                    continue
+                low, high, step = (ranges[0] if ranges else (0, shape[0], 1)) if shape else (0, 1, 1)
+                count = max(1, len(range(low, min(high, shape[0]) if shape else 1, step)))
+                width = math.prod(shape[1:])
+                slab = max(1, SLAB_CELLS // max(1, width)) if len(shape) > 1 else count
+                for k in range(0, count, slab):
+                    part = (low + k * step, min(high, low + (k + slab) * step), step)
+                    yield width * min(slab, count - k), (v, shape, k, (part, *ranges[1:]) if shape else ())
+
+        for v, shape, k, ranges in of_share(pieces(), share):
             attrs, kind = f.variables[v][1], NETCDF_NAMES[f.variables[v][2]]
             own = {**f.attrs, **attrs, "SOURCE": uri}
-            fill = attrs.get("_FillValue", attrs.get("missing_value"))
-            dims, shape, ranges = f.dim_names(v), f.shape(v), wanted.get(v, [])
-            if self.options.get("metadata") == "true":
-                yield tile_rows([{**tile(uri, v, np.zeros(0), ("none",), kind, own), "shape": shape, "origin": [0] * len(shape), "dims": [{"name": n, "len": k} for n, k in zip(dims, shape, strict=True)]}])
+            dims = f.dim_names(v)
+            if headers:
+                yield {**tile(uri, v, np.zeros(0), ("none",), kind, own), "shape": shape, "origin": [0] * len(shape), "dims": [{"name": n, "len": k} for n, k in zip(dims, shape, strict=True)]}
                 continue
-            low, high, step = (ranges[0] if ranges else (0, shape[0], 1)) if shape else (0, 1, 1)
-            count = max(1, len(range(low, min(high, shape[0]) if shape else 1, step)))
-            slab = max(1, SLAB_CELLS // max(1, int(np.prod(shape[1:], dtype=np.int64)))) if len(shape) > 1 else count
-            for k in range(0, count, slab):
-                part = (low + k * step, min(high, low + (k + slab) * step), step)
-                data = f.read(v, [part, *ranges[1:]] if shape else ()).astype(np.float64)
-                if self.options.get("nanmissing") == "true" and fill not in (None, ""):
-                    data = np.where(data == float(fill), np.nan, data)
-                yield tile_rows([tile(uri, v, data, dims, kind, own, origin=[k] + [0] * (data.ndim - 1) if data.ndim > 1 else None)])
+            data = f.read(v, ranges).astype(np.float64)
+            fill = attrs.get("_FillValue", attrs.get("missing_value"))
+            if nans and fill not in (None, ""):
+                data = np.where(data == float(fill), np.nan, data)
+            yield tile(uri, v, data, dims, kind, own, origin=[k] + [0] * (data.ndim - 1) if data.ndim > 1 else None)
 
 
 class FilteredGridReader(GridReader):
@@ -150,7 +191,7 @@ class GridWriter(DataSourceArrowWriter):
                 moves.append((beside, f"{folder}/{name}"))
 
         for batch in iterator:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 if row["dataset"] != dataset:
                     flush()
                     rows, dataset = [], row["dataset"]
@@ -196,8 +237,16 @@ def file_name(dataset: str, kind: str) -> str:
     return name if name.endswith(end) else name + end
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows, with numbers as arrays and not as lists of objects."""
+    data = batch.column("data")
+    flat, ends = data.values.to_numpy(zero_copy_only=False), data.offsets.to_numpy()
+    for k, row in enumerate(batch.drop_columns(["data"]).to_pylist()):
+        yield row | {"data": flat[ends[k] : ends[k + 1]].copy() if data[k].is_valid else None}
+
+
 def array_of(row: dict) -> np.ndarray:
-    data = np.array(row["data"], np.float64)
+    data = np.asarray(row["data"], np.float64)
     dims = row["dims"]
     return data.reshape([d["len"] for d in dims]) if len(dims) and data.size == np.prod([d["len"] for d in dims]) else data.reshape(row["shape"])
 

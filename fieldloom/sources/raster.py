@@ -6,7 +6,7 @@ each file is one row, decoded in Arrow batches into the tiles layout.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ TIMES = ["time", "times", "date", "dates", "julian"]
 # The grid of a full 8-bit raster and its axes.
 RASTER_SHAPE, RASTER_OFFSET = (9896, 3298), 75.0
 RASTER_LON, RASTER_LAT = (0.0182, 0.036378335), (59.982, -0.036383683)
+#: Cells and tiles of a batch, unless one tile has more cells.
+BATCH_CELLS, BATCH_TILES = 1 << 18, 1024
 
 
 def files(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, recursive: bool = False) -> DataFrame:
@@ -45,25 +47,38 @@ def tile_rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], [*kinds])
 
 
+def batched(tiles: Iterable[dict], most_cells: int = BATCH_CELLS) -> Iterator[pa.RecordBatch]:
+    """Tiles in batches: each batch costs Spark some milliseconds, however small it is."""
+    rows, cells = [], 0
+    for row in tiles:
+        if rows and (cells + row["data"].size > most_cells or len(rows) >= BATCH_TILES):
+            yield tile_rows(rows)
+            rows, cells = [], 0
+        rows.append(row)
+        cells += row["data"].size
+    if rows:
+        yield tile_rows(rows)
+
+
 def tile(dataset: str, variable: str, data: np.ndarray, dims: Sequence[str], dtype: str = "double", attrs: dict[str, str] | None = None, frame: int | None = None, origin: Sequence[int] | None = None) -> dict:
     shape = [1] * (2 - data.ndim) + list(data.shape)
     named = [{"name": n, "len": int(k)} for n, k in zip(dims, data.shape, strict=True)]
-    return {"dataset": dataset, "variable": variable, "frame": frame, "dtype": dtype, "origin": [0] * (len(shape) - len(origin or [])) + list(origin or []), "shape": shape, "data": data.astype(np.float64).ravel(), "dims": named, "attrs": list((attrs or {}).items())}
+    return {"dataset": dataset, "variable": variable, "frame": frame, "dtype": dtype, "origin": [0] * (len(shape) - len(origin or [])) + list(origin or []), "shape": shape, "data": np.asarray(data, np.float64).ravel(), "dims": named, "attrs": list((attrs or {}).items())}
 
 
 def read_raster(spark: SparkSession, path: str | Sequence[str], shape: tuple[int, int] = RASTER_SHAPE, offset: float = RASTER_OFFSET, variable: str = "TMP", **options) -> DataFrame:
     """Raw unsigned bytes, one or more grids to a file, each plus ``offset``; further bytes are ignored."""
     n = shape[0] * shape[1]
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 whole = np.frombuffer(content, np.uint8)
                 for k in range(len(whole) // n):
                     grid = whole[k * n : (k + 1) * n].reshape(shape) + offset
-                    yield tile_rows([tile(name, variable, grid, ("rows", "cols"), attrs={"SOURCE": name}, frame=k)])
+                    yield tile(name, variable, grid, ("rows", "cols"), attrs={"SOURCE": name}, frame=k)
 
-    return files(spark, path, **options).select("path", "content").mapInArrow(decoded, TILES)
+    return files(spark, path, **options).select("path", "content").mapInArrow(lambda batches: batched(decoded(batches)), TILES)
 
 
 def raster_axes(spark: SparkSession, shape: tuple[int, int] = RASTER_SHAPE) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +93,7 @@ def read_netcdf(spark: SparkSession, path: str | Sequence[str], variables: Seque
     fill value into NaN."""
     wanted = set(variables)
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 f = ClassicFile(content)
@@ -90,9 +105,9 @@ def read_netcdf(spark: SparkSession, path: str | Sequence[str], variables: Seque
                     fill = attrs.get("_FillValue", attrs.get("missing_value"))
                     if nan_missing and fill not in (None, ""):
                         data = np.where(data == float(fill), np.nan, data)
-                    yield tile_rows([tile(name, v, data, f.dim_names(v), NETCDF_NAMES[kind], {**f.attrs, **attrs, "SOURCE": name})])
+                    yield tile(name, v, data, f.dim_names(v), NETCDF_NAMES[kind], {**f.attrs, **attrs, "SOURCE": name})
 
-    return files(spark, path, **options).select("path", "content").mapInArrow(decoded, TILES)
+    return files(spark, path, **options).select("path", "content").mapInArrow(lambda batches: batched(decoded(batches)), TILES)
 
 
 def random_dataset(spark: SparkSession, name: str, variables: dict[str, Sequence[int]], attrs: dict[str, str] | None = None) -> DataFrame:

@@ -9,8 +9,10 @@ from fieldloom.operators import shape as sh
 from fieldloom.operators import stats as st
 from fieldloom.operators import tracking as tr
 from fieldloom.plans import components as component_rounds
+from fieldloom.plans import file_queries
 from fieldloom.plans import queries as grids
 from fieldloom.plans.components import components
+from fieldloom.plans.model import TILES
 from fieldloom.sources import climate, metadata, netcdf, raster, sinks
 from fieldloom.sources import grids as gridfiles
 from fieldloom.streaming import frames
@@ -283,6 +285,68 @@ def test_large_variables_come_in_slabs(spark, tmp_path, monkeypatch):
     assert again.read("t").tolist() == data.tolist()
 
 
+def test_names_are_taken_once_a_tile(spark, tmp_path):
+    """A name from a path costs more than a cell does; it must not be taken again for each cell."""
+    (tmp_path / "day_3_a.nc.nc").write_bytes(netcdf.encoded({"TMP": (("x", "y"), np.arange(4.0).reshape(2, 2))}))
+    tiles = gridfiles.read_datasets(spark, str(tmp_path))
+    for cells in (file_queries.values(tiles), file_queries.raster_cells(tiles)):
+        plan = cells._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" in plan and "regexp" not in plan[: plan.index("Generate")]
+    assert {r.dataset for r in file_queries.values(tiles).collect()} == {"day_3_a.nc"}
+    assert [(r.day, r.value) for r in file_queries.raster_cells(tiles).orderBy("value").collect()] == [(3, float(k)) for k in range(4)]
+
+
+def test_names_of_paths(spark):
+    paths = ["/a/b/grid_1.nc", "file:///a.nc/x.bin", "x", "/a/.nc", "/a/b.nc.bin", "/a/", "b.nc?t", ".nc.nc", ""]
+    rows = spark.createDataFrame([(p,) for p in paths], "dataset string").select(file_queries.base_name().alias("got"), F.regexp_extract("dataset", r"([^/]+?)(?:\.nc|\.bin)?$", 1).alias("want"))
+    assert all(r.got == r.want for r in rows.collect())
+
+
+def test_small_variables_come_together(tmp_path, monkeypatch):
+    n = raster.BATCH_TILES + 500
+    grid = np.arange(6.0).reshape(2, 3)
+    attrs = [{}, {"units": "K"}, {"units": "mm", "long": "x" * 9}]
+    told = {f"v{k}": (("x", "y") if k % 7 else ("y",), grid + k if k % 7 else grid[0] + k, attrs[k * k % 3], ("float", "double", "short")[k % 3]) for k in range(n)}
+    (tmp_path / "x.nc").write_bytes(netcdf.encoded(told))
+    batches = list(gridfiles.GridReader({"path": str(tmp_path)}).read(gridfiles.Uris((str(tmp_path / "x.nc"),))))
+    assert [b.num_rows for b in batches] == [raster.BATCH_TILES, 500]
+    for k, row in enumerate(r for b in batches for r in b.to_pylist()):
+        assert row["variable"] == f"v{k}" and row["data"] == told[f"v{k}"][1].ravel().tolist() and row["dtype"] == told[f"v{k}"][3] and {**dict(row["attrs"]), **told[f"v{k}"][2]} == dict(row["attrs"])
+    whole = netcdf.encoded(told)
+    with pytest.raises(ValueError):
+        netcdf.ClassicFile(whole[:300])
+
+
+def test_large_files_are_shared(tmp_path, monkeypatch):
+    grid = np.arange(60.0).reshape(10, 6)
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.nc").write_bytes(netcdf.encoded({"t": (("x", "y"), grid), **{f"v{k}": (("y",), grid[0] + k) for k in range(40)}, "one": ((), np.array(7.5))}))
+    (tmp_path / "c.txt").write_text(f"{tmp_path}/a.nc?t[1:2:9][0:3],v1,v39\n{tmp_path}/b.nc\n")
+    (tmp_path / "r.bin").write_bytes(bytes(range(60)))
+    monkeypatch.setattr(gridfiles, "SLAB_CELLS", 18)
+    files = {"path": str(tmp_path), "pattern": r"\.nc$", "partitions": "1"}
+    for options in (files, {**files, "metadata": "true"}, {"path": str(tmp_path / "c.txt")}, {"path": str(tmp_path / "r.bin"), "kind": "raster", "shape": "5,6"}):
+        reader, found = gridfiles.GridReader(options), []
+        for most in (1 << 20, 16):  # bytes of a share
+            monkeypatch.setattr(gridfiles, "SHARE_BYTES", most)
+            parts = reader.partitions()
+            assert len(parts) == len({p.uris for p in parts}) if most > 16 else max(p.share[1] for p in parts) > 1
+            shares = [[r for b in reader.read(p) for r in b.to_pylist()] for p in parts]
+            assert most > 16 or sum(map(bool, shares)) > 2
+            found.append(sorted((r for rows in shares for r in rows), key=lambda r: (r["dataset"], r["variable"], r["frame"] or 0, r["origin"])))
+        assert found[0] == found[1] and len(found[0]) > 3
+
+
+def test_numbers_are_written_as_they_are(spark, tmp_path):
+    """Null numbers, slices of batches and several types, through the sink and back."""
+    rows = [(f"d{k % 3}", f"v{k}", None, "double", [0, 0], [1, 2], [float(k), None if k % 5 == 0 else 0.5], [("x", 1), ("y", 2)], {"k": str(k)}) for k in range(60)]
+    gridfiles.write_datasets(spark.createDataFrame(rows, TILES), str(tmp_path / "out"))
+    got = {r.variable: r for r in gridfiles.read_datasets(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 60
+    for k in range(60):
+        assert got[f"v{k}"].data[0] == k and (np.isnan(got[f"v{k}"].data[1]) if k % 5 == 0 else got[f"v{k}"].data[1] == 0.5) and got[f"v{k}"].attrs["k"] == str(k)
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.nc").write_bytes(netcdf.encoded({"t": (("x",), np.arange(3.0)), "u": (("x",), np.arange(3.0))}))
